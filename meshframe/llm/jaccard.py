@@ -13,17 +13,19 @@ Two sets link when ``den * |a & b| >= num * |a | b|``. Steps, all distributed:
 4. *Groups.* The members of a block form a group under the block's smallest member: one row per member, so that
    rows grow with members and not with pairs. Groups over a bound of members or shingles are cut into chunks
    and every pair of chunks becomes a task of its own.
-5. *Answers.* A group compares all members with its leader; the leader's answer then settles the members it
+5. *Sifting.* What two prefixes share bounds what their sets can share. A group's members are first compared on
+   prefixes alone; only those with a possible partner have their texts sent to it.
+6. *Answers.* A group compares all members with its leader; the leader's answer then settles the members it
    links. Only pairs that this answer leaves open are compared, on their differences from the leader
    (a set's answer derived from that of a similar set), size block by size block. A task returns a spanning
    forest of the links it found, never all pairs.
-6. *Components* of classes by large-star and small-star rounds.
+7. *Components* of classes by large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,19 +132,19 @@ class _Forest:
         return True
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets`` (sorted distinct hashes).
+def joined(sets: list[np.ndarray], size: np.ndarray, hit: Callable, num: int, den: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets`` (sorted distinct hashes) for which ``hit(inter, i, j)`` holds.
 
-    The leader is the first set. Its answers come first; other pairs are compared by differences
-    from it, in blocks of sets ordered by size, and blocks are skipped when their sizes rule a link out or when
-    all their sets are already joined."""
+    ``size`` are the sizes that rule pairs out (``den * smaller < num * larger``). The leader is the first set.
+    Its answers come first; other pairs are compared on shingles that occur twice at least, in blocks of sets
+    ordered by size, and blocks are skipped when their sizes rule a pair out or all their sets are joined."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     if m == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if den * inter >= num * (size[0] + size[1] - inter) else []
+        if den * min(size) < num * max(size):
+            return []
+        return [(0, 1)] if hit(len(np.intersect1d(sets[0], sets[1], assume_unique=True)), 0, 1) else []
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
     again = times[code] > 1  # a shingle of one set only adds to no intersection
     code, owner = code[again], owner[again]
@@ -150,7 +152,8 @@ def linked(sets: list[np.ndarray], num: int, den: int, rows: int = 256, columns:
     lead = np.zeros(len(times), bool)
     lead[code[owner == 0]] = True
     inter = np.bincount(owner[lead[code]], minlength=m)
-    for x in np.flatnonzero(den * inter >= num * (size + size[0] - inter)):
+    fits = (den * np.minimum(size, size[0]) >= num * np.maximum(size, size[0])) & hit(inter, 0, np.arange(m))
+    for x in np.flatnonzero(fits):
         if x and forest.join(0, int(x)):
             out.append((0, int(x)))
     settled = np.array([forest.find(i) == 0 for i in range(m)])
@@ -180,8 +183,9 @@ def linked(sets: list[np.ndarray], num: int, den: int, rows: int = 256, columns:
                         here = (cc >= c) & (cc < c + columns)
                         grid[pp[here] - at, cc[here] - c] = 1
                     gram += left @ right.T
-                hit = den * gram >= num * (size_s[a : a + na, None] + size_s[None, b : b + nb] - gram)
-                for i, j in np.argwhere(hit):
+                sa, sb = size_s[a : a + na, None], size_s[None, b : b + nb]
+                fit = (den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)) & hit(gram.astype(np.int64), by_size[a : a + na, None], by_size[None, b : b + nb])
+                for i, j in np.argwhere(fit):
                     x, y = int(by_size[a + i]), int(by_size[b + j])
                     if x != y and forest.join(x, y):
                         out.append((min(x, y), max(x, y)))
@@ -189,6 +193,41 @@ def linked(sets: list[np.ndarray], num: int, den: int, rows: int = 256, columns:
     return out
 
 
+def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among whole sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    return joined(sets, size, lambda inter, i, j: (inter > 0) & (den * inter >= num * (size[i] + size[j] - inter)), num, den)
+
+
+def possible(prefixes: list[np.ndarray], size: np.ndarray, rest: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link: what their prefixes share, with all of the larger ``rest``
+    (shingles beyond the prefix), must reach the overlap that a link needs (a shared one outside of both prefixes is in the rest of the one that ends first)."""
+    return joined(prefixes, size, lambda inter, i, j: (inter > 0) & ((num + den) * (inter + np.maximum(rest[i], rest[j])) >= num * (size[i] + size[j])), num, den)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Consecutive rows that agree in the first ``keys`` columns."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            mark = tuple(c[a] for c in columns)
+            if mark != key:
+                if held:
+                    yield key, held
+                key, held = mark, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
 def jaccard_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, lower: bool = True) -> DataFrame:
     """``a, b``: links between representatives of distinct sets whose components are those of all links."""
     reps = sets.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
@@ -204,38 +243,57 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int,
     sized = members.join(groups.select("l", "g", chunks.alias("c")), ["l", "g"])
     chunk = F.when(F.col("c") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("x"), F.col("c")).cast("int"))
     other = F.sequence(F.lit(0), F.col("c") - 1)
-    dealt = sized.withColumn("i", chunk).select("l", "g", "x", "i", F.explode(other).alias("j")).select("l", "g", "x", F.least("i", "j").alias("ci"), F.greatest("i", "j").alias("cj"))
-    texts = docs.select(F.col("doc_id").alias("x"), "text")
+    dealt = sized.withColumn("i", chunk).select("l", "g", "x", "i", F.explode(other).alias("j")).select("l", F.col("g").cast("long").alias("g"), "x", F.least("i", "j").cast("long").alias("ci"), F.greatest("i", "j").cast("long").alias("cj"))
     keys = ["l", "g", "ci", "cj"]
-    rows = dealt.join(texts, "x").select(*keys, "x", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a shingle that only one set indexes adds to no intersection: prefixes are sent without those
+    shared_toks = posts.join(lists, "tok").groupBy("x").agg(F.collect_list("tok").alias("toks"), F.first("n").alias("n"))
+    prefixed = dealt.join(shared_toks.hint("merge"), "x").select(*keys, "x", "n", F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1").alias("p"), "toks")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(6)]
+        for key, rows in _grouped(batches, 4):
+            x = np.concatenate([r.column(4).to_numpy() for r in rows])
+            n = np.concatenate([r.column(5).to_numpy() for r in rows])
+            p = np.concatenate([r.column(6).to_numpy() for r in rows])
+            toks = [t.values.to_numpy().view(U64) for r in rows for t in r.column(7)]
+            if len(x) < 2:
+                continue
+            order = np.argsort(x, kind="stable")
+            forest = _Forest(len(x))
+            for a, b in possible([np.sort(toks[i]) for i in order], n[order], (n - p)[order], num, den):
+                forest.join(a, b)
+            root = np.array([forest.find(i) for i in range(len(x))])
+            for i in np.flatnonzero(np.bincount(root, minlength=len(x))[root] > 1):
+                for c, v in zip(out, (*key, x[order[root[i]]], x[order[i]]), strict=True):
+                    c.append(v)
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[*keys, "root", "x"])
+                out = [[] for _ in range(6)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[*keys, "root", "x"])
+
+    sifted = prefixed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(sift, "l long, g long, ci long, cj long, root long, x long")
+    # groups that differ in their keys only hold the same pairs: a document is sent to each set of companions once
+    near = sifted.select("root", "x", F.xxhash64(*keys).alias("k"))
+    texts = docs.select(F.col("doc_id").alias("x"), "text")
+    near = scratch.written(near, "near")
+    alike = near.groupBy("root", "k").agg(F.bit_xor(F.xxhash64("x")).alias("s"), F.count("*").alias("c")).groupBy("root", "s", "c").agg(F.min("k").alias("k"))
+    rows = near.join(alike.select("root", "k"), ["root", "k"], "left_semi").hint("merge").join(texts, "x").select("root", "k", "x", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own_sets = None, [], []
-
-        def emit():
-            firsts = {}
-            for i, x in enumerate(ids):  # repeated rows of a document
-                firsts.setdefault(x, i)
-            order = sorted(firsts)
-            found = linked([own_sets[firsts[x]] for x in order], num, den) if len(order) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([order[a] for a, _ in found], pa.int64()), pa.array([order[b] for _, b in found], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            xs = batch.column(4).to_pylist()
-            marks = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
-            for block in blocks(batch.column(5)):
-                for row, h in shingles(block, k, lower):
-                    if marks[row] != key:
-                        if len(ids) > 1:
-                            yield emit()
-                        key, ids, own_sets = marks[row], [], []
-                    ids.append(xs[row])
-                    own_sets.append(h)
-        if len(ids) > 1:
-            yield emit()
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+        for _, held in _grouped(batches, 2):
+            own_sets: dict[int, np.ndarray] = {}
+            for batch in held:
+                xs = batch.column(2).to_numpy()
+                for block in blocks(batch.column(3)):
+                    for row, h in shingles(block, k, lower):
+                        own_sets.setdefault(int(xs[row]), h)  # repeated rows of a document count once
+            order = sorted(own_sets)
+            if len(order) > 1:
+                found = linked([own_sets[x] for x in order], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array([order[a] for a, _ in found], pa.int64()), pa.array([order[b] for _, b in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition(parts, "root", "k").sortWithinPartitions("root", "k").mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:

@@ -39,3 +39,10 @@ def release(spark: SparkSession) -> None:
     while _written:
         path = hadoop.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def handed_on(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, but kept by ``release``: the input of a pipeline's next stage."""
+    out = written(df, name)
+    _written.pop()
+    return out
