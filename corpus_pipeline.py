@@ -1,29 +1,77 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage begins when its predecessor's rows are written, so that it may delete the predecessor's working tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meshframe.llm import queries as own
 from meshframe.llm import scratch
 from meshframe.llm.jaccard import one_of_each
+from meshframe.llm.packing import pack
+from meshframe.llm.pii import replace_entities
+from meshframe.llm.quality import fit
+from meshframe.llm.substring import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier, learned from ``labels``: documents that it rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return fit(docs, labels).score(docs).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document (the smallest doc_id) of each group stays."""
+    """N-gram Jaccard join (5 words, 0.8): one document, that of the smallest doc_id, of each group stays."""
+    scratch.release(spark)
     return one_of_each(docs, k=5, num=80, den=100)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: windows of 50 words are removed from all documents but the first; emptied ones go."""
+    scratch.release(spark)
+    return _counted(remove_repeats(docs, width=50).where("n_removed < n_words or n_words = 0"), docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: detected entities become surrogates."""
+    scratch.release(spark)
+    return _counted(replace_entities(docs, own.PII_SECRET), docs)
+
 
-#: Learned scores, group-wide decisions and tokenizer ids are not expressible in SQL; tests use brute force.
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: every remaining document's tokens in sequences of 4096."""
+    scratch.release(spark)
+    return pack(docs, own._vocabulary("word_bpe_49k.json"))
+
+
+def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
+    return changed.select(*docs.columns)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", substrings),
+    ("pii", private_data),
+    ("packing", packing),
+]
+
+#: Learned scores, components and tokenizer ids are not expressible in SQL; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what a stage keeps is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.written(docs, f"stage-{name}")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        docs = scratch.handed_on(out, name)
+
     return docs
