@@ -96,7 +96,7 @@ def _stream(secret: str, kind: Column, canon: Column, attempt: Column, n: Column
     seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, canon, attempt.cast("string")), 256)
     blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", F.lit(secret), seed, i.cast("string")), 256))
     text = F.array_join(blocks, "")
-    return let(text, lambda t: F.transform(F.sequence(F.lit(0), F.length(t) / 4 - 1), lambda i: F.conv(F.substring(t, (i * 4 + 1).cast("int"), 4), 16, 10).cast("int")))
+    return let(text, lambda t: F.transform(F.sequence(F.lit(0), (F.length(t) / 4).cast("int") - 1), lambda i: F.conv(F.substring(t, (i * 4 + 1).cast("int"), 4), 16, 10).cast("int")))
 
 
 def _pick(values: list[str], number: Column) -> Column:
