@@ -200,6 +200,8 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
             q, x, s = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
             order = np.lexsort((x, -s, q))
             q, x, s = q[order], x[order], s[order]
+            new = np.concatenate([[True], (q[1:] != q[:-1]) | (x[1:] != x[:-1])])  # tables meet in a shard
+            q, x, s = q[new], x[new], s[new]
             start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
             place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
             keep = place < top
