@@ -554,7 +554,7 @@ def exchange(spark, d):
     return par.exchange(_valued(spark, d), "val")
 
 
-@query(_PAR + "o AS (SELECT gid, row_number() OVER (ORDER BY part, gid) AS new_gid FROM OC WHERE part = master_part) SELECT part, gid, new_gid FROM OC JOIN o USING (gid)")
+@query(_PAR + "ow AS (SELECT gid, row_number() OVER (ORDER BY part, gid) AS new_gid FROM OC WHERE part = master_part) SELECT part, gid, new_gid FROM OC JOIN ow USING (gid)")
 def renumber_gids(spark, d):
     return par.renumber_gids(_copies(spark, d)[1])
 
