@@ -130,8 +130,8 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _OP2 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 g AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
 v AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM g),
@@ -143,9 +143,9 @@ m AS (
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
     length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks,
-    len(list_filter(w, x -> list_contains([{_STOP}], lower(x)))) AS stops, len(l) AS lines,
-    len(list_filter(l, x -> regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS bullets,
-    len(list_filter(l, x -> regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS opens
+    len(list_filter(w, lambda x: list_contains([{_STOP}], lower(x)))) AS stops, len(l) AS lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS bullets,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS opens
   FROM d LEFT JOIN p USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -164,7 +164,7 @@ FROM s QUALIFY rank <= 20
 """
 
 _OP8 = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
 v AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS win FROM g),
 r AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS lo FROM v),

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 from .text import U64, blocks, mix, rolling
@@ -55,15 +56,9 @@ def _documents(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.nda
             yield row, words[a:b], starts[a:b], ends[a:b], block.data
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype())))
-
-
 def duplicate_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``doc_id, rk, spans``: for each document with removed words, packed (first window, windows) pairs."""
+    """``doc_id, rk, gone, single`` for each document with removed words: the runs and the single windows (by first
+    word) that a smaller document also has. ``rk`` is a hash of the text, which tells rows of one ``doc_id`` apart."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,17 +112,16 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     A word goes when a window of ``width`` words that covers it also starts in a document of a smaller
     ``doc_id``, judged on the input. Null text has no words (and stays null); texts under ``width`` words have
     no windows; repeats within a document and between rows of one ``doc_id`` are kept; rows with a null
-    ``doc_id`` neither remove nor lose words. Other columns pass through; columns of the four names and
-    ``__``-prefixed ones are replaced.
+    ``doc_id`` neither remove nor lose words. Other columns pass through, whatever their names; columns of the
+    three new names are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     spans = duplicate_windows(typed.select("doc_id", "text"), width)
-    keyed = typed.withColumn("rk", F.xxhash64("text"))
     names = [c for c in typed.columns if c != "text"]
-    joined = keyed.join(spans, ["doc_id", "rk"], "left").select("text", "gone", "single", *[F.col(f"`{c}`") for c in names])
-    kept = [joined.schema[f"{c}"] for c in names]
-    out = "text string, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_words long, n_removed long, kept_sha256 string"
+    keyed = typed.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "doc_id", F.xxhash64("text").alias("rk"))
+    joined = keyed.join(spans, ["doc_id", "rk"], "left").select("text", "gone", "single", "row")
+    out = T.StructType([T.StructField("text", T.StringType()), joined.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +146,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 removed.append(n - int(keep.sum()))
                 shas.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode() if removed[-1] else column[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(3 + i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["text", *names, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["text", "row", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(cut, out).select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_removed", "kept_sha256")
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.mapInArrow(cut, out).select(*columns, "n_words", "n_removed", "kept_sha256")
