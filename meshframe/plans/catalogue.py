@@ -165,10 +165,10 @@ def non_manifold_edges(spark, d):
     return adj.non_manifold_edges(ad.loops(spark, d))
 
 
-@query(LOOP + "p AS (SELECT fid, min(vid) AS a, max(vid) AS b FROM FV GROUP BY fid) SELECT a, b, eid FROM (SELECT DISTINCT a, b FROM p) LEFT JOIN E ON lo = a AND hi = b")
+@query(LOOP + "p AS (SELECT fid, min(vid) AS a, max(vid) AS b FROM FV GROUP BY fid) SELECT a, b, coalesce(eid, 0) AS eid FROM (SELECT DISTINCT a, b FROM p) LEFT JOIN E ON lo = a AND hi = b")
 def common_edge(spark, d):
     m = ad.loops(spark, d)
-    return adj.common_edge(m, m.FV.groupBy("fid").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).select("a", "b").distinct())
+    return adj.common_edge(m, m.FV.groupBy("fid").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).select("a", "b").distinct()).fillna({"eid": 0})
 
 
 @query(LOOP + "g AS (SELECT eid AS grp, v0 AS vid FROM E UNION ALL SELECT eid, v1 FROM E) SELECT grp, fid FROM g JOIN FV USING (vid) GROUP BY grp, fid HAVING count(DISTINCT vid) = 2")
