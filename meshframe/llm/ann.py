@@ -61,18 +61,23 @@ def perturbations(inside: np.ndarray, w: float, probes: int) -> np.ndarray:
     return np.array(out)
 
 
+def probes_for(k: int) -> int:
+    """Buckets to visit in each table: twice as many with every value beyond the fifth, as each makes buckets smaller."""
+    return 64 << max(0, k - 5)
+
+
 def usable(v: Column) -> Column:
     """Vectors that take part: no null, no component null or not finite, not zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, top: int = 20, tables: int = 5, k: int | None = None, w: float = 1.5, probes: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, top: int = 20, tables: int = 5, k: int | None = None, w: float = 1.5, probes: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` nearest found for every row where ``is_query``.
 
     Candidates are all other usable rows of the same dimension. ``k`` is by default the rounded decimal logarithm
-    of the number of vectors (0, a full search, up to 256), so that buckets stay alike as tables grow. Ties go to the
-    smaller id; rows of null id take no part; of rows with one id and different vectors each is a candidate and the
+    of the number of vectors (0, a full search, up to 256), so that buckets stay alike as tables grow; ``probes`` by
+    default grows with it (``probes_for``), so that recall stays too. Ties go to the smaller id; rows of null id take no part; of rows with one id and different vectors each is a candidate and the
     best counts. An empty table gives no rows.
     """
     v = F.transform(F.col(f"`{vector_column}`"), lambda x: x.cast("double"))
@@ -81,6 +86,8 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
     n, longest = rows.agg(F.count("*"), F.max(norm)).first()
     if k is None:
         k = 0 if n <= 256 else max(2, round(float(np.log10(n))))
+    if probes is None:
+        probes = probes_for(k)
     longest = longest or 1.0
     part = max(SHARD, -(-n * tables // MAX_LARGE))
     shards = max(1, -(-n * tables // part))

@@ -57,6 +57,24 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_recall_of_long_keys(spark):
+    """Neighbours as near (cosine 0.53) as the 20 nearest of some 4,000,000 random vectors are, at that table's k."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q = unit(r.normal(size=(60, 64)))
+    side = r.normal(size=(60, 20, 64))
+    side = unit(side - (side * q[:, None]).sum(-1, keepdims=True) * q[:, None])
+    near = (0.53 * q[:, None] + np.sqrt(1 - 0.53**2) * side).reshape(-1, 64)
+    x = np.concatenate([q, near, unit(r.normal(size=(800, 64)))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for row in nearest(df, "vec_id", "embedding", F.col("vec_id") < 60, k=7).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    score = x[:60] @ x.T
+    score[np.arange(60), np.arange(60)] = -9
+    assert np.mean([len(got.get(i, set()) & set(np.argsort(-score[i])[:20].tolist())) / 20 for i in range(60)]) >= 0.9
+
+
 def test_perturbations_in_order():
     inside = np.array([0.1, 0.7, 1.2])
     moves = perturbations(inside, 1.5, 27)
