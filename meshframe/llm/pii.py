@@ -8,7 +8,8 @@
 * *Coreference*: canonical values (digits only, lower case, name part by name part) make all spellings of one
   entity get one surrogate, in every document.
 * *Distinctness*: surrogates are checked against each other and against the originals of the corpus; whoever
-  loses is drawn anew with the next attempt until no collision is left.
+  loses is drawn anew with the next attempt until no collision is left. Where a shape has few values, they grow with
+  the attempt: surnames get further syllables, addresses one more host label, secrets letters for signs.
 
 Texts are replaced by content: equal texts are worked out once. Only rows with an entity are shuffled.
 """
@@ -103,18 +104,23 @@ def _pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values))) + 1)
 
 
+def _joined(values: list[str], numbers: Column) -> Column:
+    return F.array_join(F.transform(numbers, lambda x: _pick(values, x)), "")
+
+
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 
-def _alike(text: Column, numbers: Column, hexadecimal: bool = False) -> Column:
-    """Each digit or letter replaced by another of its class; signs and further letters' places stay."""
+def _alike(text: Column, numbers: Column, hexadecimal: bool = False, signs: Column | None = None) -> Column:
+    """Each digit or letter replaced by another of its class; signs stay, but become letters where ``signs`` holds."""
 
     def char(c: Column, i: Column) -> Column:
         r = F.element_at(numbers, i + 1)
         if hexadecimal:
             return F.substring(F.lit("0123456789abcdef"), F.pmod(r, F.lit(16)) + 1, 1)
         digits, lower, upper = (F.substring(F.lit(x), F.pmod(r, F.lit(len(x))) + 1, 1) for x in _CLASSES)
-        return F.when(c.rlike("[0-9]"), digits).when(c.rlike("\\p{Lu}"), upper).when(c.rlike("\\p{L}"), lower).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), digits).when(c.rlike("\\p{Lu}"), upper).when(c.rlike("\\p{L}"), lower)
+        return (out if signs is None else out.when(signs & (c != ""), lower)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), char), "")
 
@@ -135,21 +141,24 @@ def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Colu
         cut = F.length(canon) - 1
         card = F.concat(F.substring(canon, 1, 1), F.substring(_alike(canon, r), F.lit(2), cut - 1))
         octet = lambda i: F.pmod(at(i), F.lit(256)).cast("string")
+        local = F.substring_index(canon, "@", 1)
+        further = F.transform(F.slice(r, F.length(local) + 1, attempt), lambda x: F.substring(F.lit(_CLASSES[1]), F.pmod(x, F.lit(26)) + 1, 1))  # numbers that neither side takes
+        label = F.when(attempt > 0, F.concat(F.lit("."), F.array_join(further, ""))).otherwise(F.lit(""))
         out = (
-            F.when(kind == "email", F.concat(_alike(F.substring_index(canon, "@", 1), r), F.lit("@"), _alike(F.regexp_replace(F.substring_index(canon, "@", -1), "\\.[^.]*$", ""), F.reverse(r)), F.lit(".example")))
+            F.when(kind == "email", F.concat(_alike(local, r), F.lit("@"), _alike(F.regexp_replace(F.substring_index(canon, "@", -1), "\\.[^.]*$", ""), F.reverse(r)), label, F.lit(".example")))
             .when(kind == "ip", F.concat_ws(".", (240 + F.pmod(at(1), F.lit(16))).cast("string"), octet(2), octet(3), octet(4)))
             .when(kind == "hex", _alike(canon, r, True))
-            .when(kind == "secret", F.concat(F.substring(canon, 1, 4), F.substring(_alike(canon, r), F.lit(5), F.length(canon))))
+            .when(kind == "secret", F.concat(F.substring(canon, 1, 4), F.substring(_alike(canon, r, signs=attempt > 0), F.lit(5), F.length(canon))))
             .when(kind == "card", F.concat(card, _check_digit(card)))
             .when(kind == "phone", F.concat(F.substring(canon, 1, 1), F.substring(_alike(canon, r), F.lit(2), F.length(canon))))
         )
         for (script, gender), names in GIVEN.items():
             out = out.when(kind == f"given:{script}:{gender}", F.lower(_pick(names, at(1))))
         for script, syllables in SYLLABLES.items():
-            out = out.when(kind == f"surname:{script}", F.concat(*(_pick(syllables, at(i)) for i in (1, 2, 3))))
+            out = out.when(kind == f"surname:{script}", _joined(syllables, F.slice(r, 1, 3 + F.least(attempt, F.lit(13)))))
         return out.otherwise(canon)
 
-    return let(_stream(secret, kind, canon, attempt, F.length(canon) + 4), made)
+    return let(_stream(secret, kind, canon, attempt, F.length(canon) + 4 + attempt), made)
 
 
 def render(kind: Column, text: Column, sur: Column) -> Column:

@@ -174,6 +174,20 @@ def test_pii_distinct(spark):
     assert len({r.text for r in got}) == 600
 
 
+def test_pii_many_of_a_shape(spark):
+    """More surnames than three syllables give, more short addresses than their shape has, a secret of signs only."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    texts = [f"Maria Q{word(i)} came" for i in range(5000)]
+    texts += [f"to {a}@{b}.{c} now" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in ("de", "fr")]
+    texts += ["key sk-" + "-" * 24 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in replace_entities(df, "s").collect()}
+    names = {re.fullmatch(r"\w+ ([A-Z][a-z]+) came", got[i].text).group(1) for i in range(5000)}
+    mails = {re.fullmatch(r"to ([a-z]@[a-z](?:\.[a-z]+)?\.example) now", got[i].text).group(1) for i in range(5000, 5800)}
+    assert len(names) == 5000 and len(mails) == 800
+    assert all(r.n_entities == 1 and r.text != texts[i] for i, r in got.items())
+
+
 def test_rollup(spark, tmp_path):
     store = TokenRollup(spark, f"file://{tmp_path}/{uuid.uuid4().hex}")
     kind = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
