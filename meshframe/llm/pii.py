@@ -47,7 +47,7 @@ _CAPITAL = "\\p{Lu}\\p{L}+(?:-\\p{Lu}\\p{L}+)?"
 KINDS = {
     "email": "(?<![\\p{L}0-9])[\\p{L}0-9][\\p{L}0-9._%+-]{0,63}@[\\p{L}0-9-]{1,63}(?:\\.[\\p{L}0-9-]{1,63}){0,8}\\.\\p{L}{2,24}",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "hex": "(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "hex": "(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
     "secret": "(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64})(?![0-9A-Za-z])",
     "card": "(?<![0-9A-Za-z+])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9A-Za-z])",
     "phone": "(?<![0-9A-Za-z])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
@@ -88,7 +88,7 @@ def parts_of(entity: Column, kind: Column) -> Column:
             k = k.when(word.isin(names), F.lit(f"given:{script}:{gender}"))
         return part(k.otherwise(F.concat(F.lit("surname:"), _script(word))), F.lower(word), word)
 
-    canon = F.when(kind.isin("phone", "card"), _digits(entity)).when(kind == "email", F.lower(entity)).otherwise(entity)
+    canon = F.when(kind.isin("phone", "card"), _digits(entity)).when(kind.isin("email", "hex"), F.lower(entity)).otherwise(entity)
     return F.when(kind == "name", F.transform(F.split(entity, " "), name_part)).otherwise(F.array(part(kind, canon, entity)))
 
 
@@ -171,7 +171,7 @@ def render(kind: Column, text: Column, sur: Column) -> Column:
 
     dialled = F.aggregate(F.split(text, ""), start, put, lambda acc: acc["out"])
     letters = F.when(text == F.upper(text), F.upper(sur)).otherwise(F.initcap(sur))
-    return F.when(kind.isin("phone", "card"), dialled).when(kind == "title", text).when(kind.rlike("^(given|surname)"), letters).when((kind == "email") & (text == F.upper(text)), F.upper(sur)).otherwise(sur)
+    return F.when(kind.isin("phone", "card"), dialled).when(kind == "title", text).when(kind.rlike("^(given|surname)"), letters).when(kind.isin("email", "hex") & (text == F.upper(text)) & (text != F.lower(text)), F.upper(sur)).otherwise(sur)
 
 
 def surrogates(atoms: DataFrame, secret: str, max_rounds: int = 40) -> DataFrame:

@@ -174,6 +174,16 @@ def test_pii_distinct(spark):
     assert len({r.text for r in got}) == 600
 
 
+def test_pii_hex_case(spark):
+    key = "9233a8ecb5f7d01e9233a8ecb5f7d01e9233a8ec"
+    texts = [f'token = "{key}"', f'TOKEN = "{key.upper()}"', f'token = "{key[:20] + key[20:].upper()}"', f'token = "{"31415926" * 5}"']
+    got = replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "s").collect()
+    out = {r.doc_id: re.fullmatch(r'token = "([0-9a-f]{40})"|TOKEN = "([0-9A-F]{40})"', r.text) for r in got}
+    low, up, mixed, digits = (out[i].group(1) or out[i].group(2) for i in range(4))
+    assert all(r.n_entities == 1 and r.text != texts[r.doc_id] for r in got)
+    assert low == up.lower() == mixed != key and up == up.upper() and digits == digits.lower() != low
+
+
 def test_pii_many_of_a_shape(spark):
     """More surnames than three syllables give, more short addresses than their shape has, a secret of signs only."""
     word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
