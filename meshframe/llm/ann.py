@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Inner products become distances by scaling with the largest norm and one added coordinate. Each of ``tables``
-tables hashes a vector to ``k`` values ``floor((a x + b) / w)`` with Gaussian ``a``. A query visits its own bucket and
+Vectors of one dimension are grouped by norm, a factor of 2 to each group, so that a few long ones don't press the
+others together. Inner products become distances by scaling with the group's largest norm and one added coordinate.
+In each group, each of ``tables`` tables hashes a vector to ``k`` values ``floor((a x + b) / w)`` with Gaussian ``a``. A query visits its own bucket and
 perturbed ones in order of estimated success (the sum of squared distances to the bucket borders crossed). Buckets
 are dealt to shards of bounded size; a bucket larger than a shard is cut into parts that all its visitors see, so
 that none is capped. A shard compares its visitors with their buckets as matrices and returns each visitor's best;
-the tables' candidates are then merged. Scores are exact inner products in double precision.
+the tables' candidates are then merged. Queries that meet fewer than they could are compared with all vectors, in
+blocks. Scores are exact inner products in double precision.
 """
 
 from __future__ import annotations
@@ -13,15 +15,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .jaccard import _grouped
 from .text import U64, mix
 
+#: Groups of at most so many vectors are searched in full.
+FULL = 256
 #: Vectors of a shard, about, and at most so many buckets that are larger than one (8 bytes each, broadcast).
 SHARD, MAX_LARGE = 32_768, 100_000
 
@@ -32,9 +38,9 @@ def _directions(dim: int, table: int, k: int, w: float) -> tuple[np.ndarray, np.
     return rng.normal(size=(dim + 1, k)), rng.uniform(0, w, k)
 
 
-def _key(buckets: np.ndarray, dim: int, table: int) -> np.ndarray:
+def _key(buckets: np.ndarray, group: int, table: int) -> np.ndarray:
     """A 64-bit name for each row of bucket coordinates."""
-    h = np.full(len(buckets), (dim << 8) + table, U64)
+    h = np.full(len(buckets), (group << 8) + table, U64)
     for c in buckets.T:
         h = mix(h * U64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(U64))
     return h.view(np.int64)
@@ -75,51 +81,69 @@ def usable(v: Column) -> Column:
 def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, top: int = 20, tables: int = 5, k: int | None = None, w: float = 1.5, probes: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` nearest found for every row where ``is_query``.
 
-    Candidates are all other usable rows of the same dimension. ``k`` is by default the rounded decimal logarithm
-    of the number of vectors (0, a full search, up to 256), so that buckets stay alike as tables grow; ``probes`` by
+    Candidates are all other usable rows of the same dimension; a query gets ``top`` of them, or all if there are
+    fewer. ``k`` is by default the rounded decimal logarithm of a group's size (0, a full search, up to 256), so that buckets stay alike as tables grow; ``probes`` by
     default grows with it (``probes_for``), so that recall stays too. Ties go to the smaller id; rows of null id take no part; of rows with one id and different vectors each is a candidate and the
     best counts. An empty table gives no rows.
     """
     v = F.transform(F.col(f"`{vector_column}`"), lambda x: x.cast("double"))
     rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, longest = rows.agg(F.count("*"), F.max(norm)).first()
-    if k is None:
-        k = 0 if n <= 256 else max(2, round(float(np.log10(n))))
-    if probes is None:
-        probes = probes_for(k)
-    longest = longest or 1.0
-    part = max(SHARD, -(-n * tables // MAX_LARGE))
-    shards = max(1, -(-n * tables // part))
+    size = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce(F.log2(norm), F.lit(-500.0))))  # norms may leave the doubles
+    rows = rows.withColumn("band", F.floor(size + 0.5).cast("int"))
+    groups: dict[int, dict[int, tuple[int, int, int, float]]] = {}  # dimension, band: number, k, probes, largest norm
+    n = stored = number = 0
+    for dim, of_dim in groupby(rows.groupBy(F.size("v"), "band").agg(F.count("*"), F.max(norm)).sort(F.size("v"), "band").collect(), lambda r: r[0]):
+        bands, small = groups.setdefault(dim, {}), None
+        for _, band, count, longest in of_dim:
+            here = k if k is not None else 0 if count <= FULL else max(2, round(float(np.log10(count))))
+            if here == 0:  # all of them are one group
+                small = number if small is None else small
+            group = small if here == 0 else number
+            number += group == number
+            bands[band] = (group, here, probes_for(here) if probes is None else probes, min(longest, 2.0**501) or 1.0)
+            n, stored = n + count, stored + count * (tables if here else 1)
+    part = max(SHARD, -(-stored // MAX_LARGE))
+    shards = max(1, -(-stored // part))
 
     def columns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Positions, vectors and dimension, dimension by dimension."""
         lists = batch.column(1)
         sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy()
+        flat = lists.flatten().to_numpy()  # of this slice only
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         for dim in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == dim)
             yield at, flat[begin[at][:, None] + np.arange(dim)], dim
 
-    def hashed(x: np.ndarray, dim: int, query: bool) -> Iterator[tuple[int, np.ndarray]]:
+    def hashed(x: np.ndarray, dim: int, k: int, longest: float | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Table by table; queries have no ``longest``. A full search needs one table."""
         size = np.sqrt((x * x).sum(axis=1))
-        unit = x / (size[:, None] if query else longest)
-        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))
+        unit = x / (size[:, None] if longest is None else longest)
+        more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))
         long = np.column_stack([unit, more])
-        for t in range(tables):
+        for t in range(tables if k else 1):
             a, b = _directions(dim, t, k, w)
             yield t, (long @ a + b) / w
 
+    def stored_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions, vectors and keys of stored vectors, group by group and table by table."""
+        band_of = batch.column(2).to_numpy()
+        for at, x, dim in columns(batch):
+            for band in np.unique(band_of[at]).tolist():
+                some = band_of[at] == band
+                group, k, _, longest = groups[dim][band]
+                for t, h in hashed(x[some], dim, k, longest):
+                    yield at[some], x[some], _key(np.floor(h), group, t)
+
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, x, dim in columns(batch):
-                for t, h in hashed(x, dim, False):
-                    yield pa.RecordBatch.from_arrays([pa.array(_key(np.floor(h), dim, t))], names=["key"])
+            for _, _, key in stored_keys(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
     large = {}
     if n:
-        counts = rows.select("id", "v").mapInArrow(keys_of, "key long").groupBy("key").count().where(F.col("count") > part)
+        counts = rows.select("id", "v", "band").mapInArrow(keys_of, "key long").groupBy("key").count().where(F.col("count") > part)
         first = shards
         for key, count in sorted((r[0], r[1]) for r in counts.collect()):  # at most MAX_LARGE rows
             cuts = -(-count // part)
@@ -137,23 +161,24 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
     def dealer(query: bool):
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for at, x, dim in columns(batch):
-                    if not query:
-                        for t, h in hashed(x, dim, False):
-                            key = _key(np.floor(h), dim, t)
-                            yield out(shard_of(key, ids[at]), 0, [key[i : i + 1] for i in range(len(at))], ids[at], x)
-                        continue
+                if not query:
+                    ids = batch.column(0).to_numpy()
+                    for at, x, key in stored_keys(batch):
+                        yield out(shard_of(key, ids[at]), 0, [key[i : i + 1] for i in range(len(at))], ids[at], x)
+                    continue
+                some = [batch.slice(c, 256) for c in range(0, batch.num_rows, 256)]  # a query goes to many shards
+                for ids, (at, x, dim) in ((b.column(0).to_numpy(), c) for b in some for c in columns(b)):
                     visits: dict[tuple[int, int], list] = {}
-                    for t, h in hashed(x, dim, True):
-                        own = np.floor(h)
-                        for i in range(len(at)):
-                            move = perturbations((h[i] - own[i]) * w, w, probes)
-                            key = _key(own[i] + move, dim, t)
-                            for s, one in zip((key.view(U64) % U64(shards)).tolist(), key.tolist(), strict=True):
-                                base, cuts = dealt.value.get(one, (s, 1))
-                                for c in range(cuts):
-                                    visits.setdefault((i, base + c), []).append(one)
+                    for group, k, probes in sorted({g[:3] for g in groups[dim].values()}):
+                        for t, h in hashed(x, dim, k, None):
+                            own = np.floor(h)
+                            for i in range(len(at)):
+                                move = perturbations((h[i] - own[i]) * w, w, probes)
+                                key = _key(own[i] + move, group, t)
+                                for s, one in zip((key.view(U64) % U64(shards)).tolist(), key.tolist(), strict=True):
+                                    base, cuts = dealt.value.get(one, (s, 1))
+                                    for c in range(cuts):
+                                        visits.setdefault((i, base + c), []).append(one)
                     who = np.array([i for i, _ in visits], np.int64)
                     yield out(np.array([s for _, s in visits]), 1, [np.array(v, np.int64) for v in visits.values()], ids[at][who], x[who])
 
@@ -214,11 +239,43 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
             keep = place < top
             yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(x[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
 
+    def block(query: bool, across: int, down: int):
+        """Vectors to one of ``across`` blocks in each of ``down`` rows of blocks, queries the other way round."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                place = mix(ids.astype(np.int64).view(U64))
+                for at, x, dim in columns(batch):
+                    own = (place[at] % U64(down if query else across)).astype(np.int64)
+                    for other in range(across if query else down):
+                        shard = own * across + other if query else other * across + own
+                        yield out(shard, int(query), [np.array([dim], np.int64)] * len(at), ids[at], x)
+
+        return deal
+
     kind = "shard long, kind int, keys array<long>, id long, v array<double>"
-    data = rows.select("id", "v").mapInArrow(dealer(False), kind)
-    asked = rows.where("q").select("id", "v").mapInArrow(dealer(True), kind)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = data.union(asked).repartition(max(parts, 1), "shard").sortWithinPartitions("shard")
-    found = both.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    def searched(data: DataFrame, asked: DataFrame) -> DataFrame:
+        both = data.union(asked).repartition(max(parts, 1), "shard").sortWithinPartitions("shard")
+        found = both.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    asked = rows.where("q").select("id", "v")
+    found = searched(rows.select("id", "v", "band").mapInArrow(dealer(False), kind), asked.mapInArrow(dealer(True), kind))
+    hashed_dims = [dim for dim, bands in groups.items() if any(g[1] for g in bands.values())]
+    if not hashed_dims:
+        return found
+    found = scratch.written(found, "nearest")
+    enough = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= top)
+    ids = asked.where(F.size("v").isin(hashed_dims)).select("id").distinct().join(enough, "id", "left_anti")
+    short = scratch.written(asked.join(ids, "id", "left_semi"), "short")
+    m = short.count()
+    if not m:
+        return found
+    across, down = max(1, -(-n // SHARD)), max(1, -(-m // SHARD))
+    dims = [r[0] for r in short.select(F.size("v")).distinct().collect()]
+    scanned = searched(rows.where(F.size("v").isin(dims)).select("id", "v").mapInArrow(block(False, across, down), kind), short.mapInArrow(block(True, across, down), kind))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(scanned)

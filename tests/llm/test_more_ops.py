@@ -75,6 +75,32 @@ def test_recall_of_long_keys(spark):
     assert np.mean([len(got.get(i, set()) & set(np.argsort(-score[i])[:20].tolist())) / 20 for i in range(60)]) >= 0.9
 
 
+@pytest.mark.parametrize("case", ["long", "far", "dimension"])
+def test_nearest_finds_top_rows(spark, case):
+    """Every query gets 20 rows, or all candidates, whatever the other vectors are."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.tolist()))
+    if case == "long":
+        rows.append((9_001, (1000 * x[0]).tolist()))
+    elif case == "far":  # all in one cluster, but for queries that look the other way
+        x = x * 0.02 + np.eye(32)[0]
+        x[:40] -= 2 * np.eye(32)[0]
+        rows = list(enumerate(x.tolist()))
+    else:
+        rows += [(9_000 + i, v) for i, v in enumerate(r.normal(size=(15, 8)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    how = {"long": {"k": 6}, "far": {"k": 8, "tables": 1, "probes": 1}, "dimension": {}}[case]
+    for row in nearest(df, "vec_id", "embedding", (F.col("vec_id") < 40) | (F.col("vec_id") >= 9_000), **how).collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    asked = {i for i, _ in rows if i < 40 or i >= 9_000}
+    assert set(got) == asked
+    for i in asked:
+        assert len(set(got[i])) == len(got[i]) == (14 if case == "dimension" and i >= 9_000 else 20)
+
+
 def test_perturbations_in_order():
     inside = np.array([0.1, 0.7, 1.2])
     moves = perturbations(inside, 1.5, 27)
