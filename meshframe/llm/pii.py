@@ -43,6 +43,18 @@ def _any(words: list[str]) -> str:
 
 _ALL_GIVEN = [n for names in GIVEN.values() for n in names]
 _CAPITAL = "\\p{Lu}\\p{L}+(?:-\\p{Lu}\\p{L}+)?"
+#: Names in capitals throughout: the surname, too, must have capitals only.
+_CAPITALS = "\\p{Lu}{2,}(?:-\\p{Lu}{2,})?"
+
+
+def _names(given: list[str], titles: list[str], surname: str) -> str:
+    return f"(?:{_any(titles)}) (?:(?:{_any(given)}) )?{surname}|(?:{_any(given)}) {surname}"
+
+
+def _upper(words: list[str]) -> list[str]:
+    return [w.upper() for w in words]
+
+
 #: Kinds in order of precedence, as Java patterns.
 KINDS = {
     "email": "(?<![\\p{L}0-9])[\\p{L}0-9][\\p{L}0-9._%+-]{0,63}@[\\p{L}0-9-]{1,63}(?:\\.[\\p{L}0-9-]{1,63}){0,8}\\.\\p{L}{2,24}",
@@ -51,7 +63,7 @@ KINDS = {
     "secret": "(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64})(?![0-9A-Za-z])",
     "card": "(?<![0-9A-Za-z+])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9A-Za-z])",
     "phone": "(?<![0-9A-Za-z])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
-    "name": f"(?<!\\p{{L}})(?:(?:{_any(TITLES)}) (?:(?:{_any(_ALL_GIVEN)}) )?{_CAPITAL}|(?:{_any(_ALL_GIVEN)}) {_CAPITAL})(?!\\p{{L}})",
+    "name": f"(?<!\\p{{L}})(?=\\p{{Lu}})(?:{_names(_ALL_GIVEN, TITLES, _CAPITAL)}|{_names(_upper(_ALL_GIVEN), _upper(TITLES), _CAPITALS)})(?!\\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -83,9 +95,9 @@ def parts_of(entity: Column, kind: Column) -> Column:
         return F.struct(k.alias("kind"), canon.alias("canon"), text.alias("text"))
 
     def name_part(word: Column) -> Column:
-        k = F.when(word.isin(TITLES), F.lit("title"))
+        k = F.when(word.isin(TITLES + _upper(TITLES)), F.lit("title"))
         for (script, gender), names in GIVEN.items():
-            k = k.when(word.isin(names), F.lit(f"given:{script}:{gender}"))
+            k = k.when(word.isin(names + _upper(names)), F.lit(f"given:{script}:{gender}"))
         return part(k.otherwise(F.concat(F.lit("surname:"), _script(word))), F.lower(word), word)
 
     canon = F.when(kind.isin("phone", "card"), _digits(entity)).when(kind.isin("email", "hex"), F.lower(entity)).otherwise(entity)

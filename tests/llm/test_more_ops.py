@@ -210,6 +210,16 @@ def test_pii_hex_case(spark):
     assert low == up.lower() == mixed != key and up == up.upper() and digits == digits.lower() != low
 
 
+def test_pii_names_in_capitals(spark):
+    texts = ["Maria Lopez left", "MARIA LOPEZ LEFT", "DR. WEBER came", "Dr. Weber came", "АННА ПЕТРОВА ждала", "MARIA left, MARIA Lopez"]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "s").collect()}
+    low, up = got[0].removesuffix(" left"), got[1].removesuffix(" LEFT")
+    assert low != "Maria Lopez" and up == low.upper()
+    assert got[2].startswith("DR. ") and got[2].split()[1] == got[3].split()[1].upper() != "WEBER"
+    assert re.fullmatch("[А-Я]+ [А-Я]+ ждала", got[4]) and "ПЕТРОВА" not in got[4]
+    assert got[5] == texts[5]
+
+
 def test_pii_many_of_a_shape(spark):
     """More surnames than three syllables give, more short addresses than their shape has, a secret of signs only."""
     word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
