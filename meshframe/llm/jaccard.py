@@ -16,9 +16,9 @@ Two sets link when ``den * |a & b| >= num * |a | b|``. Steps, all distributed:
 5. *Sifting.* What two prefixes share bounds what their sets can share. A group's members are first compared on
    prefixes alone; only those with a possible partner have their texts sent to it.
 6. *Answers.* A group compares all members with its leader; the leader's answer then settles the members it
-   links. Only pairs that this answer leaves open are compared, on their differences from the leader
-   (a set's answer derived from that of a similar set), size block by size block. A task returns a spanning
-   forest of the links it found, never all pairs.
+   links. Pairs that this answer leaves open are compared anew, size block by size block, on all shingles that
+   occur twice in the group: no answer is derived from that of a similar set, and lists are not skipped by
+   position. A task returns a spanning forest of the links it found, never all pairs.
 7. *Components* of classes by large-star and small-star rounds.
 """
 
