@@ -1,16 +1,20 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
 A text is cut where a rolling hash of its last bytes hits a mask, so that equal passages give equal chunks
-wherever they stand. Each distinct chunk is encoded once per worker process and then reused by all documents of
-the worker (a bounded two-generation cache: chunks that recur stay). Chunks are then joined: the end of one,
-where its pre-tokens might reach on, is encoded again with the beginning of the next until a pre-token boundary
-agrees with one of the next chunk's own; from there on its stored ids are exact, because pre-tokens depend only
-on what follows them and merges never cross them. No shuffle is needed; sharing ids between machines would move
-every text once more.
+wherever they stand. A distinct chunk is encoded once per worker process and then reused by all documents of the
+worker (a bounded two-generation cache: chunks that recur stay).
+
+Chunks are then joined. A pre-token never holds white space behind another sign, so a place where white space
+follows another sign is a *seam*: it ends a pre-token whatever stands around it. A chunk's ids between its first
+and its last seam are therefore exact in every text. What stands between the last seam of one chunk and the first
+of the next is encoded again as one piece; a chunk without a seam joins that piece, until one with a seam agrees.
+
+No shuffle is needed: sharing ids between machines would move every text, while chunks repeat seldom.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +27,10 @@ from .text import _BYTE, U64, blocks, rolling
 
 #: Bytes that the rolling hash sees, its mask (a chunk has about MASK + 1 bytes) and the least chunk.
 SEEN, MASK, LEAST = 16, 255, 48
-#: Chunks in each of the two generations of the cache, and pre-tokens whose ids are kept.
-CACHE_CHUNKS, CACHE_PIECES = 30_000, 200_000
-#: Characters after a pre-token that can change it ("'re" and the like).
-REACH = 3
+#: Chunks in each of the two generations of the cache.
+CACHE_CHUNKS = 20_000
+#: White space, or signs without any, of this length go through the tokenizers library, whose time and stack they don't strain.
+LONG = 8192
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -37,122 +41,85 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
-class _Pieces(dict):
-    """Ids of pre-tokens."""
-
-    def __init__(self, core) -> None:
-        super().__init__()
-        self.core = core
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        got = self[piece] = self.core.encode_single_piece(piece.encode())
-        return got
-
-
 class ChunkEncoder:
     """Encodes texts like the library's tokenizer of ``path`` (byte-level, no normaliser, no prefix space)."""
 
     def __init__(self, path: str) -> None:
-        import regex
-
         from .tokens import byte_bpe
 
-        core, self.table, self.special = byte_bpe(path)
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids = _Pieces(core)
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.path = path
+        self.core, self.special = byte_bpe(path)
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # white space and its absence as all definitions of \s have it
+        self.first_seam = re.compile(r"\S(?=[ \t\n\x0b\x0c\r])").search
+        self.last_seam = re.compile(r"(?s).*\S(?=[ \t\n\x0b\x0c\r])").match
+        self.strain = re.compile(r"\s{%d}|\S{%d}" % (LONG, LONG)).search
+        self.young: dict[bytes, tuple[np.ndarray, str, str]] = {}
+        self.old: dict[bytes, tuple[np.ndarray, str, str]] = {}
         self.encoded = self.reused = 0
 
-    def chunk(self, text: str) -> tuple[list[int], list[int], list[int], int]:
-        """Ids, ends of pre-tokens (characters), ids up to each end, and how many pre-tokens nothing that follows can change."""
-        got = self.young.get(text)
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens' strings."""
+        if len(text) >= LONG and self.strain(text):
+            from .tokens import library
+
+            return library(self.path).encode(text, add_special_tokens=False).ids
+        return self.core.encode_ordinary(text)
+
+    def chunk(self, data: bytes) -> tuple[np.ndarray, str, str]:
+        """The ids between a chunk's first and last seam, and the texts before and after these; a chunk without a seam is
+        all before."""
+        got = self.young.get(data)
         if got is None:
-            got = self.old.get(text)
+            got = self.old.get(data)
             if got is None:
                 self.encoded += 1
-                ids: list[int] = []
-                ends, upto, at = [], [], 0
-                for piece in self.piece.findall(text):
-                    ids += self.ids[piece]
-                    at += len(piece)
-                    ends.append(at)
-                    upto.append(len(ids))
-                stable = len(ends)
-                while stable and ends[stable - 1] > len(text) - REACH:
-                    stable -= 1
-                got = ids, ends, upto, stable
+                text = data.decode()
+                first, last = self.first_seam(text), self.last_seam(text)
+                if first is None:
+                    got = np.zeros(0, np.int32), text, ""
+                else:
+                    a, b = first.end(), last.end()
+                    got = np.array(self.plain(text[a:b]), np.int32), text[:a], text[b:]
             else:
                 self.reused += 1
             if len(self.young) >= CACHE_CHUNKS:
                 self.old, self.young = self.young, {}
-            self.young[text] = got
+            self.young[data] = got
         else:
             self.reused += 1
         return got
 
-    def join(self, parts: list[str]) -> list[int]:
+    def join(self, parts: list[bytes]) -> np.ndarray:
         """The ids of the concatenation of ``parts``."""
-        out: list[int] = []
-        carry = ""
-        for text in parts:
-            ids, ends, upto, stable = self.chunk(text)
-            done = 0  # pre-tokens of the chunk whose ids are settled
-            if carry:
-                both, lead = carry + text, len(carry)
-                mine = {e: k for k, e in enumerate(ends)}
-                fresh: list[tuple[int, list[int]]] = []
-                agreed = None
-                for m in self.piece.finditer(both):
-                    fresh.append((m.end(), self.ids[m.group()]))
-                    agreed = 0 if m.end() == lead else mine.get(m.end() - lead)
-                    if agreed is not None and m.end() <= len(both) - REACH:
-                        done = 0 if m.end() == lead else agreed + 1
-                        break
-                    agreed = None
-                if agreed is None:  # no agreement in this chunk: keep what is settled and go on
-                    at = 0
-                    for end, got in fresh:
-                        if end > len(both) - REACH:
-                            break
-                        out += got
-                        at = end
-                    carry = both[at:]
-                    continue
-                for _, got in fresh:
-                    out += got
-            if done <= stable:
-                first = upto[done - 1] if done else 0
-                last = upto[stable - 1] if stable else 0
-                out += ids[first:last]
-                carry = text[ends[stable - 1] if stable else 0 :]
-            else:
-                carry = text[ends[done - 1] :]
-        for piece in self.piece.findall(carry):
-            out += self.ids[piece]
-        return out
-
-    def encode(self, data: bytes, at: list[int]) -> list[int]:
+        out: list[np.ndarray] = []
+        carry: list[str] = []
+        for data in parts:
+            ids, before, after = self.chunk(data)
+            carry.append(before)
+            if after:  # the chunk has a seam
+                out += [np.array(self.plain("".join(carry)), np.int32), ids]
+                carry = [after]
+        out.append(np.array(self.plain("".join(carry)), np.int32))
+        return np.concatenate(out)
+
+    def encode(self, data: bytes, at: list[int]) -> np.ndarray:
         """Ids of UTF-8 ``data`` with chunk boundaries ``at``."""
-        marks, last = [0], 0
-        for x in at:
-            if x - last >= LEAST:
-                marks.append(x)
-                last = x
-        marks.append(len(data))
-        parts = [data[a:b].decode() for a, b in zip(marks, marks[1:], strict=False) if b > a]
         if self.at_special is None or not any(s.encode() in data for s in self.special):
-            return self.join(parts)
-        out: list[int] = []
-        for text in self.at_special.split("".join(parts)):
+            marks, last = [0], 0
+            for x in at:
+                if x - last >= LEAST:
+                    marks.append(x)
+                    last = x
+            marks.append(len(data))
+            return self.join([data[a:b] for a, b in zip(marks, marks[1:], strict=False) if b > a])
+        out = [np.zeros(0, np.int32)]
+        for text in self.at_special.split(data.decode()):
             if text in self.special:
-                out.append(self.special[text])
+                out.append(np.array([self.special[text]], np.int32))
             elif text:
-                out += self.join([text])
-        return out
+                out.append(self.join([text.encode()]))
+        return np.concatenate(out)
 
 
 @lru_cache(maxsize=2)
@@ -177,9 +144,8 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 for i in range(len(block.rows)):
                     a, b = int(block.offsets[i]), int(block.offsets[i + 1])
                     own = at[first[i] : first[i + 1]] - a
-                    ids = bpe.encode(raw[a:b], own[own < b - a].tolist())
-                    values.append(np.array(ids, np.int32))
-                    sizes.append(len(ids))
+                    values.append(bpe.encode(raw[a:b], own[own < b - a].tolist()))
+                    sizes.append(len(values[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(values)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(block.rows)), lists], names=["doc_id", "ids"])
 
@@ -191,9 +157,14 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     aren't UTF-8 become U+FFFD, as in the library. Null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(tokenizer).table
+        from .tokens import byte_table
+
+        table = byte_table(tokenizer)
         for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            lists = batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            texts = [b"".join(map(table.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace") if k else "" for a, b, k in zip(ends, ends[1:], known, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

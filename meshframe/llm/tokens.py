@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Fixed value: how byte-level vocabularies split a text into pre-tokens.
+BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps before it starts anew; bounds its memory, not its results.
 CACHE_WORDS = 250_000
 
@@ -31,21 +33,32 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and special tokens of a byte-level JSON file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet = byte_alphabet()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}, special
+
+
 @lru_cache(maxsize=4)
 def byte_bpe(path: str):
-    """Of a byte-level JSON file without normaliser: a core that merges pre-tokens by rank (``encode_single_piece``),
-    the bytes of every id, and the special tokens' ids."""
+    """Of a byte-level JSON file without normaliser: a core that encodes ordinary text, and the special tokens' ids."""
     import tiktoken
 
-    spec = json.loads(open(path, encoding="utf-8").read())
-    alphabet = byte_alphabet()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    core = tiktoken.Encoding("byte_bpe", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    ranks, special = _byte_vocabulary(path)
+    return tiktoken.Encoding("byte_bpe", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+@lru_cache(maxsize=4)
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of every id of a byte-level JSON file."""
+    ranks, special = _byte_vocabulary(path)
     table = [b""] * (max([*ranks.values(), *special.values()]) + 1)
     for piece, i in [*ranks.items(), *((k.encode(), v) for k, v in special.items())]:
         table[i] = piece
-    return core, table, special
+    return table
 
 
 class WordBpe(dict):

@@ -184,9 +184,21 @@ def test_bpe_joins():
         parts, at = [], 0
         while at < len(text):
             n = r.randint(1, 9)
-            parts.append(text[at : at + n])
+            parts.append(text[at : at + n].encode())
             at += n
-        assert bpe.join(parts) == lib.encode(text, add_special_tokens=False).ids
+        assert bpe.join(parts).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["x" * 5_000_000, " " * 2_000_000 + "end", "ab " * 300_000 + "<|endoftext|>", "word\x1c" * 5000 + "\n" * 9000])
+def test_bpe_long(text):
+    """One very long pre-token, or very many, takes time in proportion and no more stack."""
+    import numpy as np
+    from meshframe.llm.bpe import cuts, encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    data = text.encode()
+    ids = encoder(path).encode(data, cuts(np.frombuffer(data, np.uint8)).tolist())
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("which", [0, 1])
