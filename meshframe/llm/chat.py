@@ -6,8 +6,9 @@ tree's new nodes. Paths are range-partitioned (equal ones fall to one node by an
 children ever gather in a task; where a partition begins within a branch, what is open there comes from one
 small summary per partition.
 
-Every node carries its text with marks, its depth-first offset, position ids (its ancestors' length on) and the
-intervals of its ancestors, which with its own causal part are all that its tokens attend to.
+Every node carries its text with marks and its token ids, its depth-first offset, position ids (its ancestors' length
+on) and the intervals of its ancestors, which with its own causal part are all that its tokens attend to. Ancestors
+that stand next to each other are one interval, so that a chain of turns has one and not one per turn.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ def formatted(role: Column, text: Column) -> Column:
 def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``leaves`` of the tree of ``turns`` (``conv_id``, ``turn``, ``role``, ``text``).
 
-    nodes: ``node`` (its path's hash), ``parent``, ``depth``, ``role``, ``formatted``, ``loss``, ``n_tokens``,
-    ``dfs_start`` (tokens emitted before it), ``position_start`` (tokens of its ancestors) and ``attends``
-    (array of [start, end) of its ancestors in depth-first offsets). leaves: ``conv_id``, ``node`` of its last turn and
-    ``nodes`` of all. Tokens are the ids of ``tokenizer`` (a byte-level BPE file), or code points without one.
+    nodes: ``node`` (its path's hash), ``parent``, ``depth``, ``role``, ``formatted``, ``ids``, ``loss``, ``n_tokens``,
+    ``dfs_start`` (tokens emitted before it), ``position_start`` (tokens of its ancestors: its tokens have positions
+    from there on) and ``attends`` (array of [start, end) of its ancestors in depth-first offsets, adjacent ones merged).
+    leaves: ``conv_id``, ``node`` of its last turn and ``nodes`` of all. Tokens are the ids of ``tokenizer`` (a
+    byte-level BPE file); without one tokens are code points and ``ids`` is null.
 
-    Turns are ordered by turn, then role and text (ties); repeated rows of a turn are turns of their own; null
-    texts and roles are empty; a null turn number comes first; rows with a null ``conv_id`` form one conversation.
+    Turns are ordered by turn, then role, then the SHA-256 of role and text (ties, so that no text is carried along
+    to sort them); repeated rows of a turn are turns of their own; null texts and roles are empty; a null turn number
+    comes first; rows with a null ``conv_id`` form one conversation; an empty table gives no rows.
     """
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hashed = base.withColumn("h", F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.length("role").cast("string"), "role", "text"), 256), 1, 24)))
@@ -61,10 +64,10 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     texts = hashed.select("h", "role", "text").distinct()
     measured = texts.withColumn("formatted", formatted(F.col("role"), F.col("text"))).drop("text")
     if tokenizer is None:
-        sized = measured.withColumn("n_tokens", F.char_length("formatted").cast("long"))
+        sized = measured.withColumn("ids", F.lit(None).cast("array<int>"))
     else:
-        sized = measured.mapInArrow(_counter(tokenizer), "h binary, role string, formatted string, n_tokens long")
-    sized = scratch.written(sized, "turns")
+        sized = measured.mapInArrow(_encoder(tokenizer), "h binary, role string, formatted string, ids array<int>")
+    sized = scratch.written(sized.withColumn("n_tokens", F.coalesce(F.array_size("ids"), F.char_length("formatted")).cast("long")), "turns")
     # distinct paths with the sizes of their turns
     paths = convs.select("path").distinct()
     flat = paths.select(F.sha2(_flat(F.col("path")), 256).alias("leaf"), F.posexplode("path").alias("k", "h")).join(sized.select("h", "n_tokens"), "h")
@@ -74,8 +77,8 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     ordered = scratch.written(ordered.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()), "paths")
     nodes = _walk(ordered)
     roles = F.col("role").isin(LOSS_ROLES)
-    nodes = nodes.join(sized.select("h", "role", "formatted"), "h").select("node", "parent", "depth", "role", "formatted", roles.alias("loss"), "n_tokens", "dfs_start", "position_start", "attends")
-    leaves = convs.select("conv_id", _chain(F.col("path")).alias("nodes"))
+    nodes = nodes.join(sized.select("h", "role", "formatted", "ids"), "h").select("node", "parent", "depth", "role", "formatted", "ids", roles.alias("loss"), "n_tokens", "dfs_start", "position_start", "attends")
+    leaves = convs.select("conv_id", "path").mapInArrow(_chained, "conv_id long, nodes array<string>")
     return nodes, leaves.select("conv_id", F.element_at("nodes", -1).alias("node"), "nodes")
 
 
@@ -83,22 +86,28 @@ def _flat(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda h: F.hex(h)), "")
 
 
-def _chain(path: Column) -> Column:
-    """Ids of the nodes along a path: each the hash of its parent's id and its turn's hash."""
-    start = F.array().cast("array<string>")
-    return F.aggregate(path, start, lambda acc, h: F.concat(acc, F.array(F.substring(F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), F.hex(h)), 256), 1, 32))))
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the nodes along each path: each the hash of its parent's id and its turn's hash."""
+    for batch in batches:
+        chains = []
+        for path in batch.column(1).to_pylist():
+            ids: list[str] = []
+            for h in path:
+                ids.append(_node(ids[-1] if ids else "", h))
+            chains.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, pa.list_(pa.string()))], names=["conv_id", "nodes"])
 
 
-def _counter(tokenizer: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(tokenizer: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import encoder
 
         bpe = encoder(tokenizer)
         for batch in batches:
-            sizes = [len(bpe.encode(x.encode(), [])) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64())], names=["h", "role", "formatted", "n_tokens"])
+            ids = [bpe.encode(x.encode(), []) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["h", "role", "formatted", "ids"])
 
-    return count
+    return encode
 
 
 def _common(a: list, b: list) -> int:
@@ -180,19 +189,23 @@ def _walk(ordered: DataFrame) -> DataFrame:
         for part, path, sizes in rows(batches):
             if last is None:
                 last, last_sizes, begun, at = carried.value[part]
-                begun = list(begun)
                 ids: list[str] = []
-                for h in last:
+                spans: list[list[tuple[int, int]]] = [[]]  # what each depth's children attend to
+                position = [0]
+                for h, n, start in zip(last, last_sizes, begun, strict=True):
                     ids.append(_node(ids[-1] if ids else "", h))
+                    spans.append(_with(spans[-1], start, n))
+                    position.append(position[-1] + n)
             same = _common(last, path)
-            begun, ids = begun[:same], ids[:same]
+            del ids[same:], spans[same + 1 :], position[same + 1 :]
             for k in range(same, len(path)):
-                spans = [{"start": s, "end": s + n} for s, n in zip(begun, sizes[:k], strict=True)]
                 parent = ids[-1] if ids else None
                 ids.append(_node(parent or "", path[k]))
-                for c, v in zip(out, (path[k], ids[-1], parent, k, sizes[k], at, sum(sizes[:k]), spans), strict=True):
+                attends = [{"start": a, "end": b} for a, b in spans[k]]
+                for c, v in zip(out, (path[k], ids[-1], parent, k, sizes[k], at, position[k], attends), strict=True):
                     c.append(v)
-                begun.append(at)
+                spans.append(_with(spans[k], at, sizes[k]))
+                position.append(position[k] + sizes[k])
                 at += sizes[k]
             last = path
             if len(out[0]) >= 4096:
@@ -203,6 +216,13 @@ def _walk(ordered: DataFrame) -> DataFrame:
     return dealt.mapInArrow(by_parts(emit), "h binary, node string, parent string, depth int, n_tokens bigint, dfs_start bigint, position_start bigint, attends array<struct<start:bigint,end:bigint>>")
 
 
+def _with(spans: list[tuple[int, int]], start: int, n: int) -> list[tuple[int, int]]:
+    """``spans`` and [start, start + n), which joins the last one where it ends there."""
+    if spans and spans[-1][1] == start:
+        return [*spans[:-1], (spans[-1][0], start + n)]
+    return [*spans, (start, start + n)]
+
+
 def _node(parent: str, h: bytes) -> str:
     return hashlib.sha256((parent + h.hex().upper()).encode()).hexdigest()[:32]
 

@@ -1,6 +1,7 @@
 """Vectors, conversations, private data, rollups and the pipeline against brute force."""
 
 import hashlib
+import random
 import re
 import uuid
 
@@ -134,11 +135,73 @@ def test_chat(spark, which):
     for r in sorted(table.values(), key=lambda r: r.dfs_start):
         assert r.dfs_start == at
         at += r.n_tokens
-        assert [(a.start, a.end) for a in r.attends] == ([*[(a.start, a.end) for a in table[r.parent].attends], (table[r.parent].dfs_start, table[r.parent].dfs_start + table[r.parent].n_tokens)] if r.parent else [])
-        assert r.position_start == sum(a.end - a.start for a in r.attends)
+        path, up = [], r
+        while up.parent:
+            up = table[up.parent]
+            path += range(up.dfs_start, up.dfs_start + up.n_tokens)
+        seen = [(a.start, a.end) for a in r.attends]
+        assert [x for a, b in seen for x in range(a, b)] == sorted(path) and r.position_start == len(path)
+        assert all(b < c for (_, b), (c, _) in zip(seen, seen[1:]))  # adjacent ancestors are one interval
     assert read_back(*prefix_tree(df.limit(0))).count() == 0
 
 
+def test_chat_chain(spark):
+    """A long chain of turns has one interval per node; its tokens are the library's."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rows = [(1, k, "user", f"turn {k}") for k in range(400)] + [(2, k, "user", f"turn {k}") for k in range(200)] + [(2, 200, "user", "else")]
+    nodes, leaves = prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), path("byte_bpe_50k.json"))
+    got = nodes.collect()
+    lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert len(got) == 401 and sum(len(r.attends) for r in got) <= 401
+    assert all(r.ids == lib.encode(r.formatted, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in got)
+    assert {r.conv_id: len(r.nodes) for r in leaves.collect()} == {1: 400, 2: 201}
+
+
+def test_rollup_query(spark):
+    """The cube of the query against a plain recount."""
+    from collections import defaultdict
+    from itertools import product
+    from zlib import crc32
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    first: dict[str, int] = {}
+    for r in docs:
+        if r.text is not None:
+            first.setdefault(r.text, r.doc_id)
+    want = defaultdict(lambda: [0, 0])
+    for r in docs:
+        if r.text is not None and first[r.text] != r.doc_id:
+            continue
+        n = len(lib.encode(r.text or "", add_special_tokens=False).ids) + (crc32(str(r.doc_id).encode()) % 4 == 2)
+        keys = (r.source, r.lang, "word_bpe_49k")
+        for keep in product((0, 1), repeat=3):
+            total = want[(*(k if s else None for k, s in zip(keys, keep)), sum((1 - s) << (2 - i) for i, s in enumerate(keep)))]
+            total[0] += 1
+            total[1] += n
+    got = {(r.source, r.lang, r.tokenizer, r.grouping): [r.n_docs, r.n_tokens] for r in Q.op6_token_rollup(spark, SMALL).collect()}
+    assert got == dict(want)
+
+
+def test_count_tokens_edges(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from meshframe.llm.rollup import count_tokens
+
+    texts = [None, "", " ", "Hello, WORLD don't", "x" * 300_000, "word " * 100_000, "İstanbul <|endoftext|> 漢字 1234"]
+    df = spark.createDataFrame([(i, t, None if i == 2 else "s", "en", 7) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_tokens long")
+    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
+    got = count_tokens(df.union(df.limit(1)), path("word_bpe_49k.json"), "v")
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted([(i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)] + [(0, 0)])
+    assert count_tokens(df.limit(0), path("word_bpe_49k.json"), "v").count() == 0
+
+
 def test_escape(spark):
     texts = ["", "\\", "\\\\", "<>", "\\l", "\\<l\\\\>g", "a\\"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -220,17 +283,76 @@ def test_pii_names_in_capitals(spark):
     assert got[5] == texts[5]
 
 
+@pytest.mark.parametrize("which", [0, 1])
+def test_pii_against_brute_force(spark, which):
+    """What stands between entities stays; entities map one to one, the same everywhere, and none to an original."""
+    import regex
+
+    from meshframe.llm.pii import GIVEN, PATTERN, STAND_INS
+
+    if which:
+        df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    else:
+        r = random.Random(4)
+        given = sorted(n for names in GIVEN.values() for n in names)
+        make = [
+            lambda: f"{r.choice('abc')}{r.randint(0, 40)}@mail{r.randint(0, 9)}.example.com",
+            lambda: f"10.{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}",
+            lambda: f"+1 ({r.randint(200, 260)}) 555-{r.randint(1000, 1050)}",
+            lambda: f"{r.choice(given)} {r.choice(['Lopez', 'Weber', 'Петрова', 'Παππάς', 'Ionescu'])}",
+            lambda: f"Dr. {r.choice(['Lopez', 'Smith'])}",
+            lambda: "4" + "".join(r.choice("0123456789") for _ in range(15)),
+        ]
+        texts = [" ".join(r.choice([r.choice(make)(), r.choice(["plain", "\ufdd0", "\ufdd1m", "x\ufdd1", "\n", "é", ","])]) for _ in range(r.randint(0, 12))) for _ in range(400)]
+        rows = [(i, t, i, "k") for i, t in enumerate([*texts, None, "", texts[0], "word " * 20000 + "10.1.1.1"])]
+        df = spark.createDataFrame(rows, "doc_id long, text string, key long, row string")
+    before = {r.doc_id: r.text for r in df.collect()}
+    out = replace_entities(df, "secret")
+    assert out.columns == [*df.columns, "n_entities"]
+    find = regex.compile(PATTERN)
+    mapped: dict[str, str] = {}
+    for row in out.collect():
+        text, was = row.text, before.pop(row.doc_id)
+        if was is None:
+            assert text is None and row.n_entities == 0
+            continue
+        spans = [m.span() for m in find.finditer(was)]
+        assert row.n_entities == len(spans)
+        at = 0
+        for k, (a, b) in enumerate(spans):
+            gap = was[spans[k - 1][1] if k else 0 : a]
+            assert text.startswith(gap, at)
+            at += len(gap)
+            old = was[a:b]
+            name = " " in old and old[-1].isalpha()
+            shape = regex.compile(r"\p{L}+\.?" + r" \p{L}+(?:-\p{L}+)?" * old.count(" ")) if name else find  # others are of a detected kind again
+            new = shape.match(text, at)
+            assert new and mapped.setdefault(old, new.group()) == new.group()
+            at = new.end()
+        assert text[at:] == was[spans[-1][1] if spans else 0 :]
+    assert not before
+    titled = lambda x: x.startswith(("Dr. ", "Mr. "))
+    changed = {a: b for a, b in mapped.items() if not titled(a)}
+    assert len(set(changed.values())) == len(changed) and not set(mapped) & set(mapped.values())
+    if not which:
+        names = {a.split()[0]: b.split()[0] for a, b in mapped.items() if a.split()[0] in given}
+        assert len(names) > 40 and len(set(names.values())) == len(names)
+        for group, own in GIVEN.items():
+            assert all(names[n] in STAND_INS[group] for n in own if n in names)
+        assert all(regex.fullmatch(r"\p{IsGreek}+", b.split()[1]) for a, b in mapped.items() if a.endswith("Παππάς"))
+
+
 def test_pii_many_of_a_shape(spark):
     """More surnames than three syllables give, more short addresses than their shape has, a secret of signs only."""
     word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
-    texts = [f"Maria Q{word(i)} came" for i in range(5000)]
+    texts = [f"Maria Q{word(i)} came" for i in range(10000)]
     texts += [f"to {a}@{b}.{c} now" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in ("de", "fr")]
     texts += ["key sk-" + "-" * 24 + " end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in replace_entities(df, "s").collect()}
-    names = {re.fullmatch(r"\w+ ([A-Z][a-z]+) came", got[i].text).group(1) for i in range(5000)}
-    mails = {re.fullmatch(r"to ([a-z]@[a-z](?:\.[a-z]+)?\.example) now", got[i].text).group(1) for i in range(5000, 5800)}
-    assert len(names) == 5000 and len(mails) == 800
+    names = {re.fullmatch(r"\w+ ([A-Z][a-z]+) came", got[i].text).group(1) for i in range(10000)}
+    mails = {re.fullmatch(r"to ([a-z]@[a-z](?:\.[a-z]+)?\.example) now", got[i].text).group(1) for i in range(10000, 10800)}
+    assert len(names) == 10000 and len(mails) == 800
     assert all(r.n_entities == 1 and r.text != texts[i] for i, r in got.items())
 
 
