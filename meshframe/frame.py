@@ -60,13 +60,15 @@ class MeshFrame:
 
     @classmethod
     def from_regions(cls, v: DataFrame, rv: DataFrame, rtype: str = "HEX", r: DataFrame | None = None) -> MeshFrame:
-        """A solid mesh of one standard cell type from ordered vertex lists; faces and edges are derived.
+        """A solid mesh of standard cells from ordered vertex lists; faces and edges are derived. Cells are of the type that
+        ``r`` (``rid, rtype, gdim, gent``) says, or all of ``rtype``.
 
         A face shared by two cells is defined by the cell of the smaller id (direction 1 there, 0 in the other)."""
         spark = v.sparkSession
-        template = [(rtype, lf, k, lv) for lf, loop in enumerate(TEMPLATES[rtype]) for k, lv in enumerate(loop)]
-        tpl = F.broadcast(spark.createDataFrame(template, "rtype string, lf int, k int, lv int"))  # at most 24 rows
-        uses = rv.join(tpl, rv["pos"] == tpl["lv"]).groupBy("rid", "lf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "vid"))), lambda s: s["vid"]).alias("loop"))
+        template = [(t, lf, k, lv) for t in TEMPLATES for lf, loop in enumerate(TEMPLATES[t]) for k, lv in enumerate(loop)]
+        tpl = F.broadcast(spark.createDataFrame(template, "rtype string, lf int, k int, lv int"))  # 70 rows
+        typed = rv.withColumn("rtype", F.lit(rtype)) if r is None else rv.join(r.select("rid", "rtype"), "rid")
+        uses = typed.join(tpl, (typed["pos"] == tpl["lv"]) & (typed["rtype"] == tpl["rtype"])).groupBy("rid", "lf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "vid"))), lambda s: s["vid"]).alias("loop"))
         keyed = uses.withColumn("key", F.array_sort("loop"))
         first = keyed.groupBy("key").agg(F.min(F.struct("rid", "lf", "loop")).alias("o"))
         faces = number(first.select("key", "o.*"), "fid", "rid", "lf")

@@ -19,11 +19,13 @@ SCHEMAS = {
     "AV": "name string, dim int, id long, ival int, dval double, vval array<double>, ref struct<dim:int,id:long>",
     "SD": "set string, entdim int",
     "SM": "set string, pos int, dim int, id long",
+    "G": "dim int, id long, gid long",
 }
 
-#: Faces of standard cells as places in their vertex lists (outward loops): bottom loop first, then the top.
+#: Faces of standard cells as places in their vertex lists (outward loops, bottom loop first, then the top).
+#: The order of loops is part of the native format.
 TEMPLATES = {
-    "TET": [[0, 2, 1], [0, 1, 3], [1, 2, 3], [2, 0, 3]],
+    "TET": [[0, 2, 1], [0, 1, 3], [1, 2, 3], [0, 3, 2]],
     "PYRAMID": [[0, 3, 2, 1], [0, 1, 4], [1, 2, 4], [2, 3, 4], [3, 0, 4]],
     "PRISM": [[0, 2, 1], [3, 4, 5], [0, 1, 4, 3], [1, 2, 5, 4], [2, 0, 3, 5]],
     "HEX": [[0, 3, 2, 1], [4, 5, 6, 7], [0, 1, 5, 4], [1, 2, 6, 5], [2, 3, 7, 6], [3, 0, 4, 7]],

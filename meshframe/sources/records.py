@@ -49,7 +49,7 @@ def to_mesh(rows: DataFrame, spark: SparkSession, part: int = 0) -> MeshFrame:
     empty = MeshFrame.empty(spark)
     if "RV" in has and "FE" not in has and "FV" not in has:
         kinds = r.where("t = 'R'").select(F.col("id").alias("rid"), F.col("name").alias("rtype"), "gdim", "gent")
-        m = MeshFrame.from_regions(v, r.where("t = 'RV'").select(F.col("id").alias("rid"), "pos", F.col("ref").alias("vid")), kinds.first().rtype, kinds)
+        m = MeshFrame.from_regions(v, r.where("t = 'RV'").select(F.col("id").alias("rid"), "pos", F.col("ref").alias("vid")), r=kinds)
     elif "FE" in has:
         e = r.where("t = 'E'").select(F.col("id").alias("eid"), F.col("ref").alias("v0"), F.col("pos").cast("long").alias("v1"), "gdim", "gent")
         e = e.select("eid", "v0", "v1", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"), "gdim", "gent")
