@@ -83,6 +83,26 @@ def _first_basis(size: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndar
     return basis
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product by numpy's own loops: a driver's BLAS brings threads of its own, which can wait for each other."""
+    return np.einsum("ij,j->i", matrix, vector, optimize=False)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, on one thread."""
+    m = len(matrix)
+    work = np.concatenate([matrix, np.eye(m)], axis=1)
+    for c in range(m):
+        p = c + int(np.abs(work[c:, c]).argmax())
+        if p != c:
+            work[[c, p]] = work[[p, c]]
+        work[c] /= work[c, c]
+        rows = np.flatnonzero(work[:, c])
+        rows = rows[rows != c]
+        work[rows] -= work[rows, c, None] * work[c]
+    return work[:, m:]
+
+
 def solve(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used (fractions) so that demands are met by fewest sequences, up to
     a share of GAP (by the bound that the value of the best pattern gives)."""
@@ -90,17 +110,17 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarr
     if not m:
         return np.zeros((0, 0)), np.zeros(0)
     basis = _first_basis(size, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    use = inverse @ demand
+    inverse = _inverse(basis)
+    use = _times(inverse, demand)
     for step in range(MAX_STEPS):
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ demand
+        if step % 300 == 299:
+            inverse = _inverse(basis)
+            use = _times(inverse, demand)
         dual = inverse.sum(axis=0)
         column = _best_pattern(np.maximum(dual, 0), size, capacity)
-        if dual @ column <= 1 + GAP:
+        if (dual * column).sum() <= 1 + GAP:
             break
-        turn = inverse @ column
+        turn = _times(inverse, column)
         ratio = np.where(turn > 1e-9, use / np.where(turn > 1e-9, turn, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -108,7 +128,7 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarr
         basis[:, out] = column
         pivot = inverse[out] / turn[out]
         move = ratio[out]
-        inverse -= np.outer(turn, pivot)
+        inverse -= turn[:, None] * pivot
         inverse[out] = pivot
         use -= turn * move
         use[out] = move
@@ -181,8 +201,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
         encode = word_bpe(tokenizer).encode
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = np.append(encode(text.as_buffer().to_pybytes() if text.is_valid else b""), np.int32(end_id)).astype("<u4")
+            for row, own in enumerate(encode(batch.column(1))):
+                ids = np.append(own, np.int32(end_id)).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     rows.append(row)
                     start.append(at)

@@ -28,9 +28,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import word_bpe
 
-        encode = word_bpe(tokenizer).encode
+        count_ids = word_bpe(tokenizer).counts
         for batch in batches:
-            sizes = [len(encode(x.as_buffer().to_pybytes())) if x.is_valid else 0 for x in batch.column(3)]
+            sizes = count_ids(batch.column(3))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
