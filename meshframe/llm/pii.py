@@ -9,13 +9,18 @@
   entity get one surrogate, in every document.
 * *Distinctness*: surrogates are checked against each other and against the originals of the corpus; whoever
   loses is drawn anew with the next attempt until no collision is left. Where a shape has few values, they grow with
-  the attempt: surnames get further syllables, addresses one more host label, secrets letters for signs.
+  the attempt: surnames get further syllables, addresses one more host label, secrets letters for signs. Given names
+  are detected by a list and mapped one to one to another list of the same script and gender, in an order that the
+  key decides.
 
-Texts are replaced by content: equal texts are worked out once. Only rows with an entity are shuffled.
+The pattern runs over each text once: what it finds is marked in the text, and the marked texts are written, so that
+finding and replacing read the same marks. Equal texts are replaced once. Only rows with an entity are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +34,17 @@ GIVEN = {
     ("cyrillic", "f"): ["Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья", "Татьяна", "Светлана"],
     ("cyrillic", "m"): ["Иван", "Пётр", "Алексей", "Сергей", "Дмитрий", "Николай", "Андрей", "Михаил"],
 }
+#: The given names that replace them, as many of each script and gender, all others.
+STAND_INS = {
+    ("latin", "f"): ["Amelia", "Beatrice", "Diana", "Estelle", "Frieda", "Greta", "Helena", "Irma", "Judith", "Karla", "Lydia", "Miriam", "Olivia", "Renata", "Silvia", "Vera"],
+    ("latin", "m"): ["Albert", "Bruno", "Conrad", "Dennis", "Edgar", "Felix", "Gustav", "Hugo", "Ivan", "Julian", "Karl", "Leonard", "Marcus", "Norman", "Oliver", "Victor"],
+    ("cyrillic", "f"): ["Вера", "Галина", "Дарья", "Евгения", "Лидия", "Нина", "Полина", "Софья"],
+    ("cyrillic", "m"): ["Борис", "Виктор", "Григорий", "Евгений", "Игорь", "Константин", "Леонид", "Павел"],
+}
 SYLLABLES = {
     "latin": ["bel", "cor", "dan", "fal", "gar", "hol", "kem", "lin", "mar", "nor", "pel", "ros", "sal", "tor", "ven", "wel"],
     "cyrillic": ["бел", "вор", "гал", "дон", "зим", "кар", "лес", "мор", "нов", "пет", "рос", "сол", "тих", "фед", "хол", "чер"],
+    "greek": ["αλ", "βεν", "γαρ", "δελ", "ζαν", "θεο", "καρ", "λαμ", "μαν", "νικ", "παλ", "ραν", "σαρ", "ταν", "φιλ", "χρι"],
 }
 #: Titles that, before a capitalised word, mark it as a surname.
 TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Mme", "Sr.", "Sra."]
@@ -68,9 +81,19 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
-def entities(text: Column) -> Column:
-    """Every detected entity of a text, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+#: Signs that no text should hold (noncharacters): MARK stands at both ends of an entity; where a text does hold one,
+#: QUOTE and a letter stand for it.
+MARK, QUOTE = "\ufdd0", "\ufdd1"
+
+
+def marked(text: Column) -> Column:
+    """The text with marks around every detected entity: split at MARK, entities have the odd places."""
+    quoted = F.when(text.rlike(f"[{MARK}{QUOTE}]"), F.replace(F.replace(text, F.lit(QUOTE), F.lit(QUOTE + "q")), F.lit(MARK), F.lit(QUOTE + "m"))).otherwise(text)
+    return F.regexp_replace(quoted, PATTERN, f"{MARK}$0{MARK}")
+
+
+def unquoted(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(QUOTE + "m"), F.lit(MARK)), F.lit(QUOTE + "q"), F.lit(QUOTE))
 
 
 def kind_of(entity: Column) -> Column:
@@ -85,7 +108,8 @@ def _digits(x: Column) -> Column:
 
 
 def _script(word: Column) -> Column:
-    return F.when(word.rlike("\\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    """Other scripts than these three count as Latin."""
+    return F.when(word.rlike("\\p{IsCyrillic}"), F.lit("cyrillic")).when(word.rlike("\\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
 def parts_of(entity: Column, kind: Column) -> Column:
@@ -112,6 +136,10 @@ def _stream(secret: str, kind: Column, canon: Column, attempt: Column, n: Column
     return let(text, lambda t: F.transform(F.sequence(F.lit(0), (F.length(t) / 4).cast("int") - 1), lambda i: F.conv(F.substring(t, (i * 4 + 1).cast("int"), 4), 16, 10).cast("int")))
 
 
+def _shuffled(names: list[str], secret: str) -> list[str]:
+    return sorted((n.lower() for n in names), key=lambda n: hashlib.sha256(f"{secret}\x1f{n}".encode()).digest())
+
+
 def _pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values))) + 1)
 
@@ -164,8 +192,9 @@ def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Colu
             .when(kind == "card", F.concat(card, _check_digit(card)))
             .when(kind == "phone", F.concat(F.substring(canon, 1, 1), F.substring(_alike(canon, r), F.lit(2), F.length(canon))))
         )
-        for (script, gender), names in GIVEN.items():
-            out = out.when(kind == f"given:{script}:{gender}", F.lower(_pick(names, at(1))))
+        for group, names in GIVEN.items():
+            stand_in = dict(zip((n.lower() for n in names), _shuffled(STAND_INS[group], secret), strict=True))
+            out = out.when(kind == "given:" + ":".join(group), F.create_map(*(F.lit(x) for pair in stand_in.items() for x in pair))[canon])
         for script, syllables in SYLLABLES.items():
             out = out.when(kind == f"surname:{script}", _joined(syllables, F.slice(r, 1, 3 + F.least(attempt, F.lit(13)))))
         return out.otherwise(canon)
@@ -187,8 +216,8 @@ def render(kind: Column, text: Column, sur: Column) -> Column:
 
 
 def surrogates(atoms: DataFrame, secret: str, max_rounds: int = 40) -> DataFrame:
-    """``kind, canon, sur`` for distinct (``kind``, ``canon``), distinct surrogates within a kind (but given names, of
-    which there are few: two may share one; a surname keeps whole names apart) and none equal to an original."""
+    """``kind, canon, sur`` for distinct (``kind``, ``canon``): distinct surrogates within a kind, none equal to an original
+    of the corpus. Given names have that by their lists; titles stay."""
     free = F.col("kind").rlike("^(given|title)")
     make = lambda df: df.withColumn("sur", surrogate(secret, F.col("kind"), F.col("canon"), F.col("attempt")))
     now = scratch.written(make(atoms.withColumn("attempt", F.lit(0))), "surrogates")
@@ -210,23 +239,26 @@ def surrogates(atoms: DataFrame, secret: str, max_rounds: int = 40) -> DataFrame
 def replace_entities(docs: DataFrame, secret: str) -> DataFrame:
     """``docs`` with every detected entity of ``text`` replaced and ``n_entities`` (0 where none).
 
-    Null and empty texts stay; all rows and other columns are kept as they are (an ``n_entities`` column is
-    replaced); the same entity gets the same surrogate wherever it occurs and equal texts stay equal.
+    Null and empty texts stay; all rows and other columns are kept as they are, whatever their names (an
+    ``n_entities`` column is replaced); the same entity gets the same surrogate wherever it occurs and equal texts
+    stay equal. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "n_entities"]
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
-    key = F.sha2(F.col("text"), 256)
-    marked = base.where(F.coalesce(F.col("text"), F.lit("")).rlike(PATTERN))
-    seen = marked.select(key.alias("__key"), F.posexplode(entities(F.col("text"))).alias("__pos", "entity")).distinct()
-    seen = scratch.written(seen, "entities")
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
+    scanned = docs.select(others.alias("row"), let(marked(F.col("text").cast("string")), lambda m: F.struct(m.alias("m"), F.contains(m, F.lit(MARK)).alias("has"))).alias("s"), "text")
+    held = F.when(F.col("s")["has"], F.col("s")["m"])
+    table = scratch.written(scanned.select("row", F.sha2(held, 256).alias("key"), held.alias("marked"), F.when(held.isNull(), F.col("text")).alias("text")), "marked")
+    hits = table.where("key is not null")
+    found = F.filter(F.split("marked", MARK, -1), lambda x, i: F.pmod(i, F.lit(2)) == 1)
+    seen = scratch.written(hits.select("key", F.posexplode(found).alias("pos", "entity")).distinct(), "entities")
     kinds = seen.select("entity").distinct().withColumn("k", kind_of(F.col("entity")))
     parts = scratch.written(kinds.select("entity", F.posexplode(parts_of(F.col("entity"), F.col("k"))).alias("i", "p")).select("entity", "i", "p.*"), "parts")
     named = surrogates(parts.select("kind", "canon").distinct(), secret)
     put = parts.join(named, ["kind", "canon"]).select("entity", "i", render(F.col("kind"), F.col("text"), F.col("sur")).alias("new"))
     new = put.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), " ").alias("new"))
-    told = seen.join(new, "entity").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__pos", "new"))).alias("__new"))
-    gaps = F.split(F.col("text"), PATTERN, -1)
-    text = let(gaps, lambda g: F.array_join(F.transform(g, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit("")))), ""))
-    changed = marked.withColumn("__key", key).join(told, "__key").withColumn("n_entities", F.size("__new")).withColumn("text", text)
-    same = base.where(~F.coalesce(F.col("text"), F.lit("")).rlike(PATTERN)).withColumn("n_entities", F.lit(0))
-    return changed.select(*[F.col(f"`{c}`") for c in names], "n_entities").union(same.select(*[F.col(f"`{c}`") for c in names], "n_entities"))
+    told = seen.join(new, "entity").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"))
+    pieces = F.transform(F.split("marked", MARK, -1), lambda x, i: F.when(F.pmod(i, F.lit(2)) == 0, unquoted(x)).otherwise(F.get(F.col("news"), F.floor(i / 2).cast("int"))))
+    changed = hits.join(told, "key").select("row", F.array_join(pieces, "").alias("text"), F.size("news").alias("n_entities"))
+    same = table.where("key is null").select("row", "text", F.lit(0).alias("n_entities"))
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return changed.union(same).select(*columns, "n_entities")
