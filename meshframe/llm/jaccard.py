@@ -8,17 +8,19 @@ Two sets link when ``den * |a & b| >= num * |a | b|``. Steps, all distributed:
 2. *Sets.* Equal sets collapse into one class by a 128-bit fingerprint; a class is represented by its smallest
    document. Copies are never expanded.
 3. *Index.* A set's prefix (the ``n - ceil(num * n / den) + 1`` lowest shingles) is indexed. Lists of one entry
-   are dropped; the others are cut into blocks of sizes a factor ``num / den`` apart, so that sets whose sizes
-   rule a link out never meet (block skipping). Every linked pair shares a block.
+   are dropped; the others are cut into blocks of sizes a factor ``num / den`` apart, and a set stands in the block
+   of its own size and visits the next one. An entry skips that visit when its position in the set rules it out:
+   from position ``i`` on, ``n - i`` shingles are left, which must suffice for the overlap with the larger set.
+   Every linked pair shares a block (that of its first common shingle, at the larger set's size).
 4. *Groups.* The members of a block form a group under the block's smallest member: one row per member, so that
    rows grow with members and not with pairs. Groups over a bound of members or shingles are cut into chunks
    and every pair of chunks becomes a task of its own.
 5. *Sifting.* What two prefixes share bounds what their sets can share. A group's members are first compared on
    prefixes alone; only those with a possible partner have their texts sent to it.
 6. *Answers.* A group compares all members with its leader; the leader's answer then settles the members it
-   links. Pairs that this answer leaves open are compared anew, size block by size block, on all shingles that
-   occur twice in the group: no answer is derived from that of a similar set, and lists are not skipped by
-   position. A task returns a spanning forest of the links it found, never all pairs.
+   links. Answers for pairs that are left open are derived from the leader's: two sets share what the leader's
+   answers say, corrected by what both lack of the leader and by what both have beyond it. Only these differences
+   are compared, size block by size block. A task returns a spanning forest of the links it found, never all pairs.
 7. *Components* of classes by large-star and small-star rounds.
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -109,9 +111,9 @@ def ordered_sets(docs: DataFrame, k: int, num: int, den: int, lower: bool = True
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, cid binary, toks array<long>")
 
 
-def _classes(n: str, num: int, den: int):
+def _classes(n: Column, num: int, den: int) -> Column:
     """Size class: linked sets are in the same class or in neighbouring ones."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(den / num))) + 1e-9).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num))) + 1e-9).cast("int")
 
 
 class _Forest:
@@ -135,9 +137,10 @@ class _Forest:
 def joined(sets: list[np.ndarray], size: np.ndarray, hit: Callable, num: int, den: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of ``sets`` (sorted distinct hashes) for which ``hit(inter, i, j)`` holds.
 
-    ``size`` are the sizes that rule pairs out (``den * smaller < num * larger``). The leader is the first set.
-    Its answers come first; other pairs are compared on shingles that occur twice at least, in blocks of sets
-    ordered by size, and blocks are skipped when their sizes rule a pair out or all their sets are joined."""
+    ``size`` are the sizes that rule pairs out (``den * smaller < num * larger``). The leader ``L`` is the first set; its
+    answers ``|a & L|`` come first. Any other pair's answer follows from two of them and the pair's differences from L:
+    ``|a & b| = |a & L| + |b & L| - |L| + |both lack of L| + |both have beyond L|``. Differences are compared in blocks
+    of sets ordered by size; blocks are skipped when their sizes rule a pair out or all their sets are joined."""
     m = len(sets)
     if m == 2:
         if den * min(size) < num * max(size):
@@ -162,12 +165,24 @@ def joined(sets: list[np.ndarray], size: np.ndarray, hit: Callable, num: int, de
     by_size = np.argsort(size, kind="stable")
     spot = np.empty(m, np.int64)
     spot[by_size] = np.arange(m)
+    # a set as its differences from the leader: shingles of the leader that it lacks, and those that it has beyond
+    led = lead[code]
+    _, beyond = np.unique(code[~led], return_inverse=True)
+    _, known = np.unique(code[led], return_inverse=True)
+    n_lead = int(known.max()) + 1 if len(known) else 0
+    absent = np.ones((m, n_lead), bool)
+    absent[owner[led], known] = False
+    lacker, lacked = np.nonzero(absent)
+    del absent
+    owner, code = np.concatenate([lacker, owner[~led]]), np.concatenate([lacked, n_lead + beyond])
+    _, code, times = np.unique(code, return_inverse=True, return_counts=True)
+    owner, code = owner[times[code] > 1], code[times[code] > 1]
     _, code = np.unique(code, return_inverse=True)
     width = int(code.max()) + 1 if len(code) else 0
     order = np.argsort(spot[owner], kind="stable")
     code, place = code[order], spot[owner][order]
     first = np.searchsorted(place, np.arange(0, m + rows, rows))
-    size_s, settled_s = size[by_size], settled[by_size]
+    size_s, settled_s, inter_s = size[by_size], settled[by_size], inter[by_size]
     for a in range(0, m, rows):
         na = min(rows, m - a)
         b = a
@@ -184,7 +199,8 @@ def joined(sets: list[np.ndarray], size: np.ndarray, hit: Callable, num: int, de
                         grid[pp[here] - at, cc[here] - c] = 1
                     gram += left @ right.T
                 sa, sb = size_s[a : a + na, None], size_s[None, b : b + nb]
-                fit = (den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)) & hit(gram.astype(np.int64), by_size[a : a + na, None], by_size[None, b : b + nb])
+                both = inter_s[a : a + na, None] + inter_s[None, b : b + nb] - n_lead + gram.astype(np.int64)
+                fit = (den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)) & hit(both, by_size[a : a + na, None], by_size[None, b : b + nb])
                 for i, j in np.argwhere(fit):
                     x, y = int(by_size[a + i]), int(by_size[b + j])
                     if x != y and forest.join(x, y):
@@ -232,10 +248,12 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int,
     """``a, b``: links between representatives of distinct sets whose components are those of all links."""
     reps = sets.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     own = sets.join(reps, ["cid", "doc_id"], "left_semi").dropDuplicates(["doc_id", "cid"])
-    posts = own.select(F.explode("toks").alias("tok"), F.col("doc_id").alias("x"), "n")
+    posts = own.select(F.posexplode("toks").alias("i", "tok"), F.col("doc_id").alias("x"), "n")
     lists = posts.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    cut = _classes("n", num, den)
-    entries = posts.join(lists, "tok").select("tok", "x", "n", F.explode(F.array(cut, cut + 1)).alias("g"), cut.alias("home"))
+    cut = _classes(F.col("n"), num, den)
+    largest = F.floor((F.col("n") - F.col("i")) * (num + den) / num - F.col("n") + 1e-6)  # that an entry at i can link with
+    visits = (largest > F.col("n")) & (_classes(largest, num, den) > cut)
+    entries = posts.join(lists, "tok").select("tok", "x", "n", F.explode(F.when(visits, F.array(cut, cut + 1)).otherwise(F.array(cut))).alias("g"), cut.alias("home"))
     blocks_ = entries.groupBy("tok", "g").agg(F.min("x").alias("l"), F.count("*").alias("m"), F.max(F.col("g") == F.col("home")).alias("h")).where("m > 1 and h").select("tok", "g", "l")
     members = scratch.written(entries.join(blocks_, ["tok", "g"]).select("l", "g", "x", "n").distinct(), "members")
     groups = members.groupBy("l", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
