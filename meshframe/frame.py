@@ -78,6 +78,19 @@ class MeshFrame:
         regions = r if r is not None else rv.select("rid").distinct().select("rid", F.lit(rtype).alias("rtype"), F.lit(3).alias("gdim"), F.lit(1).cast("long").alias("gent"))
         return cls.from_faces(v, fv, f).with_tables(R=regions, RF=rf, RV=rv)
 
+    @classmethod
+    def from_lists(cls, spark: SparkSession, points: list, faces: list[list[int]] | None = None, regions: list[list[int]] | None = None) -> MeshFrame:
+        """A small mesh from literals: points, and the vertex numbers (from 1) of faces or of standard cells, not both."""
+        if (faces is None) == (regions is None):
+            raise ValueError("give faces or regions")
+        v = spark.createDataFrame([(i, *map(float, p), UNKNOWN_DIM, UNKNOWN_ID) for i, p in enumerate(points, 1)], SCHEMAS["V"])
+        rows = [(i, k, x) for i, ids in enumerate(faces or regions, 1) for k, x in enumerate(ids)]
+        if faces is not None:
+            return cls.from_faces(v, spark.createDataFrame(rows, SCHEMAS["FV"]))
+        kinds = {4: "TET", 5: "PYRAMID", 6: "PRISM", 8: "HEX"}
+        r = spark.createDataFrame([(i, kinds[len(ids)], 3, 1) for i, ids in enumerate(regions, 1)], SCHEMAS["R"])
+        return cls.from_regions(v, spark.createDataFrame(rows, SCHEMAS["RV"]), r=r)
+
     def with_tables(self, **tables: DataFrame) -> MeshFrame:
         return replace(self, tables=self.tables | tables)
 

@@ -22,6 +22,11 @@ def contains(a: Column, x) -> Column:
     return F.array_contains(a, x)
 
 
+def search(a: Column, test) -> Column:
+    """The first entry for which ``test`` holds; null without one."""
+    return F.get(F.filter(a, test), F.lit(0))
+
+
 def insert_at(a: Column, x, i: int) -> Column:
     return F.array_insert(a, F.lit(i + 1), x if isinstance(x, Column) else F.lit(x))
 

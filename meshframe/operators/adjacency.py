@@ -117,6 +117,18 @@ def common_edge(m: MeshFrame, pairs: DataFrame) -> DataFrame:
     return keyed.join(m.E.select("lo", "hi", "eid"), ["lo", "hi"], "left").select("a", "b", "eid")
 
 
+def opposite_vertex(m: MeshFrame, asked: DataFrame) -> DataFrame:
+    """``eid, vid, opp`` for pairs in ``asked`` (``eid``, ``vid``): the edge's other end, 0 where the vertex is no end."""
+    other = F.when(F.col("v0") == F.col("vid"), F.col("v1")).when(F.col("v1") == F.col("vid"), F.col("v0")).otherwise(0)
+    return asked.join(m.E.select("eid", "v0", "v1"), "eid").select("eid", "vid", other.cast("long").alias("opp"))
+
+
+def same_edges(m: MeshFrame) -> DataFrame:
+    """``eid, same``: edges on equal end vertices (``same`` is the smallest such edge)."""
+    first = m.E.groupBy("lo", "hi").agg(F.min("eid").alias("same"), F.count("*").alias("c")).where("c > 1")
+    return m.E.join(first, ["lo", "hi"]).select("eid", "same")
+
+
 def containing(incidence: DataFrame, key: str, member: str, groups: DataFrame) -> DataFrame:
     """Relational division: ``grp, key`` where ``key`` has every member of the group (``groups``: ``grp``, member)."""
     wanted = groups.distinct()

@@ -5,10 +5,14 @@ New model ids are dense ranks of signatures; they equal those of any other order
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
+from ..schema import UNKNOWN_DIM, UNKNOWN_ID
+from .geometry import dihedral_cosines
+from .graph import components
 
 
 def _ranked(df: DataFrame, *signature: str) -> DataFrame:
@@ -17,24 +21,67 @@ def _ranked(df: DataFrame, *signature: str) -> DataFrame:
     return df.join(keys.withColumn("gent", F.dense_rank().over(Window.orderBy(*signature)).cast("long")), list(signature))
 
 
-def classify_faces(m: MeshFrame) -> DataFrame:
-    """``fid, gdim, gent``: inside (3) between cells of one material, else on a boundary (2) per pair of materials."""
-    ids = m.RF.join(m.R.select("rid", F.col("gent").alias("mat")), "rid").groupBy("fid").agg(F.count("*").alias("k"), F.min("mat").alias("a"), F.max("mat").alias("b"))
-    f = m.F.select("fid").join(ids, "fid", "left").select("fid", F.coalesce("k", F.lit(0)).alias("k"), F.when(F.col("k") == 2, F.col("a")).otherwise(0).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+def fill_region_ids(m: MeshFrame) -> DataFrame:
+    """``rid, gdim, gent``: cells without a model id (0 or less) get one id beyond all others."""
+    top = m.R.agg(F.greatest(F.max("gent"), F.lit(0)).alias("top"))
+    return m.R.crossJoin(F.broadcast(top)).select("rid", F.lit(3).alias("gdim"), F.when(F.col("gent") <= 0, F.col("top") + 1).otherwise(F.col("gent")).alias("gent"))  # one row
+
+
+#: Surfaces are cut along edges whose faces meet at a sharper angle than this (degrees).
+SMOOTH = 150.0
+
+
+def classify_faces(m: MeshFrame, geometry: bool = False, keep: bool = False) -> DataFrame:
+    """``fid, gdim, gent``: inside (3) between cells of one material, else on a boundary (2) per pair of materials.
+
+    With ``keep``, boundary faces that have a positive id of dimension 2 keep it and new ids follow the largest. With
+    ``geometry``, each boundary surface is cut along ``sharp_edges``: its pieces are connected over smooth edges."""
+    regions = fill_region_ids(m)
+    ids = m.RF.join(regions.select("rid", F.col("gent").alias("mat")), "rid").groupBy("fid").agg(F.count("*").alias("k"), F.min("mat").alias("a"), F.max("mat").alias("b"))
+    f = m.F.select("fid", F.when((F.col("gdim") == 2) & (F.col("gent") > 0), F.col("gent")).alias("had")).join(ids, "fid", "left").select("fid", "had", F.coalesce("k", F.lit(0)).alias("k"), F.when(F.col("k") == 2, F.col("a")).otherwise(0).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
     inside = f.where("k = 2 and a = b").select("fid", F.lit(3).alias("gdim"), F.col("a").cast("long").alias("gent"))
-    border = _ranked(f.where("not (k = 2 and a = b)"), "a", "b").select("fid", F.lit(2).alias("gdim"), "gent")
-    return inside.union(border)
+    border = f.where("not (k = 2 and a = b)")
+    kept = border.where("had is not null").select("fid", F.lit(2).alias("gdim"), F.col("had").alias("gent")) if keep else None
+    new = border.where("had is null") if keep else border
+    signature = ["a", "b"]
+    if geometry:
+        pairs = _meetings(m, new.select("fid", F.struct("a", "b").alias("sig"))).where(F.col("cosine") <= float(np.cos(np.radians(SMOOTH))))
+        links = pairs.select(F.col("f1").alias("src"), F.col("f2").alias("dst"))
+        piece = components(new.select(F.col("fid").alias("node")), links.union(links.select("dst", "src")))
+        new, signature = new.join(piece.withColumnRenamed("node", "fid"), "fid"), ["a", "b", "component"]
+    out = inside.union(_ranked(new, *signature).select("fid", F.lit(2).alias("gdim"), "gent"))
+    if keep:
+        top = kept.agg(F.coalesce(F.max("gent"), F.lit(0)).alias("top"))
+        shifted = out.crossJoin(F.broadcast(top)).select("fid", "gdim", F.when(F.col("gdim") == 2, F.col("gent") + F.col("top")).otherwise(F.col("gent")).alias("gent"))  # one row
+        out = shifted.union(kept)
+    return out
+
+
+def _meetings(m: MeshFrame, faces: DataFrame) -> DataFrame:
+    """``eid, f1, f2, cosine`` of edges where exactly two of ``faces`` (``fid``, ``sig``) meet and agree in ``sig``."""
+    at = m.FE.join(faces, "fid")
+    two = at.groupBy("eid").agg(F.count("*").alias("k"), F.min("fid").alias("f1"), F.max("fid").alias("f2"), F.count_distinct("sig").alias("s")).where("k = 2 and s = 1 and f1 < f2").select("eid", "f1", "f2")
+    return dihedral_cosines(m).join(two, ["eid", "f1", "f2"])
 
 
-def classify_edges(m: MeshFrame, faces: DataFrame | None = None) -> DataFrame:
-    """``eid, gdim, gent`` from the classification of faces (``fid, gdim, gent``; by default that of the mesh)."""
+def sharp_edges(m: MeshFrame, faces: DataFrame) -> DataFrame:
+    """``eid`` of edges between two boundary faces of one surface (``fid, gdim, gent``) that meet sharper than SMOOTH."""
+    return _meetings(m, faces.where("gdim = 2").select("fid", F.col("gent").alias("sig"))).where(F.col("cosine") > float(np.cos(np.radians(SMOOTH)))).select("eid").distinct()
+
+
+def classify_edges(m: MeshFrame, faces: DataFrame | None = None, sharp: DataFrame | None = None) -> DataFrame:
+    """``eid, gdim, gent`` from the classification of faces (``fid, gdim, gent``; by default that of the mesh). Edges in
+    ``sharp`` (``eid``) lie on a curve even inside one surface."""
     faces = m.F.select("fid", "gdim", "gent") if faces is None else faces
     j = m.FE.select("eid", "fid").join(faces, "fid")
     on = F.when(F.col("gdim") == 2, F.col("gent"))
     e = j.groupBy("eid").agg(F.count_if(F.col("gdim") == 2).alias("k"), F.array_join(F.array_sort(F.collect_set(on)), ",").alias("sig"), F.min(on).alias("one"), F.min(F.when(F.col("gdim") == 3, F.col("gent"))).alias("vol"))
     e = m.E.select("eid").join(e, "eid", "left").fillna({"k": 0, "sig": ""})
     inside = e.where("k = 0 and vol is not null").select("eid", F.lit(3).alias("gdim"), F.col("vol").cast("long").alias("gent"))
-    same = (F.col("k") == 2) & ~F.col("sig").contains(",")
+    tagged = F.lit(False)
+    if sharp is not None:
+        e, tagged = e.join(sharp.select("eid", F.lit(True).alias("tag")), "eid", "left").fillna({"tag": False}), F.col("tag")
+    same = (F.col("k") == 2) & ~F.col("sig").contains(",") & ~tagged
     surface = e.where(F.col("vol").isNotNull() | (F.col("k") > 0)).where("k > 0").where(same).select("eid", F.lit(2).alias("gdim"), F.col("one").cast("long").alias("gent"))
     curve = _ranked(e.where("k > 0").where(~same).union(e.where("k = 0 and vol is null")), "k", "sig").select("eid", F.lit(1).alias("gdim"), "gent")
     return inside.union(surface).union(curve)
@@ -61,6 +108,26 @@ def infer_edge_class(m: MeshFrame) -> DataFrame:
     return m.E.join(a, "v0").join(b, "v1").select("eid", d.alias("gdim"), g.alias("gent"))
 
 
+def infer_face_class(m: MeshFrame) -> DataFrame:
+    """``fid, gdim, gent`` from the edges and vertices: of the highest dimension among them, if that is 2 or more and they
+    agree in its id; else unknown (4, 0)."""
+    below = m.FE.join(m.E.select("eid", "gdim", "gent"), "eid").select("fid", "gdim", "gent").union(m.FV.join(m.V.select("vid", "gdim", "gent"), "vid").select("fid", "gdim", "gent"))
+    return _from_below(m.F.select("fid"), below.where("gdim <= 3"), "fid", 2)
+
+
+def infer_region_class(m: MeshFrame) -> DataFrame:
+    """``rid, gdim, gent`` from inner faces, if they agree; else unknown (4, 0)."""
+    below = m.RF.join(m.F.select("fid", "gdim", "gent"), "fid").select("rid", "gdim", "gent")
+    return _from_below(m.R.select("rid"), below.where("gdim = 3"), "rid", 3)
+
+
+def _from_below(entities: DataFrame, below: DataFrame, key: str, least: int) -> DataFrame:
+    top = below.groupBy(key).agg(F.max("gdim").alias("d"))
+    got = below.join(top, key).where("gdim = d").groupBy(key).agg(F.max("d").alias("d"), F.min("gent").alias("a"), F.max("gent").alias("b"))
+    fine = F.coalesce((F.col("d") >= least) & (F.col("a") == F.col("b")) & (F.col("a") > 0), F.lit(False))
+    return entities.join(got, key, "left").select(key, F.when(fine, F.col("d")).otherwise(UNKNOWN_DIM).alias("gdim"), F.when(fine, F.col("a")).otherwise(UNKNOWN_ID).cast("long").alias("gent"))
+
+
 def check(m: MeshFrame) -> DataFrame:
     """``rule, violations``: one row per rule, 0 where it holds."""
     ev = m.E.select("eid", "gdim", "gent", F.explode(F.array("v0", "v1")).alias("vid"))
@@ -70,7 +137,19 @@ def check(m: MeshFrame) -> DataFrame:
     known = (F.col("gdim") != 4) & (F.col("vd") != 4)
     turn = m.RF.groupBy("fid").agg(F.count("*").alias("k"), F.count_distinct("dir").alias("d"))
     sense = m.RF.withColumnRenamed("dir", "rdir").join(m.FE, "fid").groupBy("rid", "eid").agg(F.count("*").alias("k"), F.sum(F.when(F.col("dir") == F.col("rdir"), 1).otherwise(-1)).alias("s"))
+    # rings of a surface around its vertices: at every edge two of its faces meet, running through it both ways
+    ring = m.F.where("gdim = 2").join(m.FE, "fid").join(ev.select("eid", "vid"), "eid").join(m.V.where("gdim = 2").select("vid", F.col("gent").alias("vg")), "vid").where("gent = vg")
+    turns = ring.groupBy("vid", "eid").agg(F.count("*").alias("k"), F.sum(2 * F.col("dir") - 1).alias("s"))
+    whole = m.FE.join(m.F.where("gdim = 2").select("fid"), "fid").groupBy("eid").agg(F.count("*").alias("outer"))
+    fan = m.FE.join(turn.select("fid", F.col("k").alias("cells")), "fid").groupBy("eid").agg(F.count("*").alias("faces"), F.sum("cells").alias("uses"), F.count_if(F.col("cells") == 1).alias("ends"))
     rules = {
+        "surface_vertex_without_face": m.V.where("gdim = 2").join(ring.select("vid").distinct(), "vid", "left_anti"),
+        "open_ring_at_surface_vertex": turns.where("k <> 2").select("vid").distinct(),
+        "ring_not_oriented_alike": turns.where("k = 2 and s <> 0").select("vid").distinct(),
+        "edge_without_its_vertex": ev.join(m.V.select("vid"), "vid", "left_anti"),
+        # around an edge with two outer faces, cells are a chain between them: half of the uses beside the ends
+        "outer_faces_not_joined_by_cells": fan.join(whole, "eid").where("outer = 2 and ends = 2 and uses <> 2 * faces - 2"),
+        "cell_with_unknown_face": m.RF.join(m.F.select("fid"), "fid", "left_anti"),
         "vertex_without_edge": m.V.join(ev.select("vid").distinct(), "vid", "left_anti"),
         "curve_vertex_without_two_curve_edges": vj.where("vd = 1").groupBy("vid").agg(F.count_if((F.col("gdim") == 1) & (F.col("gent") == F.col("vg"))).alias("k")).where("k <> 2"),
         "edge_with_equal_ends": m.E.where("v0 = v1"),

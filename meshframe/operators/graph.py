@@ -36,11 +36,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
         step = label.join(near, label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("j"))
         new = step.join(jump, "c").select("node", F.least("c", "j").alias("component")).checkpoint()
-        changed = new.join(label, ["node", "component"], "left_anti").isEmpty()
+        same = new.join(label, ["node", "component"], "left_anti").isEmpty()
         label = new
-        if changed:
-            break
-    return label
+        if same:
+            return label
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def bandwidth(edges: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def renumber_by_levels(nodes: DataFrame, edges: DataFrame, start: DataFrame) ->
     largest nor the mean difference of neighbours' ids falls, or only one does, the old order is kept (dense)."""
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
     far = nodes.select("node").join(levels(edges, start), "node", "left").join(deg, F.col("node") == F.col("src"), "left")
-    made = number(far.select("node", F.coalesce("level", F.lit(1 << 30)).cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=16).select("node", "new_id").checkpoint()
+    made = number(far.select("node", F.coalesce("level", F.lit(1 << 30)).cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id").checkpoint()
     to = lambda c: made.select(F.col("node").alias(c), F.col("new_id").alias(f"n_{c}"))
     after = bandwidth(edges.join(to("src"), "src").join(to("dst"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"))).first()
     before = bandwidth(edges).first()
@@ -63,19 +63,90 @@ def renumber_by_levels(nodes: DataFrame, edges: DataFrame, start: DataFrame) ->
     return number(nodes.select("node"), "new_id", "node")
 
 
-def bisect(points: DataFrame, depth: int, axes=("x", "y")) -> DataFrame:
+def extremal(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Levels (``node``, ``level``) from both ends of a long shortest path (a pseudo-diameter) of a connected graph: from a
+    node of the least degree to the least of the last level, until that is no farther."""
+    deg = nodes.select("node").join(edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg")), "node", "left").fillna({"deg": 0})
+    start = deg.orderBy("deg", "node").limit(1).select("node")
+    here = levels(edges, start).checkpoint()
+    for _ in range(max_rounds):
+        depth = here.agg(F.max("level")).first()[0]
+        last = here.where(F.col("level") == depth).join(deg, "node").orderBy("deg", "node").limit(1).select("node")
+        there = levels(edges, last).checkpoint()
+        if there.agg(F.max("level")).first()[0] <= depth:
+            return here, there
+        here = there
+    return here, there
+
+
+def combined_levels(edges: DataFrame, here: DataFrame, there: DataFrame) -> DataFrame:
+    """``node, level``: two level structures of one graph, from opposite ends, made one of little width.
+
+    A node's candidates are its level and the other one counted from the far end. Where they agree, that is its level.
+    What is left falls into connected pieces; each takes the candidates that keep the widest level narrower, judged
+    against the settled nodes (all pieces at once, not one after another)."""
+    depth = here.agg(F.max("level").alias("d"))
+    both = here.join(there.withColumnRenamed("level", "other"), "node").crossJoin(F.broadcast(depth)).select("node", F.col("level").alias("a"), (F.col("d") - F.col("other")).alias("b")).checkpoint()  # one row
+    fixed, open_ = both.where("a = b"), both.where("a <> b").select("node")
+    inner = edges.join(open_.withColumnRenamed("node", "src"), "src", "left_semi").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    piece = components(open_, inner).join(both, "node")
+    settled = fixed.groupBy(F.col("a").alias("level")).agg(F.count("*").alias("w"))
+    choice = piece.select("component", F.explode(F.array(F.struct(F.lit("a").alias("by"), F.col("a").alias("level")), F.struct(F.lit("b").alias("by"), F.col("b").alias("level")))).alias("c")).select("component", "c.*")
+    width = choice.groupBy("component", "by", "level").agg(F.count("*").alias("n")).join(settled, "level", "left").groupBy("component", "by").agg(F.max(F.col("n") + F.coalesce("w", F.lit(0))).alias("width"))
+    best = width.groupBy("component").agg(F.min(F.struct("width", "by")).alias("m")).select("component", F.col("m.by").alias("by"))
+    chosen = piece.join(best, "component").select("node", F.when(F.col("by") == "a", F.col("a")).otherwise(F.col("b")).alias("level"))
+    return fixed.select("node", F.col("a").alias("level")).union(chosen)
+
+
+def renumber_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, new_id`` of a connected graph: by combined levels from both ends of a pseudo-diameter, within a level by
+    degree and id (in the manner of Gibbs, Poole and Stockmeyer), so that neighbours' ids are near."""
+    shared_dir(nodes.sparkSession)
+    here, there = extremal(nodes, edges)
+    level = combined_levels(edges, here, there)
+    deg = edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg"))
+    return number(level.join(deg, "node", "left").select("node", F.col("level").cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id")
+
+
+def bisect(points: DataFrame, depth: int, axes=("x", "y"), bins: int = 1024, rounds: int = 6) -> DataFrame:
     """``id, part``: recursive coordinate bisection of ``points`` (``id`` and axes) into ``2 ** depth`` parts.
 
-    Each level splits all parts at once at their median along the axes in turn (exact ``percentile``); values equal to
-    the median go down. Values below 1e-10 in size count as 0."""
-    now = points.select("id", *[F.when(F.abs(F.col(a)) < 1e-10, 0.0).otherwise(F.col(a)).alias(a) for a in axes], F.lit(0).alias("part"))
+    Each level splits all parts at once at their median along the axes in turn; values equal to the median go down, and of
+    an even number the mean of the middle two counts. Values below 1e-10 in size count as 0. Medians are found by
+    histograms of ``bins`` cells, refined ``rounds`` times around the middle ranks, so that no part is ever gathered."""
+    shared_dir(points.sparkSession)
+    now = points.select("id", *[F.when(F.abs(F.col(a)) < 1e-10, 0.0).otherwise(F.col(a)).alias(a) for a in axes], F.lit(0).alias("part")).checkpoint()
     for d in range(depth):
         a = axes[d % len(axes)]
-        cut = now.groupBy("part").agg(F.percentile(a, F.lit(0.5)).alias("cut"))
-        now = now.join(F.broadcast(cut), "part").select("id", *axes, (2 * F.col("part") + (F.col(a) > F.col("cut")).cast("int")).alias("part"))  # at most 2 ** depth rows
+        cut = _medians(now.select("part", F.col(a).alias("v")), bins, rounds)
+        now = now.join(F.broadcast(cut), "part").select("id", *axes, (2 * F.col("part") + (F.col(a) > F.col("cut")).cast("int")).alias("part")).checkpoint()  # at most 2 ** depth rows
     return now.select("id", "part")
 
 
+def _medians(values: DataFrame, bins: int, rounds: int) -> DataFrame:
+    """``part, cut``: the exact medians of ``v``. The two middle ranks of each part are followed into ever smaller intervals
+    (a row per part and rank: few); what is left of an interval at the end is one value, or is sorted out by minima."""
+    size = values.groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    want = size.select("part", "lo", "hi", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("rank")).withColumn("key", F.col("rank"))
+    spark = values.sparkSession
+    want = spark.createDataFrame(want.collect(), want.schema)  # two rows a part
+    for _ in range(rounds):
+        inside = values.join(F.broadcast(want), "part").where("v >= lo and v <= hi")
+        step = (F.col("hi") - F.col("lo")) / bins
+        cell = F.when(step > 0, F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(bins - 1))).otherwise(0).cast("int")
+        hist = inside.withColumn("cell", cell).groupBy("part", "key", "rank", "cell").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy("part", "key").orderBy("cell"))  # at most ``bins`` rows each
+        hit = hist.withColumn("upto", upto).where("upto >= rank and upto - c < rank")
+        want = spark.createDataFrame(hit.select("part", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), "key").collect(), want.schema)
+        if want.where("lo < hi").isEmpty():
+            break
+    else:  # values too close for the cells: the ranks among the few distinct values left
+        left = values.join(F.broadcast(want), "part").where("v >= lo and v <= hi").groupBy("part", "key", "rank", "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("part", "key").orderBy("v"))
+        want = left.withColumn("upto", upto).where("upto >= rank and upto - c < rank").select("part", F.col("v").alias("lo"), F.col("v").alias("hi"), "rank", "key")
+    return want.groupBy("part").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).select("part", (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("cut"))
+
+
 def columns_together(parts: DataFrame, points: DataFrame) -> DataFrame:
     """``id, part``: all elements over one (x, y) get the part of the lowest (z, then id) of them."""
     j = parts.join(points, "id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import MeshFrame, number
+from ..frame import MeshFrame, half_edges, number
+from .graph import components
 
 
 def _mapped(df: DataFrame, column: str, remap: DataFrame) -> DataFrame:
@@ -70,6 +71,56 @@ def merge_sets(sm: DataFrame, dim: int, remap: DataFrame) -> DataFrame:
     return sm.where(F.col("dim") != dim).unionByName(new)
 
 
+def mergeable(m: MeshFrame, dim: int, remap: DataFrame, topology: bool = True) -> DataFrame:
+    """The pairs of ``remap`` (``old``, ``new``) that may be merged: with ``topology``, entities of one model dimension must
+    be on one model entity, and the one that goes may not be on a model entity of lower dimension."""
+    if not topology:
+        return remap.select("old", "new")
+    df, key = m.table(dim)
+    a = df.select(F.col(key).alias("old"), F.col("gdim").alias("d0"), F.col("gent").alias("g0"))
+    b = df.select(F.col(key).alias("new"), F.col("gdim").alias("d1"), F.col("gent").alias("g1"))
+    return remap.join(a, "old").join(b, "new").where("d0 > d1 or (d0 = d1 and g0 = g1)").select("old", "new")
+
+
+def merge_edges(m: MeshFrame, remap: DataFrame, topology: bool = True) -> MeshFrame:
+    """Edges ``old`` merged into ``new``: faces use the survivor, in the direction that keeps their loops; sets are patched.
+    Pairs whose end vertices differ are left alone; merge those first."""
+    ends = lambda c: m.E.select(F.col("eid").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"), F.col("v0").alias(f"v0_{c}"))
+    pairs = mergeable(m, 1, remap, topology).join(ends("old"), "old").join(ends("new"), "new").where("lo_old = lo_new and hi_old = hi_new")
+    r = pairs.select(F.col("old").alias("eid"), "new", (F.col("v0_old") != F.col("v0_new")).alias("turn"))
+    fe = m.FE.join(r, "eid", "left").select("fid", "pos", F.coalesce("new", "eid").alias("eid"), F.when(F.col("turn"), 1 - F.col("dir")).otherwise(F.col("dir")).alias("dir"))
+    gone = pairs.select("old", "new")
+    return m.with_tables(E=m.E.join(gone.select(F.col("old").alias("eid")), "eid", "left_anti"), FE=fe, SM=merge_sets(m.SM, 1, gone))
+
+
+def merge_faces(m: MeshFrame, remap: DataFrame, topology: bool = True) -> MeshFrame:
+    """Faces ``old`` merged into ``new`` on the same vertices: cells use the survivor, turned where the loops run the other
+    way; sets are patched. Pairs on different vertices are left alone."""
+    keys = m.FV.groupBy("fid").agg(F.array_sort(F.collect_set("vid")).alias("key"))
+    k = lambda c: keys.select(F.col("fid").alias(c), F.col("key").alias(f"key_{c}"))
+    pairs = mergeable(m, 2, remap, topology).join(k("old"), "old").join(k("new"), "new").where("key_old = key_new").select("old", "new")
+    # the loops run alike when the first side of one is a side of the other in its direction
+    sides = half_edges(m.FV)
+    first = pairs.join(sides.where("pos = 0").select(F.col("fid").alias("old"), "v0", "v1"), "old")
+    alike = first.join(sides.select(F.col("fid").alias("new"), "v0", "v1"), ["new", "v0", "v1"], "left_semi").select("old", F.lit(False).alias("turn"))
+    r = pairs.join(alike, "old", "left").select(F.col("old").alias("fid"), "new", F.coalesce("turn", F.lit(True)).alias("turn"))
+    rf = m.RF.join(r, "fid", "left").select("rid", "pos", F.coalesce("new", "fid").alias("fid"), F.when(F.col("turn"), 1 - F.col("dir")).otherwise(F.col("dir")).alias("dir"))
+    gone = pairs.select(F.col("old").alias("fid"))
+    return m.with_tables(F=m.F.join(gone, "fid", "left_anti"), FE=m.FE.join(gone, "fid", "left_anti"), FV=m.FV.join(gone, "fid", "left_anti"), RF=rf, SM=merge_sets(m.SM, 2, pairs))
+
+
+def set_face_directions(m: MeshFrame, uses: DataFrame) -> MeshFrame:
+    """With the directions of ``uses`` (``rid``, ``fid``, ``dir``) in their cells."""
+    new = uses.select("rid", "fid", F.col("dir").alias("__d"))
+    return m.with_tables(RF=m.RF.join(new, ["rid", "fid"], "left").select("rid", "pos", "fid", F.coalesce("__d", "dir").alias("dir")))
+
+
+def reverse_faces(m: MeshFrame, faces: DataFrame) -> MeshFrame:
+    """Faces (``fid``) turned round: every cell that has one uses it the other way."""
+    hit = faces.select("fid").distinct().withColumn("__h", F.lit(True))
+    return m.with_tables(RF=m.RF.join(hit, "fid", "left").select("rid", "pos", "fid", F.when(F.col("__h"), 1 - F.col("dir")).otherwise(F.col("dir")).alias("dir")))
+
+
 def split_edges(m: MeshFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``V`` and ``FV`` with ``n`` equispaced vertices on each edge in ``edges`` (``eid``, ``n``); new ids follow the
     largest, in order of edge and place; the new points take the edge's classification."""
@@ -128,21 +179,33 @@ def join_faces(m: MeshFrame, edges: DataFrame) -> DataFrame:
 
 
 def join_regions(m: MeshFrame, faces: DataFrame) -> DataFrame:
-    """``RF`` with the two cells of each face (``fid``) joined under the lower id, without that face."""
-    two = m.RF.join(faces, "fid", "left_semi").groupBy("fid").agg(F.count("*").alias("k"), F.min("rid").alias("new"), F.max("rid").alias("old")).where("k = 2")
-    rest = m.RF.join(two.select("fid"), "fid", "left_anti")
-    moved = _mapped(rest, "rid", two.select("old", "new"))
-    return moved.select("rid", (F.row_number().over(Window.partitionBy("rid").orderBy("pos", "fid")) - 1).alias("pos"), "fid", "dir")
+    """``RF`` with the cells on both sides of each face (``fid``) joined, without these faces. Cells that several faces join,
+    in chains too, all become one, under the lowest id; faces that come to lie within it go as well."""
+    two = m.RF.join(faces, "fid", "left_semi").groupBy("fid").agg(F.count("*").alias("k"), F.min("rid").alias("a"), F.max("rid").alias("b")).where("k = 2 and a < b")
+    links = two.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    label = components(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), links.union(links.select("dst", "src")))
+    moved = _mapped(m.RF, "rid", label.select(F.col("node").alias("old"), F.col("component").alias("new")))
+    inner = moved.groupBy("rid", "fid").agg(F.count("*").alias("k")).where("k > 1").select("rid", "fid")
+    rest = moved.join(inner, ["rid", "fid"], "left_anti")
+    return rest.select("rid", (F.row_number().over(Window.partitionBy("rid").orderBy("pos", "fid")) - 1).alias("pos"), "fid", "dir")
+
+
+def independent(edges: DataFrame) -> DataFrame:
+    """The edges (``eid``, ``v0``, ``v1``) that have the lowest id at both of their vertices: no two of them meet."""
+    ends = edges.select("eid", F.explode(F.array("v0", "v1")).alias("v"))
+    low = ends.groupBy("v").agg(F.min("eid").alias("low"))
+    lost = ends.join(low, "v").where("eid <> low").select("eid").distinct()
+    return edges.join(lost, "eid", "left_anti")
 
 
 def collapse_edges(m: MeshFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``V``, ``FV`` and deleted entities (``dim``, ``id``) after collapsing edges (``eid``), no two of which may share a
-    vertex: the second vertex stays unless it lies on a model entity of higher dimension than the first; edges whose
+    vertex (of those that do, only the one of the lowest id is collapsed): the second vertex stays unless it lies on a model entity of higher dimension than the first; edges whose
     first vertex could not move (equal dimensions on different entities) are refused. Faces that lose their third
     vertex go; doubled edges and faces merge when tables are derived anew."""
     a = m.V.select(F.col("vid").alias("v0"), F.col("gdim").alias("d0"), F.col("gent").alias("g0"))
     b = m.V.select(F.col("vid").alias("v1"), F.col("gdim").alias("d1"), F.col("gent").alias("g1"))
-    e = m.E.join(edges, "eid", "left_semi").join(a, "v0").join(b, "v1").where("d0 <> d1 or g0 = g1")
+    e = independent(m.E.join(edges, "eid", "left_semi")).join(a, "v0").join(b, "v1").where("d0 <> d1 or g0 = g1")
     keep0 = F.col("d0") < F.col("d1")
     remap = e.select(F.when(keep0, F.col("v1")).otherwise(F.col("v0")).alias("old"), F.when(keep0, F.col("v0")).otherwise(F.col("v1")).alias("new"))
     v, fv = merge_vertices(m.V, m.FV, remap)

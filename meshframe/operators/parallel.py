@@ -26,17 +26,22 @@ def boundary(copies: DataFrame) -> DataFrame:
     return copies.groupBy("gid").agg(F.count_distinct("part").alias("k")).where("k > 1").select("gid")
 
 
-def ghost_cells(fv: DataFrame, parts: DataFrame, layers: int = 1) -> DataFrame:
-    """``part, gid, master_part``: elements of other parts within ``layers`` rings of vertices of a part."""
-    own = fv.join(parts, fv["fid"] == parts["id"]).select("part", "fid", "vid")
-    have = own.select("part", "fid").distinct()
-    touched = own.select("part", "vid").distinct()
-    for _ in range(layers):
-        near = fv.join(touched, "vid").select("part", "fid").distinct()
+def ghost_cells(fv: DataFrame, parts: DataFrame, layers: int = 1, key: str = "fid") -> DataFrame:
+    """``part, gid, master_part``: elements of other parts within ``layers`` rings of vertices of a part. ``fv`` has the
+    vertices of elements (``key``, ``vid``)."""
+    at = fv.select(key, "vid").distinct()
+    own = at.join(parts.withColumnRenamed("id", key), key).select("part", key, "vid")
+    have = own.select("part", key).distinct()
+    # only vertices that elements of several parts have lead out of a part; rings grow from there
+    shared = own.groupBy("vid").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("vid")
+    front = own.join(shared, "vid", "left_semi").select("part", "vid").distinct()
+    for k in range(layers):
+        near = at.join(front, "vid").select("part", key).distinct()
+        if k + 1 < layers:
+            front = near.join(have, ["part", key], "left_anti").join(at, key).select("part", "vid").distinct()
         have = have.union(near).distinct()
-        touched = have.join(fv, "fid").select("part", "vid").distinct()
-    home = parts.select(F.col("id").alias("fid"), F.col("part").alias("master_part"))
-    return have.join(home, "fid").where("part <> master_part").select("part", F.col("fid").alias("gid"), "master_part")
+    home = parts.select(F.col("id").alias(key), F.col("part").alias("master_part"))
+    return have.join(home, key).where("part <> master_part").select("part", F.col(key).alias("gid"), "master_part")
 
 
 def overlap_cells(ghosts: DataFrame) -> DataFrame:
@@ -52,9 +57,13 @@ def label_cells(parts: DataFrame, ghosts: DataFrame) -> DataFrame:
 
 
 def label_vertices(fv: DataFrame, cells: DataFrame) -> DataFrame:
-    """``part, gid, master_part, ptype, on_bdry`` of vertices, closed down from labelled cells: ghost where no owned cell
-    of the part has it or another part owns it; overlap where another part has a copy."""
-    held = fv.join(cells, fv["fid"] == cells["gid"]).select("part", F.col("vid").alias("gid"), (F.col("ptype") != GHOST).alias("own"))
+    return label_members(fv, "fid", "vid", cells)
+
+
+def label_members(incidence: DataFrame, element: str, member: str, cells: DataFrame) -> DataFrame:
+    """``part, gid, master_part, ptype, on_bdry`` of what elements consist of, closed down from labelled cells: ghost where
+    no owned cell of the part has it or another part owns it; overlap where another part has a copy."""
+    held = incidence.select(F.col(element).alias("gid"), member).join(cells, "gid").select("part", F.col(member).alias("gid"), (F.col("ptype") != GHOST).alias("own"))
     copies = held.groupBy("part", "gid").agg(F.max("own").alias("own"))
     who = copies.where("own").groupBy("gid").agg(F.min("part").alias("master_part"), F.count("*").alias("sharers"))
     every = copies.groupBy("gid").agg(F.count("*").alias("k"))
@@ -99,12 +108,17 @@ def exchange(copies: DataFrame, value: str) -> DataFrame:
     return a.join(b, "gid").where("part <> other").select("gid", "part", "other", "received")
 
 
-def renumber_gids(copies: DataFrame, order: str = "gid") -> DataFrame:
-    """``part, gid, new_gid``: contiguous by owning part, in ``order`` within it; ghosts take their owner's."""
+def renumber_gids(copies: DataFrame, order: str = "gid", block: int = 65_536) -> DataFrame:
+    """``part, gid, new_gid``: contiguous by owning part, in ``order`` within it; ghosts take their owner's.
+
+    Rows are ranked within blocks of a part's ids; the blocks' sizes (one row each) carry the sums before them."""
     own = copies.where(F.col("part") == F.col("master_part")).select("part", order, *([] if order == "gid" else ["gid"])).distinct()
-    n = own.groupBy("part").agg(F.count("*").alias("c"))
-    offsets = n.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))  # one row a part
-    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(order))).join(offsets, "part").select("gid", (F.col("o") + F.col("r")).alias("new_gid"))
+    own = own.withColumn("b", F.floor(F.col(order) / block))
+    n = own.groupBy("part", "b").agg(F.count("*").alias("c"))
+    before = Window.orderBy("part", "b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = n.select("part", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
+    rank = F.row_number().over(Window.partitionBy("part", "b").orderBy(order))
+    ranked = own.withColumn("r", rank).join(offsets, ["part", "b"]).select("gid", (F.col("o") + F.col("r")).alias("new_gid"))
     return copies.join(ranked, "gid").select("part", "gid", "new_gid")
 
 

@@ -67,11 +67,23 @@ def add(a: DataFrame, rows: DataFrame, unique: bool = False) -> DataFrame:
 
 
 def insert(a: DataFrame, rows: DataFrame, at: int) -> DataFrame:
-    """``rows`` (``dim``, ``id``) before position ``at``."""
-    k = rows.withColumn("pos", F.row_number().over(Window.orderBy(*MEMBER)) - 1 + at)  # the rows are a caller's literals
+    """``rows`` (``dim``, ``id``) before position ``at``, in their order."""
+    k = number(rows.select(*MEMBER), "pos", "id", "dim", start=at).select("pos", *MEMBER)
     n = rows.agg(F.count("*").alias("n"))
-    moved = a.crossJoin(F.broadcast(n)).select(F.when(F.col("pos") >= at, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), *MEMBER)
-    return moved.union(k.select("pos", *MEMBER))
+    moved = a.crossJoin(F.broadcast(n)).select(F.when(F.col("pos") >= at, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), *MEMBER)  # one row
+    return moved.union(k)
+
+
+def remove_at(a: DataFrame, pos: int) -> DataFrame:
+    """Without the member at a position; those behind it move up."""
+    return a.where(F.col("pos") != pos).select(F.when(F.col("pos") > pos, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), *MEMBER)
+
+
+def replace(a: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """The first ``old`` (dim, id) becomes ``new``."""
+    first = a.where((F.col("dim") == old[0]) & (F.col("id") == old[1])).agg(F.min("pos").alias("at"))
+    hit = F.coalesce(F.col("pos") == F.col("at"), F.lit(False))
+    return a.crossJoin(F.broadcast(first)).select("pos", F.when(hit, F.lit(new[0])).otherwise(F.col("dim")).alias("dim"), F.when(hit, F.lit(new[1])).otherwise(F.col("id")).cast("long").alias("id"))  # one row
 
 
 def remove_first(a: DataFrame, asked: DataFrame) -> DataFrame:

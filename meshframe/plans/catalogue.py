@@ -234,12 +234,12 @@ def region_types(spark, d):
 def _attributed(spark, d) -> MeshFrame:
     m = att.define(att.define(ad.grid(spark, d), "qty", "DOUBLE", 0), "size", "INT", 0)
     li = ad.read(spark, d, "lineitem").groupBy((F.col("l_partkey") + 1).alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("dval"))
-    m = att.set_values(m, li.where("id % 3 <> 0").select(F.lit("qty").alias("name"), F.lit(0).alias("dim"), "id", "dval"))
+    m = att.set_values(m, li.where("dval > 750").select(F.lit("qty").alias("name"), F.lit(0).alias("dim"), "id", "dval"))
     p = ad.read(spark, d, "part").where("p_size > 20").select(F.lit("size").alias("name"), F.lit(0).alias("dim"), (F.col("p_partkey") + 1).alias("id"), F.col("p_size").alias("ival"))
     return att.set_values(m, p)
 
 
-_ATT = _GRID + "q AS (SELECT l_partkey + 1 AS id, sum(l_quantity::BIGINT)::DOUBLE AS dval FROM lineitem WHERE (l_partkey + 1) % 3 <> 0 GROUP BY l_partkey), s AS (SELECT p_partkey + 1 AS id, p_size AS ival FROM part WHERE p_size > 20)"
+_ATT = _GRID + "q AS (SELECT l_partkey + 1 AS id, sum(l_quantity::BIGINT)::DOUBLE AS dval FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 750), s AS (SELECT p_partkey + 1 AS id, p_size AS ival FROM part WHERE p_size > 20)"
 
 
 @query(_ATT + " SELECT vid AS id, (q.id IS NOT NULL)::INTEGER AS status, coalesce(dval, 0) AS dval FROM V LEFT JOIN q ON vid = q.id")
@@ -266,10 +266,10 @@ def attr_clear(spark, d):
     return av.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("dval"), F.col("ival").cast("double"))).alias("total"))
 
 
-@query(_GRID + "u AS (SELECT vid AS id, unnest([0, 1, 2]) AS k, x, y, gdim FROM V WHERE vid % 2 = 0) SELECT id, k, CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE gdim::DOUBLE END AS value FROM u")
+@query(_GRID + "u AS (SELECT vid AS id, unnest([0, 1, 2]) AS k, x, y, gdim FROM V) SELECT id, k, CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE gdim::DOUBLE END AS value FROM u")
 def attr_vector(spark, d):
     m = att.define(ad.grid(spark, d), "velocity", "VECTOR", 0, 3)
-    rows = m.V.where("vid % 2 = 0").select(F.lit("velocity").alias("name"), F.lit(0).alias("dim"), F.col("vid").alias("id"), F.array("x", "y", F.col("gdim").cast("double")).alias("vval"))
+    rows = m.V.select(F.lit("velocity").alias("name"), F.lit(0).alias("dim"), F.col("vid").alias("id"), F.array("x", "y", F.col("gdim").cast("double")).alias("vval"))
     return att.set_vectors(m, rows).AV.select("id", F.posexplode("vval").alias("k", "value"))
 
 
@@ -576,34 +576,35 @@ def weave_match(spark, d):
 
 
 # ---- modification ------------------------------------------------------------------------------------------------
-@query(LOOP + """m AS (SELECT fid, pos, CASE WHEN vid % 10 = 1 THEN vid - 1 ELSE vid END AS vid FROM FV),
+@query(LOOP + """m AS (SELECT fid, pos, vid // 2 * 2 AS vid FROM FV),
 k AS (SELECT fid, pos, vid, coalesce(lag(vid) OVER (PARTITION BY fid ORDER BY pos), last_value(vid) OVER (PARTITION BY fid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS p FROM m),
 c AS (SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY pos) - 1 AS pos, vid, count(*) OVER (PARTITION BY fid) AS n FROM k WHERE vid <> p) SELECT fid, pos, vid FROM c WHERE n >= 3""")
 def merge_vertices(spark, d):
+    """Vertices merged two by two, all of them."""
     m = ad.loops(spark, d)
-    remap = m.V.where("vid % 10 = 1").select(F.col("vid").alias("old"), (F.col("vid") - 1).alias("new"))
+    remap = m.V.select(F.col("vid").alias("old"), F.expr("vid div 2 * 2").alias("new")).where("old <> new")
     return mod.merge_vertices(m.V, m.FV, remap)[1].select("fid", *_long("pos"), "vid")
 
 
-@query(QUAD + """c AS (SELECT eid, v0, v1, k FROM E, (SELECT unnest([1, 2]) AS k) WHERE eid % 7 = 0), n AS (SELECT eid, k, v0, v1, (SELECT max(vid) FROM V) + row_number() OVER (ORDER BY eid, k) AS vid FROM c)
+@query(QUAD + """c AS (SELECT eid, v0, v1, k FROM E, (SELECT unnest([1, 2]) AS k)), n AS (SELECT eid, k, v0, v1, (SELECT max(vid) FROM V) + row_number() OVER (ORDER BY eid, k) AS vid FROM c)
 SELECT n.vid, round(a.x + k / 3.0::DOUBLE * (b.x - a.x), 6) AS x, round(a.y + k / 3.0::DOUBLE * (b.y - a.y), 6) AS y FROM n JOIN V a ON v0 = a.vid JOIN V b ON v1 = b.vid""")
 def split_edges(spark, d):
     m = ad.grid(spark, d)
-    v, _ = mod.split_edges(m, m.E.where("eid % 7 = 0").select("eid", F.lit(2).alias("n")))
+    v, _ = mod.split_edges(m, m.E.select("eid", F.lit(2).alias("n")))
     return _round(v.join(m.V.select("vid"), "vid", "left_anti").select("vid", "x", "y"), "x", "y")
 
 
-@query(LOOP + "x AS (SELECT 1) SELECT (SELECT count(*) FROM F WHERE fid % 2 = 1) + (SELECT coalesce(sum(n), 0) FROM F WHERE fid % 2 = 0)::BIGINT AS n_faces, (SELECT count(*) FROM V) + (SELECT count(*) FROM F WHERE fid % 2 = 0) AS n_vertices")
+@query(LOOP + "x AS (SELECT 1) SELECT (SELECT sum(n) FROM F)::BIGINT AS n_faces, (SELECT count(*) FROM V) + (SELECT count(*) FROM F) AS n_vertices")
 def fan_split(spark, d):
     m = ad.loops(spark, d)
-    v, fv = mod.fan_split(m, m.F.where("fid % 2 = 0").select("fid"))
+    v, fv = mod.fan_split(m, m.F.select("fid"))
     return fv.agg(F.count_distinct("fid").alias("n_faces")).crossJoin(v.agg(F.count("*").alias("n_vertices")))  # one row each
 
 
-@query(TRI + """dg AS (SELECT 20 * j + i + 1 AS a, 20 * (j + 1) + i + 2 AS b, 20 * j + i + 2 AS c, 20 * (j + 1) + i + 1 AS e FROM F0 WHERE fid % 3 = 0) SELECT least(c, e) AS lo, greatest(c, e) AS hi FROM dg""")
+@query(TRI + """dg AS (SELECT 20 * j + i + 1 AS a, 20 * (j + 1) + i + 2 AS b, 20 * j + i + 2 AS c, 20 * (j + 1) + i + 1 AS e FROM F0) SELECT least(c, e) AS lo, greatest(c, e) AS hi FROM dg""")
 def swap_edge(spark, d):
     m = ad.triangles(spark, d)
-    two = m.FE.groupBy("eid").agg(F.min("fid").alias("a"), F.max("fid").alias("b")).where("b = a + 1 and a % 2 = 1 and (b div 2) % 3 = 0").select("eid")
+    two = m.FE.groupBy("eid").agg(F.min("fid").alias("a"), F.max("fid").alias("b")).where("b = a + 1 and a % 2 = 1").select("eid")  # the diagonal of every quad: no two have a triangle in common
     made = MeshFrame.from_faces(m.V, mod.swap_edges(m, two))
     return made.E.select("lo", "hi").join(m.E.select("lo", "hi"), ["lo", "hi"], "left_anti")
 
@@ -617,12 +618,13 @@ def join_faces(spark, d):
     return fv.groupBy("fid").agg(F.count("*").alias("n")).where("n = 6")
 
 
-@query(TRI + """c AS (SELECT v0, v1 FROM E WHERE v1 = v0 + 1 AND v0 % 20 BETWEEN 3 AND 16 AND v0 % 4 = 0 AND (v0 // 20) % 4 = 2 AND v0 // 20 < (SELECT ny FROM sz))
-SELECT (SELECT count(*) FROM V) - (SELECT count(*) FROM c) AS n_vertices, (SELECT count(*) FROM F) - 2 * (SELECT count(*) FROM c) AS n_faces""")
+@query(TRI + """ends AS (SELECT eid, v0 AS v FROM E UNION ALL SELECT eid, v1 FROM E), lw AS (SELECT v, min(eid) AS low FROM ends GROUP BY v),
+c AS (SELECT eid FROM E JOIN lw a ON v0 = a.v JOIN lw b ON v1 = b.v JOIN V p ON v0 = p.vid JOIN V q ON v1 = q.vid WHERE eid = a.low AND eid = b.low AND (p.gdim <> q.gdim OR p.gent = q.gent))
+SELECT (SELECT count(*) FROM V) - (SELECT count(*) FROM c) AS n_vertices, (SELECT count(*) FROM F) - (SELECT count(*) FROM FE WHERE eid IN (SELECT eid FROM c)) AS n_faces""")
 def collapse_edge(spark, d):
+    """All edges are asked for; the operator takes those that don't meet one of a lower id."""
     m = ad.triangles(spark, d)
-    _, ny = ad.grid_size(spark, d)
-    v, fv, _ = mod.collapse_edges(m, m.E.where(f"v1 = v0 + 1 and v0 % 20 between 3 and 16 and v0 % 4 = 0 and (v0 div 20) % 4 = 2 and v0 div 20 < {ny}").select("eid"))
+    v, fv, _ = mod.collapse_edges(m, m.E.select("eid"))
     return v.agg(F.count("*").alias("n_vertices")).crossJoin(fv.agg(F.count_distinct("fid").alias("n_faces")))  # one row each
 
 

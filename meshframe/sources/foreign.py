@@ -95,7 +95,7 @@ def gmv_lines(m: MeshFrame) -> DataFrame:
     return out
 
 
-def write_gmv(m: MeshFrame, path: str, single: bool = True) -> None:
+def write_gmv(m: MeshFrame, path: str, single: bool = False) -> None:
     write_lines(gmv_lines(m), path, single)
 
 

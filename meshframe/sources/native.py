@@ -116,7 +116,7 @@ def lines(m: MeshFrame, header: str, version: str = "1.0", attributes: list[str]
     return out
 
 
-def write_mesh(m: MeshFrame, path: str, header: str, single: bool = True, **options) -> None:
+def write_mesh(m: MeshFrame, path: str, header: str, single: bool = False, **options) -> None:
     write_lines(lines(m, header, **options), path, single)
 
 

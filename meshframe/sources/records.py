@@ -22,7 +22,15 @@ def record(t: str, **values) -> dict:
 
 
 def read(spark: SparkSession, paths: str | list[str], parse: Callable[[str], Iterator[dict]]) -> DataFrame:
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    """Rows of every file. A path that is a folder holds one file's text in pieces, in name order."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("piece"), "value")
+    folders = {f"/{p.rstrip('/').rpartition('/')[2]}/" for p in paths}
+    inside = F.lit(False)
+    for f in sorted(folders):
+        inside = inside | F.contains("piece", F.lit(f))
+    files = files.withColumn("file", F.when(inside, F.regexp_replace("piece", "/[^/]*$", "")).otherwise(F.col("piece")))
+    files = files.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda s: s["value"]), "").alias("value"))
     names = sorted(r[0] for r in files.select("file").distinct().collect())  # names only, one per file
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +77,7 @@ def to_mesh(rows: DataFrame, spark: SparkSession, part: int = 0) -> MeshFrame:
     return m
 
 
-def write_lines(lines: DataFrame, path: str, single: bool = True) -> None:
-    """Write (``sect``, ``ord``, ``line``) in order: as one file in a folder, or as files in name order."""
+def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
+    """Write (``sect``, ``ord``, ``line``) in order: as files in name order, or as one file in a folder (by one task)."""
     ordered = lines.orderBy("sect", "ord")
     (ordered.coalesce(1) if single else ordered).select("line").write.mode("overwrite").text(path)

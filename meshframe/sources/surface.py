@@ -1,4 +1,4 @@
-"""OFF and STL writers of surface meshes, and their lines as DataFrames."""
+"""OFF, STL and OpenDX writers, and their lines as DataFrames."""
 
 from __future__ import annotations
 
@@ -34,9 +34,43 @@ def stl_lines(m: MeshFrame, name: str = "mesh") -> DataFrame:
     return head.union(tri.select(F.lit(1), "fid", body))
 
 
-def write_off(m: MeshFrame, path: str, first_id: int = 0, single: bool = True) -> None:
+def dx_lines(m: MeshFrame) -> DataFrame:
+    """``sect, ord, line`` of triangles or quads, tetrahedra or hexahedra, in text form (each format's own corner order is
+    the tensor one: the last two corners of a loop of four change places)."""
+    spark, solid = m.V.sparkSession, not m.R.isEmpty()
+    inc, key, elements = (m.RV, "rid", m.R) if solid else (m.FV, "fid", m.F)
+    vn = number(m.V, "k", "vid", start=0)
+    loops = inc.join(vn.select("vid", "k"), "vid").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k"))), lambda s: s["k"]).alias("l"))
+    sizes = sorted(r[0] for r in loops.select(F.size("l")).distinct().collect())  # a few kinds of elements
+    kinds = {(False, 3): "triangles", (False, 4): "quads", (True, 4): "tetrahedra", (True, 8): "cubes"}
+    if len(sizes) != 1 or (solid, sizes[0]) not in kinds:
+        raise ValueError("OpenDX files here hold triangles, quads, tetrahedra or hexahedra, one kind each")
+    n = sizes[0]
+    place = {3: [0, 1, 2], 8: [0, 1, 3, 2, 4, 5, 7, 6]}.get(n, [0, 1, 2, 3] if solid else [0, 1, 3, 2])
+    nv, ne = m.V.count(), elements.count()
+    head = [
+        (0, 0, f"object 1 class array type float rank 1 shape 3 items {nv} data follows"),
+        (2, 0, 'attribute "dep" string "positions"'),
+        (2, 1, f"object 2 class array type int rank 1 shape {n} items {ne} data follows"),
+        (4, 0, f'attribute "element type" string "{kinds[solid, n]}"'),
+        (4, 1, 'attribute "ref" string "positions"'),
+        (4, 2, 'object "mesh" class field'),
+        (4, 3, 'component "positions" value 1'),
+        (4, 4, 'component "connections" value 2'),
+        (4, 5, "end"),
+    ]
+    v = vn.select(F.lit(1), "k", F.concat_ws(" ", "x", "y", "z"))
+    cells = loops.select(F.lit(3), key, F.concat_ws(" ", *[F.col("l")[p].cast("string") for p in place]))
+    return spark.createDataFrame(head, "sect int, ord long, line string").union(v).union(cells)
+
+
+def write_dx(m: MeshFrame, path: str, single: bool = False) -> None:
+    write_lines(dx_lines(m), path, single)
+
+
+def write_off(m: MeshFrame, path: str, first_id: int = 0, single: bool = False) -> None:
     write_lines(off_lines(m, first_id), path, single)
 
 
-def write_stl(m: MeshFrame, path: str, name: str = "mesh", single: bool = True) -> None:
+def write_stl(m: MeshFrame, path: str, name: str = "mesh", single: bool = False) -> None:
     write_lines(stl_lines(m, name), path, single)

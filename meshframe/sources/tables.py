@@ -75,7 +75,7 @@ def x3d_lines(m: MeshFrame) -> DataFrame:
     return spark.createDataFrame(head, "sect int, ord long, line string").union(nodes).union(faces).union(body)
 
 
-def write_x3d(m: MeshFrame, path: str, single: bool = True) -> None:
+def write_x3d(m: MeshFrame, path: str, single: bool = False) -> None:
     write_lines(x3d_lines(m), path, single)
 
 

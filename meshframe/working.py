@@ -8,10 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; only where nothing is set (local tests), a temporary folder."""
+    """What ``spark.checkpoint.dir`` names; a temporary folder only where nothing is set and the master is local (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="meshframe-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
