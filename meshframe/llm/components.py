@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Each round is one large-star and one small-star step with ``min`` aggregates, which combine on the map
     side, so that a hub of any size is never gathered in one task. Rounds end when the edges no longer change
-    (their number is logarithmic in the nodes); each is cut off by ``checkpoint``. Loops and nulls in the
-    input are ignored; no edges give no rows.
+    (their number is logarithmic in the nodes); each is cut off by ``checkpoint``. Should ``max_rounds`` not be enough,
+    that is an error, never a partial result. Loops and nulls in the input are ignored; no edges give no rows.
     """
     shared_dir(edges.sparkSession)
     pair = (
@@ -36,5 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if new == sums:
             break
         sums = new
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     stars = pair.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(pair.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
