@@ -1,10 +1,13 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-A stage begins when its predecessor's rows are written, so that it may delete the predecessor's working tables.
+A stage begins when its predecessor's rows are written, so that the predecessor's working tables can go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,33 +20,46 @@ from meshframe.llm.quality import fit
 from meshframe.llm.substring import remove_repeats
 
 
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Working tables of a stage are the pipeline's own and are deleted when the next one begins."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark, "stage")
+        with scratch.owned_by("stage"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, learned from ``labels``: documents that it rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return fit(docs, labels).score(docs).where("predicted = 1").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (5 words, 0.8): one document, that of the smallest doc_id, of each group stays."""
-    scratch.release(spark)
     return one_of_each(docs, k=5, num=80, den=100)
 
 
+@stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: windows of 50 words are removed from all documents but the first; emptied ones go."""
-    scratch.release(spark)
     return _counted(remove_repeats(docs, width=50).where("n_removed < n_words or n_words = 0"), docs)
 
 
+@stage
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: detected entities become surrogates."""
-    scratch.release(spark)
     return _counted(replace_entities(docs, own.PII_SECRET), docs)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every remaining document's tokens in sequences of 4096."""
-    scratch.release(spark)
     return pack(docs, own._vocabulary("word_bpe_49k.json"))
 
 
@@ -66,12 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what a stage keeps is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return out
-        docs = scratch.handed_on(out, name)
+    """Apply the stages to ``documents``; what a stage keeps is written to the shared folder and reread by the next.
 
-    return docs
+    Of two runs in one session, read the first one's result before the second begins: its working tables go then."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *firsts, (_, last) = STAGES
+    before = None
+    for name, f in firsts:
+        out = f(spark, docs, sf_dir)
+        with scratch.owned_by(name):
+            docs = scratch.written(out, name)
+        if before:
+            scratch.release(spark, before)
+        before = name
+    packed = last(spark, docs, sf_dir)  # it has read docs: what it returns reads its own tables
+    scratch.release(spark, before)
+    return packed
