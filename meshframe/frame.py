@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from .schema import KIND, SCHEMAS, TEMPLATES, UNKNOWN_DIM, UNKNOWN_ID
 
 
-def number(df: DataFrame, name: str, major: str, *minor: str, start: int = 1, block: int = 65_536) -> DataFrame:
-    """Add dense ids in the order of (``major``, ``minor``...). ``major`` is an integer column.
+def number(df: DataFrame, name: str, major: str, *minor: str, start: int = 1, block: int = 65_536, group: str | None = None) -> DataFrame:
+    """Add dense ids in the order of (``major``, ``minor``...), or of (``group``, ``major``, ...). ``major`` is an integer
+    column.
 
     Blocks of ``major`` values are numbered on their own and moved by the sizes of the blocks before, so that no
     task orders the whole table; only one row per block (of 65,536 values) meets in a single prefix sum."""
     df = df.withColumn("__b", F.floor(F.col(major) / block).cast("long"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("__b").count().select("__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
-    own = Window.partitionBy("__b").orderBy(major, *minor)
-    return df.withColumn("__r", F.row_number().over(own)).join(offsets, "__b").withColumn(name, F.col("__o") + F.col("__r") + (start - 1)).drop("__b", "__o", "__r")
+    keys = ["__b"] if group is None else [group, "__b"]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
+    own = Window.partitionBy(*keys).orderBy(major, *minor)
+    return df.withColumn("__r", F.row_number().over(own)).join(offsets, keys).withColumn(name, F.col("__o") + F.col("__r") + (start - 1)).drop("__b", "__o", "__r")
 
 
 def half_edges(fv: DataFrame) -> DataFrame:

@@ -145,11 +145,11 @@ def weave(v: DataFrame, loops: DataFrame, layers: int = 1, tolerance: float = 1e
     vertices. Ghost layers and labels are those of ``distribute``."""
     if gids is None:
         same = parallel.match_points(v.select("part", F.col("vid").alias("id"), "x", "y", "z"), tolerance)
-        own = number(same.select("master_part", "master_id").distinct(), "gid", "master_part", "master_id", block=1)
+        own = number(same.select("master_part", "master_id").distinct(), "gid", "master_id", group="master_part")
         gids = same.join(own, ["master_part", "master_id"]).select("part", F.col("id").alias("vid"), "gid")
     points = v.join(gids, ["part", "vid"]).groupBy("gid").agg(F.min_by(F.struct("x", "y", "z"), F.struct("part", "vid")).alias("p"))
     vertices = points.select(F.col("gid").alias("vid"), "p.*", F.lit(4).alias("gdim"), F.lit(0).cast("long").alias("gent"))
-    faces = number(loops.select("part", "fid").distinct(), "gid", "part", "fid", block=1)
+    faces = number(loops.select("part", "fid").distinct(), "gid", "fid", group="part")
     fv = loops.join(gids.withColumnRenamed("gid", "vg"), ["part", "vid"]).join(faces, ["part", "fid"]).select(F.col("gid").alias("fid"), "pos", F.col("vg").alias("vid"))
     return distribute(MeshFrame.from_faces(vertices, fv), faces.select(F.col("gid").alias("id"), "part"), layers)
 

@@ -108,17 +108,10 @@ def exchange(copies: DataFrame, value: str) -> DataFrame:
     return a.join(b, "gid").where("part <> other").select("gid", "part", "other", "received")
 
 
-def renumber_gids(copies: DataFrame, order: str = "gid", block: int = 65_536) -> DataFrame:
-    """``part, gid, new_gid``: contiguous by owning part, in ``order`` within it; ghosts take their owner's.
-
-    Rows are ranked within blocks of a part's ids; the blocks' sizes (one row each) carry the sums before them."""
+def renumber_gids(copies: DataFrame, order: str = "gid") -> DataFrame:
+    """``part, gid, new_gid``: contiguous by owning part, in ``order`` within it; ghosts take their owner's."""
     own = copies.where(F.col("part") == F.col("master_part")).select("part", order, *([] if order == "gid" else ["gid"])).distinct()
-    own = own.withColumn("b", F.floor(F.col(order) / block))
-    n = own.groupBy("part", "b").agg(F.count("*").alias("c"))
-    before = Window.orderBy("part", "b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = n.select("part", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
-    rank = F.row_number().over(Window.partitionBy("part", "b").orderBy(order))
-    ranked = own.withColumn("r", rank).join(offsets, ["part", "b"]).select("gid", (F.col("o") + F.col("r")).alias("new_gid"))
+    ranked = number(own, "new_gid", order, *([] if order == "gid" else ["gid"]), group="part").select("gid", "new_gid")
     return copies.join(ranked, "gid").select("part", "gid", "new_gid")
 
 
