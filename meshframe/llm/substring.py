@@ -2,11 +2,17 @@
 
 Every window is hashed (Rabin-Karp). To count them without one row per word, runs of consecutive windows that
 choose the same anchor (the window's smallest hash of ``GRAM`` words, so that equal windows choose alike) are
-first counted as one *run* row. A run that a smaller document holds whole is removed whole. Where one anchor has
-several different runs, the single windows of each distinct run (of its smallest document only) are counted as
-well, which settles borders of repeated passages. The outcome equals counting each window on its own.
+first counted as one *run* row. A run that a smaller document holds whole is removed whole.
 
-Hot passages never gather: counts are ``min`` aggregates, combined on the map side.
+Different runs may still share some windows, at the borders of a repeated passage. Every window holds its anchor,
+so of its other ``width - GRAM`` words at least half stand before the anchor or at least half after it: runs that
+share a window agree in the words from that half up to the anchor's end, or from its start on (their *sides*).
+Runs that agree in a side with a different run of another document are opened: their single windows are counted as
+well, for each distinct run in its smallest document only. A line that many documents share opens nothing unless
+it is as long as a side. The outcome equals counting each window on its own.
+
+Hot passages never gather: counts are ``min`` aggregates, combined on the map side. Windows and runs are compared
+by two independent hashes of 64 bits, sides by one (an agreement too many costs work and changes nothing).
 """
 
 from __future__ import annotations
@@ -27,23 +33,44 @@ from .text import U64, blocks, mix, rolling
 GRAM = 10
 
 
-def _windows(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every window, and for each the index of its anchor."""
-    grams = rolling(words, GRAM)
-    view = np.lib.stride_tricks.sliding_window_view(grams, width - GRAM + 1)
-    return rolling(words, width), view.argmin(axis=1) + np.arange(len(view))
+def _starts(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First windows of runs, their numbers of windows, the words at which their anchors start and anchors' hashes."""
+    gram = min(GRAM, width)
+    grams = rolling(words, gram)
+    view = np.lib.stride_tricks.sliding_window_view(grams, width - gram + 1)
+    at = view.argmin(axis=1) + np.arange(len(view))
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return first, np.diff(np.r_[first, len(at)]), at[first], grams[at[first]]
+
+
+def _second(words: np.ndarray) -> np.ndarray:
+    """Other values of the words, for hashes independent of the first ones."""
+    return mix(words + U64(0x2545F4914F6CDD1D))
 
 
 def _runs(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First windows of runs, their numbers of windows, anchors' hashes and two hashes of their windows."""
-    grams = rolling(words, GRAM)
-    h, at = _windows(words, width)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    count = np.diff(np.r_[first, len(at)])
-    place = (np.arange(len(at)) - np.repeat(first, count)).astype(U64)
-    one = np.add.reduceat(mix(h + place * U64(0x9E3779B97F4A7C15)), first)
-    two = np.add.reduceat(mix(h ^ (place + U64(1)) * U64(0xC2B2AE3D27D4EB4F)), first)
-    return first, count, grams[at[first]], mix(one + count.astype(U64)), mix(two ^ count.astype(U64))
+    """First windows of runs, two hashes of their windows, their anchors' hashes, and 32 bits of the hash of the left
+    side above 32 of the right one's (0 for a side that reaches beyond the run)."""
+    first, count, at, anchor = _starts(words, width)
+    n = count.astype(U64)
+    place = (np.arange(len(words) - width + 1) - np.repeat(first, count)).astype(U64) * U64(0x9E3779B97F4A7C15)
+    one = mix(np.add.reduceat(mix(rolling(words, width) + place), first) + n)
+    two = mix(np.add.reduceat(mix(rolling(_second(words), width) + place), first) ^ n)
+    gram = min(GRAM, width)
+    half = (width - gram) // 2
+    side = rolling(words, gram + half) >> U64(32) | U64(1)
+    left = np.where(at - half >= first, side[np.maximum(at - half, 0)], U64(0))
+    right = np.where(at + gram + half <= first + count - 1 + width, side[np.minimum(at, len(side) - 1)], U64(0))
+    return first, one, two, anchor, left << U64(32) | right
+
+
+def _places(js: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """All runs that ``js`` stands for: j is that run alone, -j - 1 every run of the document that equals run j (a word
+    that a text repeats over and over gives one run per window, all equal, but one row)."""
+    if not (js < 0).any():
+        return js
+    one = _runs(words, width)[1]
+    return np.concatenate([js[js >= 0], np.flatnonzero(np.isin(one, one[-js[js < 0] - 1]))])
 
 
 def _documents(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -57,39 +84,46 @@ def _documents(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.nda
 
 
 def duplicate_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``doc_id, rk, gone, single`` for each document with removed words: the runs and the single windows (by first
-    word) that a smaller document also has. ``rk`` is a hash of the text, which tells rows of one ``doc_id`` apart."""
+    """``doc_id, rk, gone, single`` for each document with removed words: the runs (as ``_places`` reads them) and the single
+    windows (by first word) that a smaller document also has. ``rk`` is a hash of the text, which tells rows of one ``doc_id`` apart."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, cols = [], [[] for _ in range(4)]
+            rows, cols = [], [[] for _ in range(5)]
             for row, words, *_ in _documents(batch, 2):
                 if len(words) >= width:
-                    first, _, anchor, one, two = _runs(words, width)
-                    rows.append(np.full(len(first), row))
-                    for c, v in zip(cols, (np.arange(len(first)), anchor.view(np.int64), one.view(np.int64), two.view(np.int64)), strict=True):
+                    _, *hashes = _runs(words, width)
+                    _, at, times = np.unique(hashes[0], return_index=True, return_counts=True)
+                    rows.append(np.full(len(at), row))
+                    for c, v in zip(cols, (np.where(times > 1, -at - 1, at), *(h[at].view(np.int64) for h in hashes)), strict=True):
                         c.append(v)
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in cols)], names=["doc_id", "rk", "j", "ah", "b1", "b2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in cols)], names=["doc_id", "rk", "j", "b1", "b2", "ah", "sides"])
 
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("rk"), "text")
-    table = scratch.written(keyed.mapInArrow(runs, "doc_id long, rk long, j long, ah long, b1 long, b2 long"), "runs")
-    lows = table.groupBy("ah", "b1", "b2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = lows.groupBy("ah").agg(F.count("*").alias("kinds"), F.min("lo").alias("alo"), F.max("hi").alias("ahi")).where("ahi > alo").select("ah", (F.col("kinds") > 1).alias("several"))
-    known = lows.join(several, "ah").where("several or lo < hi").select("ah", "b1", "b2", "lo", "several")
-    told = table.join(known, ["ah", "b1", "b2"]).withColumn("gone", F.col("lo") < F.col("doc_id")).where("gone or several")
+    table = scratch.written(keyed.mapInArrow(runs, "doc_id long, rk long, j long, b1 long, b2 long, ah long, sides long"), "runs")
+    lows = table.groupBy("b1", "b2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("ah").alias("ah"), F.first("sides").alias("sides"))
+    several = lows.groupBy("ah").agg(F.count("*").alias("kinds"), F.min("lo").alias("alo"), F.max("hi").alias("ahi")).where("kinds > 1 and alo < ahi").select("ah")
+    alike = scratch.written(lows.join(several, "ah", "left_semi").select("b1", "b2", "lo", "hi", "sides"), "alike")
+    right = F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    sides = alike.select("b1", "b2", "lo", "hi", F.explode(F.array(F.shiftrightunsigned("sides", 32), -right)).alias("side")).where("side <> 0")
+    mixed = sides.groupBy("side").agg(F.count("*").alias("kinds"), F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("kinds > 1 and slo < shi").select("side")
+    open_ = sides.join(mixed, "side", "left_semi").select("b1", "b2").distinct().withColumn("open", F.lit(True))
+    known = lows.select("b1", "b2", "lo", "hi").join(open_, ["b1", "b2"], "left").where("open or lo < hi").select("b1", "b2", "lo", F.coalesce("open", F.lit(False)).alias("open"))
+    known = scratch.written(known, "known")
+    told = table.select("doc_id", "rk", "j", "b1", "b2").join(known, ["b1", "b2"]).withColumn("gone", F.col("lo") < F.col("doc_id")).where("gone or open")
     todo = scratch.written(told.groupBy("doc_id", "rk").agg(F.collect_set(F.when(F.col("gone"), F.col("j"))).alias("gone"), F.collect_set(F.when(~F.col("gone"), F.col("j"))).alias("open")), "told")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = [], []
             for row, words, *_ in _documents(batch, 2):
-                first, count, *_ = _runs(words, width)
-                mine = np.sort(np.array(batch.column(3)[row].as_py(), np.int64))
+                first, count, *_ = _starts(words, width)
+                mine = np.sort(_places(np.array(batch.column(3)[row].as_py(), np.int64), words, width))
                 at = np.concatenate([np.arange(first[j], first[j] + count[j]) for j in mine])
                 h = rolling(words, width)[at]
-                other = rolling(mix(words + U64(0x2545F4914F6CDD1D)), width)[at]
+                other = rolling(_second(words), width)[at]
                 ids.append(np.full(len(at), row))
                 marks.append((at, h.view(np.int64), other.view(np.int64)))
             if ids:
@@ -132,9 +166,9 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 keep = np.ones(n, bool)
                 if whole[row].is_valid:
                     gone = np.zeros(n + 1, np.int64)
-                    j = np.array(whole[row].as_py(), np.int64)
+                    j = _places(np.array(whole[row].as_py(), np.int64), words, width)
                     if len(j):
-                        first, count, *_ = _runs(words, width)
+                        first, count, *_ = _starts(words, width)
                         np.add.at(gone, first[j], 1)
                         np.add.at(gone, first[j] + count[j] - 1 + width, -1)
                     s = np.array(single[row].as_py(), np.int64)

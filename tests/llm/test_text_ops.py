@@ -129,9 +129,16 @@ def test_linked_forest():
         assert [root(got, x) for x in up] == [root(want, x) for x in up]
 
 
-@pytest.mark.parametrize("which", [0, 1])
+@pytest.mark.parametrize("which", [0, 1, "repeats"])
 def test_substring(spark, docs, which):
-    table = tables(spark, docs)[which]
+    if which == "repeats":  # words over and over, short periods, shared borders within them
+        r = random.Random(8)
+        passage = [f"w{r.randint(0, 400)}" for _ in range(90)]
+        make = [lambda: ["the"] * r.randint(1, 130), lambda: ["a", "b"] * r.randint(1, 60), lambda: ["a", "b", "c"] * r.randint(1, 40), lambda: passage[r.randint(0, 30) : r.randint(60, 90)], lambda: [f"u{r.randint(0, 9999)}" for _ in range(r.randint(1, 60))], lambda: r.choices(["x", "y"], k=r.randint(1, 70))]
+        made = [(i, " ".join(w for _ in range(r.randint(1, 5)) for w in r.choice(make)())) for i in range(150)]
+        table = spark.createDataFrame([(i, t, "en", "s", 0, 1, "c", "k") for i, t in made], SCHEMA).repartition(3)
+    else:
+        table = tables(spark, docs)[which]
     rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
     low = {}
     for i, t in rows:
