@@ -96,23 +96,26 @@ def apply_rules(docs: DataFrame, rules: list[Rule] = RULES, least_words: int = 2
     broken), ``base_failed`` and ``kept``.
 
     A null or empty text has no words, fails the base and isn't kept. Rows are judged one by one, so that
-    repeated rows get equal verdicts; other columns pass through, those of the new names are replaced.
+    repeated rows get equal verdicts; other columns pass through whatever their names, those of the new names are replaced.
     """
-    made = docs.withColumns({f"__{k}": v for k, v in metrics(F.col("text")).items()})
-    n, c = F.col("__words.n"), F.col("__words.repeat")
+    own = "__"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    made = docs.withColumns({f"{own}{k}": v for k, v in metrics(F.col("text")).items()})
+    n, c = F.col(f"{own}words.n"), F.col(f"{own}words.repeat")
     value = {
-        "mean_word_chars": ratio(F.col("__word_chars"), n),
-        "symbols_per_word": ratio(F.col("__n_symbols"), n),
-        "marks_per_word": ratio(F.col("__n_marks"), n),
-        "stop_word_ratio": ratio(F.col("__words.stop"), n),
-        "dup_line_ratio": ratio(F.col("__lines.dup"), F.col("__lines.n")),
-        "bullet_line_ratio": ratio(F.col("__lines.bullet"), F.col("__lines.n")),
-        "open_line_ratio": ratio(F.col("__lines.open"), F.col("__lines.n")),
+        "mean_word_chars": ratio(F.col(f"{own}word_chars"), n),
+        "symbols_per_word": ratio(F.col(f"{own}n_symbols"), n),
+        "marks_per_word": ratio(F.col(f"{own}n_marks"), n),
+        "stop_word_ratio": ratio(F.col(f"{own}words.stop"), n),
+        "dup_line_ratio": ratio(F.col(f"{own}lines.dup"), F.col(f"{own}lines.n")),
+        "bullet_line_ratio": ratio(F.col(f"{own}lines.bullet"), F.col(f"{own}lines.n")),
+        "open_line_ratio": ratio(F.col(f"{own}lines.open"), F.col(f"{own}lines.n")),
         "n_words": n,
     }
     broken = [F.when(F.lit(False) if r.low is None else value[r.metric] < r.low, F.lit(f"{r.metric} below {r.low}")).when(F.lit(False) if r.high is None else value[r.metric] > r.high, F.lit(f"{r.metric} above {r.high}")) for r in rules]
     failed = F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
     base = (n < least_words) | (100 * c > repeat_percent * n)
-    new = {"n_words": n, "word_chars": F.col("__word_chars"), "n_symbols": F.col("__n_symbols"), "n_dup_lines": F.col("__lines.dup"), "n_repeat_words": c, "failed": failed, "base_failed": base, "kept": ~base & (F.size(failed) == 0)}
+    new = {"n_words": n, "word_chars": F.col(f"{own}word_chars"), "n_symbols": F.col(f"{own}n_symbols"), "n_dup_lines": F.col(f"{own}lines.dup"), "n_repeat_words": c, "failed": failed, "base_failed": base, "kept": ~base & (F.size(failed) == 0)}
     out = made.withColumns(new)
-    return out.drop(*[x for x in out.columns if x.startswith("__") and x not in docs.columns])
+    return out.drop(*[x for x in out.columns if x.startswith(own)])
