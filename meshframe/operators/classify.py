@@ -130,6 +130,7 @@ def _from_below(entities: DataFrame, below: DataFrame, key: str, least: int) ->
 
 def check(m: MeshFrame) -> DataFrame:
     """``rule, violations``: one row per rule, 0 where it holds."""
+    m = m.settled()
     ev = m.E.select("eid", "gdim", "gent", F.explode(F.array("v0", "v1")).alias("vid"))
     vj = ev.join(m.V.select("vid", F.col("gdim").alias("vd"), F.col("gent").alias("vg")), "vid")
     fj = m.FE.join(m.F.select("fid", F.col("gdim").alias("fd"), F.col("gent").alias("fg")), "fid")
