@@ -3,7 +3,10 @@
 Vectors of one dimension are grouped by norm, a factor of 2 to each group, so that a few long ones don't press the
 others together. Inner products become distances by scaling with the group's largest norm and one added coordinate.
 In each group, each of ``tables`` tables hashes a vector to ``k`` values ``floor((a x + b) / w)`` with Gaussian ``a``. A query visits its own bucket and
-perturbed ones in order of estimated success (the sum of squared distances to the bucket borders crossed). Buckets
+perturbed ones in order of estimated success (the sum of squared distances to the bucket borders crossed). How fine
+buckets are and how many a query visits is fitted on a bounded pilot sample of the group's vectors: where neighbours
+stand out, few vectors are compared; where all vectors are about equally far from each other, no hashing can tell
+neighbours from others, and most are. Buckets
 are dealt to shards of bounded size; a bucket larger than a shard is cut into parts that all its visitors see, so
 that none is capped. A shard compares its visitors with their buckets as matrices and returns each visitor's best;
 the tables' candidates are then merged. Queries that meet fewer than they could are compared with all vectors, in
@@ -28,6 +31,11 @@ from .text import U64, mix
 
 #: Groups of at most so many vectors are searched in full.
 FULL = 256
+#: Pilot sample: vectors of a group and values in all, groups that have one (the largest), queries, the recall that it must
+#: reach, and the numbers of hash values that are tried beyond the usual one, finest first.
+PILOT, PILOT_VALUES, PILOT_GROUPS, PILOT_QUERIES, PILOT_RECALL, FINER = 2048, 2_000_000, 4, 24, 0.95, (12, 9, 7, 6, 5, 4)
+#: Probes that are tried with finer hashing than usual; where more would be needed, coarser buckets cost less.
+FINER_PROBES = 192
 #: Vectors of a shard, about, and at most so many buckets that are larger than one (8 bytes each, broadcast).
 SHARD, MAX_LARGE = 32_768, 100_000
 
@@ -72,18 +80,84 @@ def probes_for(k: int) -> int:
     return 64 << max(0, k - 5)
 
 
+def long_form(x: np.ndarray, longest: float | None) -> np.ndarray:
+    """Stored vectors, scaled by the group's longest, or queries (no ``longest``), with the coordinate that makes inner
+    products into distances."""
+    size = np.sqrt((x * x).sum(axis=1))
+    more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))
+    return np.column_stack([x / (size[:, None] if longest is None else longest), more])
+
+
+def fitted(sample: np.ndarray, n: int, least: int, top: int, tables: int, w: float) -> tuple[int, int, float]:
+    """``k``, ``probes`` and the share of vectors that a query meets with them, judged on a sample of a group of ``n``.
+
+    ``k`` is at least ``least``. Of the finest hashing that reaches PILOT_RECALL the fewest probes are taken; without one,
+    ``least`` and its default probes. A sample's nearest are farther off than those of the whole group: it errs towards
+    more probes."""
+    m, dim = sample.shape
+    longest = float(np.sqrt((sample * sample).sum(axis=1)).max()) or 1.0
+    asked = np.linspace(0, m - 1, min(m, PILOT_QUERIES)).astype(int)
+    score = np.einsum("id,jd->ij", sample[asked], sample)
+    score[np.arange(len(asked)), asked] = -np.inf
+    wanted = np.argsort(-score, axis=1, kind="stable")[:, : max(1, min(m - 1, round(top * m / n)))]
+    stored, query = long_form(sample, longest), long_form(sample[asked], None)
+    for k in [k for k in FINER if k > least] + [least]:
+        most = probes_for(k) if k == least else min(probes_for(k), FINER_PROBES)
+        first = np.full((len(asked), m), most)
+        for t in range(tables):
+            a, b = _directions(dim, t, k, w)
+            keys = _key(np.floor((np.einsum("id,dk->ik", stored, a) + b) / w), 0, t)
+            at = (np.einsum("id,dk->ik", query, a) + b) / w
+            own = np.floor(at)
+            for i in range(len(asked)):
+                visit = _key(own[i] + perturbations((at[i] - own[i]) * w, w, most), 0, t)
+                order = np.argsort(visit, kind="stable")
+                spot = np.minimum(np.searchsorted(visit[order], keys), len(visit) - 1)
+                hit = visit[order][spot] == keys
+                first[i, hit] = np.minimum(first[i, hit], order[spot[hit]])
+        best = np.take_along_axis(first, wanted, axis=1)
+        p = 1
+        while p <= most:
+            if (best < p).mean() >= PILOT_RECALL:
+                return k, p, float((first < p).mean())
+            p += max(1, p // 4)
+        if k == least:
+            return k, most, float((first < most).mean())
+
+
 def usable(v: Column) -> Column:
     """Vectors that take part: no null, no component null or not finite, not zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def pilots(rows: DataFrame, largest: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int], np.ndarray, int]]:
+    """Dimension and band, sample and size of groups (``count, dimension, band``): vectors of the smallest id hashes, about
+    PILOT of a group and PILOT_VALUES numbers in all."""
+    chosen = [(c, d, b) for c, d, b in largest if c]
+    share = None
+    for count, dim, band in chosen:
+        want = min(PILOT, max(64, PILOT_VALUES // (len(chosen) * dim)))
+        below = F.lit(min(1 << 30, -(-(want << 30) // count)))
+        here = (F.size("v") == dim) & (F.col("band") == band)
+        share = F.when(here, below) if share is None else share.when(here, below)
+    if share is None:
+        return
+    found: dict[tuple[int, int], list] = {}
+    for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select(F.size("v").alias("dim"), "band", "v").collect():
+        found.setdefault((r["dim"], r["band"]), []).append(r["v"])
+    for count, dim, band in chosen:
+        if len(held := found.get((dim, band), [])) > 1:
+            yield (dim, band), np.array(held, float), max(count, len(held))
+
+
 def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, top: int = 20, tables: int = 5, k: int | None = None, w: float = 1.5, probes: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` nearest found for every row where ``is_query``.
 
     Candidates are all other usable rows of the same dimension; a query gets ``top`` of them, or all if there are
-    fewer. ``k`` is by default the rounded decimal logarithm of a group's size (0, a full search, up to 256), so that buckets stay alike as tables grow; ``probes`` by
-    default grows with it (``probes_for``), so that recall stays too. Ties go to the smaller id; rows of null id take no part; of rows with one id and different vectors each is a candidate and the
+    fewer. ``k`` is by default at least the rounded decimal logarithm of a group's size (0, a full search, up to 256) and
+    ``probes`` at most ``probes_for`` of it; a pilot sample of the largest groups makes ``k`` larger and ``probes``
+    smaller where that keeps recall (``fitted``). Ties go to the smaller id; rows of null id take no part; of rows with one id and different vectors each is a candidate and the
     best counts. An empty table gives no rows.
     """
     v = F.transform(F.col(f"`{vector_column}`"), lambda x: x.cast("double"))
@@ -92,6 +166,7 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
     size = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce(F.log2(norm), F.lit(-500.0))))  # norms may leave the doubles
     rows = rows.withColumn("band", F.floor(size + 0.5).cast("int"))
     groups: dict[int, dict[int, tuple[int, int, int, float]]] = {}  # dimension, band: number, k, probes, largest norm
+    sizes: list[tuple[int, int, int]] = []
     n = stored = number = 0
     for dim, of_dim in groupby(rows.groupBy(F.size("v"), "band").agg(F.count("*"), F.max(norm)).sort(F.size("v"), "band").collect(), lambda r: r[0]):
         bands, small = groups.setdefault(dim, {}), None
@@ -103,6 +178,12 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
             number += group == number
             bands[band] = (group, here, probes_for(here) if probes is None else probes, min(longest, 2.0**501) or 1.0)
             n, stored = n + count, stored + count * (tables if here else 1)
+            sizes.append((count if here else 0, dim, band))
+    if k is None and probes is None:
+        for (dim, band), sample, count in pilots(rows, sorted(sizes, reverse=True)[:PILOT_GROUPS]):
+            group, least, _, longest = groups[dim][band]
+            finer, fewer, _ = fitted(sample, count, least, top, tables, w)
+            groups[dim][band] = (group, finer, fewer, longest)
     part = max(SHARD, -(-stored // MAX_LARGE))
     shards = max(1, -(-stored // part))
 
@@ -118,10 +199,7 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, is_query: Co
 
     def hashed(x: np.ndarray, dim: int, k: int, longest: float | None) -> Iterator[tuple[int, np.ndarray]]:
         """Table by table; queries have no ``longest``. A full search needs one table."""
-        size = np.sqrt((x * x).sum(axis=1))
-        unit = x / (size[:, None] if longest is None else longest)
-        more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))
-        long = np.column_stack([unit, more])
+        long = long_form(x, longest)
         for t in range(tables if k else 1):
             a, b = _directions(dim, t, k, w)
             yield t, (long @ a + b) / w

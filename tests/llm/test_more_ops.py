@@ -102,6 +102,36 @@ def test_nearest_finds_top_rows(spark, case):
         assert len(set(got[i])) == len(got[i]) == (14 if case == "dimension" and i >= 9_000 else 20)
 
 
+@pytest.mark.parametrize("kind", ["clusters", "given"])
+def test_probing_and_recall(spark, kind):
+    """Where vectors lie in clusters, a query meets under 5 % of them; those of the tables, without any structure, can't be
+    told apart by hashing: recall is kept there by meeting more."""
+    from meshframe.llm.ann import fitted
+
+    if kind == "clusters":
+        r = np.random.default_rng(2)
+        centres = r.normal(size=(60, 32))
+        x = centres[r.integers(0, 60, 4000)] + 0.2 * r.normal(size=(4000, 32))
+        rows = list(enumerate((x / np.linalg.norm(x, axis=1)[:, None]).tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    else:
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+        rows = [(r.vec_id, list(map(float, r.embedding))) for r in df.collect()]
+    x = np.array([v for _, v in rows])
+    k, probes, share = fitted(x[:2048], len(x), 3, 20, 5, 1.5)
+    assert share < 0.05 if kind == "clusters" else share < 0.9
+    got: dict[int, set[int]] = {}
+    for r in nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.array([i for i, _ in rows])
+    asked = np.flatnonzero(ids % 20 == 0)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -9
+    best = [set(ids[np.argsort(-s, kind="stable")[:20]].tolist()) for s in score]
+    recall = np.mean([len(b & got[i]) / 20 for b, i in zip(best, ids[asked].tolist(), strict=True)])
+    assert recall >= 0.93 and all(len(v) == 20 for v in got.values())
+
+
 def test_perturbations_in_order():
     inside = np.array([0.1, 0.7, 1.2])
     moves = perturbations(inside, 1.5, 27)
