@@ -248,12 +248,15 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int,
     """``a, b``: links between representatives of distinct sets whose components are those of all links."""
     reps = sets.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     own = sets.join(reps, ["cid", "doc_id"], "left_semi").dropDuplicates(["doc_id", "cid"])
-    posts = own.select(F.posexplode("toks").alias("i", "tok"), F.col("doc_id").alias("x"), "n")
-    lists = posts.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
     cut = _classes(F.col("n"), num, den)
     largest = F.floor((F.col("n") - F.col("i")) * (num + den) / num - F.col("n") + 1e-6)  # that an entry at i can link with
-    visits = (largest > F.col("n")) & (_classes(largest, num, den) > cut)
-    entries = posts.join(lists, "tok").select("tok", "x", "n", F.explode(F.when(visits, F.array(cut, cut + 1)).otherwise(F.array(cut))).alias("g"), cut.alias("home"))
+    visits = F.coalesce((largest > F.col("n")) & (_classes(largest, num, den) > cut), F.lit(False))
+    posts = own.select(F.posexplode("toks").alias("i", "tok"), F.col("doc_id").alias("x"), "n")
+    posts = posts.select("tok", "x", (2 * F.col("n") + visits.cast("long")).alias("nv"))  # one number: both uses below read one shuffle
+    lists = posts.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    listed = posts.join(lists, "tok")
+    entries = listed.select("tok", "x", F.expr("nv div 2").alias("n"), (F.col("nv") % 2 == 1).alias("visits"))
+    entries = entries.select("tok", "x", "n", F.explode(F.when(F.col("visits"), F.array(cut, cut + 1)).otherwise(F.array(cut))).alias("g"), cut.alias("home"))
     blocks_ = entries.groupBy("tok", "g").agg(F.min("x").alias("l"), F.count("*").alias("m"), F.max(F.col("g") == F.col("home")).alias("h")).where("m > 1 and h").select("tok", "g", "l")
     members = scratch.written(entries.join(blocks_, ["tok", "g"]).select("l", "g", "x", "n").distinct(), "members")
     groups = members.groupBy("l", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
@@ -265,7 +268,7 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int,
     keys = ["l", "g", "ci", "cj"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a shingle that only one set indexes adds to no intersection: prefixes are sent without those
-    shared_toks = posts.join(lists, "tok").groupBy("x").agg(F.collect_list("tok").alias("toks"), F.first("n").alias("n"))
+    shared_toks = listed.groupBy("x").agg(F.collect_list("tok").alias("toks"), F.expr("first(nv) div 2").alias("n"))
     prefixed = dealt.join(shared_toks.hint("merge"), "x").select(*keys, "x", "n", F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1").alias("p"), "toks")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
