@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, number
 from ..schema import GHOST, KIND, OVERLAP
+from ..working import shared_dir
 from . import geometry, graph, parallel
 
 HELD = ["part", "master_part", "ptype"]
@@ -143,15 +144,18 @@ def weave(v: DataFrame, loops: DataFrame, layers: int = 1, tolerance: float = 1e
     Vertices of several parts are one where their places agree within ``tolerance``, or their ``gids``
     (``part, vid, gid``), if given; the lowest part owns them. Faces are numbered by part and id; edges follow from the
     vertices. Ghost layers and labels are those of ``distribute``."""
+    shared_dir(v.sparkSession)
     if gids is None:
         same = parallel.match_points(v.select("part", F.col("vid").alias("id"), "x", "y", "z"), tolerance)
         own = number(same.select("master_part", "master_id").distinct(), "gid", "master_id", group="master_part")
         gids = same.join(own, ["master_part", "master_id"]).select("part", F.col("id").alias("vid"), "gid")
+    gids = gids.checkpoint()
     points = v.join(gids, ["part", "vid"]).groupBy("gid").agg(F.min_by(F.struct("x", "y", "z"), F.struct("part", "vid")).alias("p"))
     vertices = points.select(F.col("gid").alias("vid"), "p.*", F.lit(4).alias("gdim"), F.lit(0).cast("long").alias("gent"))
     faces = number(loops.select("part", "fid").distinct(), "gid", "fid", group="part")
     fv = loops.join(gids.withColumnRenamed("gid", "vg"), ["part", "vid"]).join(faces, ["part", "fid"]).select(F.col("gid").alias("fid"), "pos", F.col("vg").alias("vid"))
-    return distribute(MeshFrame.from_faces(vertices, fv), faces.select(F.col("gid").alias("id"), "part"), layers)
+    m = MeshFrame.from_faces(vertices, fv.checkpoint()).settled("V", "E", "F", "FE")
+    return distribute(m, faces.select(F.col("gid").alias("id"), "part").checkpoint(), layers)
 
 
 def labelled_counts(p: PartedMesh) -> DataFrame:
