@@ -121,6 +121,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by language."""
+    from .audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
@@ -176,7 +183,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_re
 FROM d JOIN k USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+b AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY part, f),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (
+  SELECT c.*, filter_order, step, o[step] AS own,
+    len(list_filter(o[1 : step - 1], lambda i: f[i])) = 0 AS reaches, f[o[step]] AS fails, len(list_filter(f, lambda v: v)) AS failed
+  FROM c, s),
+q AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (reaches AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (reaches AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (NOT reaches AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (reaches AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (reaches AND fails), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own, step), step::INTEGER AS step, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM q
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses; the tests hold the others against brute force."""
-    return {"op2_quality_rules": _OP2, "op8_substring_dedup": _OP8}
+    return {"op2_quality_rules": _OP2, "op8_substring_dedup": _OP8, "op13_filter_audit": _OP13}
