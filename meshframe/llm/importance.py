@@ -123,7 +123,7 @@ def feature_buckets(block: Block, max_run: int, buckets: int) -> tuple[np.ndarra
             step = max(1, STEP // length)
             for i in range(0, len(at), step):
                 some = at[i : i + step]
-                hashed[some] = crc_rows(gather(data, starts[lead[some]], length)) % buckets
+                hashed[some] = crc_rows(gather(data, starts[lead[some]], length)).astype(np.int64) % buckets
         out.append((hashed, runs, places))
     return n, first, out
 
