@@ -1,7 +1,8 @@
 """WARC archives of pages and a two-level index of their captures.
 
-Archives are plain WARC files that Spark's text writer makes: one record a row, so that a lost executor costs a task and
-nothing half-written is seen. Payloads that occur more than once are kept once; the others are revisit records whose HTTP
+Archives are WARC files of one gzip member a record, as Spark's text writer makes them: one record a row, so that a lost
+executor costs a task and nothing half-written is seen. The writer ends each row with a separator, here a zero byte, which
+is the last byte of the member: that of its length, zero for all members under 16 MB. Payloads that occur more than once are kept once; the others are revisit records whose HTTP
 header tells the payload's length.
 
 The index sorts captures by URL key, host reversed, into compressed blocks of many captures. The directory has the first
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Bytes of payloads in an archive, about, and in one range read.
+#: Bytes of payloads in an archive, about, before compression, and bytes of one range read.
 ARCHIVE, RANGE = 32 << 20, 4 << 20
 #: Captures of a block at least, and rows of the directory at most (one more for each partition that sorts).
 BLOCK, DIRECTORY = 1000, 100_000
@@ -62,8 +63,9 @@ def url_key(url: Column) -> Column:
     return F.when(part(1) != "", F.concat(host, part(2), F.lit(")"), part(3))).otherwise(url)
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to`` for every row of ``pages`` (``page_id``, ``url``, ``html``).
+def with_revisits(pages: DataFrame, least: int = 0, parts: int = 1) -> DataFrame:
+    """``page_id, url, payload, digest, refers_to`` for every row of ``pages`` (``page_id``, ``url``, ``html``), in ``parts``
+    partitions. Payloads are shuffled once; rows that repeat both a page_id and a payload come to one partition.
 
     Of rows with equal payloads of at least ``least`` bytes all but those of the largest page_id refer to it. Null html is an
     empty payload. Rows without page_id, and rows that share the largest, refer to nothing.
@@ -80,18 +82,35 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     some = narrow.join(F.broadcast(groups.where(often).select("digest")), "digest", "left_anti").join(light, "digest")
     hot = narrow.join(F.broadcast(heavy), "digest")
     copies = some.unionByName(hot).where("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
-    return rows.join(copies, ["page_id", "digest"], "left")
+    keys = ["page_id", "digest"]
+    return rows.repartition(parts, *keys).join(copies.repartition(parts, *keys), keys, "left")
 
 
 def _headers(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*(c for name, value in pairs for c in (F.lit(f"{name}: "), value, F.lit("\r\n"))))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero; a record of 16 MB or more has an empty member behind its own."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = pack.compress(record) + pack.flush()
+    if data[-1]:
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        data += pack.flush()
+    return data[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", archive: int = ARCHIVE) -> None:
     """Write one WARC record per row of ``pages`` to ``path``/archives; see ``with_revisits`` for what becomes a revisit.
 
-    Records name their page by its id, ``<urn:page:7>``. Files have about ``ARCHIVE`` bytes of payload."""
-    rows = with_revisits(pages, least)
+    Records name their page by its id, ``<urn:page:7>``. Files hold about ``archive`` bytes of payload."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer()) for r in batch.column(0)], pa.binary())], names=["value"])
+
+    stored = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    rows = with_revisits(pages, least, max(1, -(-stored // archive)))
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     again = F.col("refers_to").isNotNull()
@@ -111,29 +130,37 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "197
         ),
         F.when(again, _headers(("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), ("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(""),
     )
-    stored = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    records = rows.select(F.concat(head, F.lit("\r\n"), "block").alias("value"))
-    records.repartition(max(1, -(-stored // ARCHIVE))).write.option("lineSep", END).text(f"{path}/archives")
+    records = rows.select(F.concat(head, F.lit("\r\n"), "block", F.lit(END)).cast("binary").alias("value")).mapInArrow(packed, "value binary")
+    records.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(f"{path}/archives")
 
 
 class Broken(ValueError):
     """An archive that isn't what its headers say."""
 
 
-def parse(data: memoryview, at: int) -> tuple[dict[str, str], int, int, int]:
-    """Headers of the record at ``at``, where its block begins and ends, and where the next record begins."""
-    end = bytes(data[at : at + 65_536]).find(b"\r\n\r\n")
-    if end < 0:
-        end = bytes(data[at:]).find(b"\r\n\r\n")
-    lines = bytes(data[at : at + max(end, 0)]).decode().split("\r\n")
-    if lines[0] != "WARC/1.0":
-        raise Broken(f"no record at byte {at}")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    begin = at + end + 4
-    stop = begin + int(headers["Content-Length"])
-    if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
-        raise Broken(f"the record at byte {at} doesn't end where it says")
-    return headers, begin, stop, stop + 4
+def unpack(data: memoryview, at: int) -> tuple[bytes, int]:
+    """The record whose member begins at ``at``, and where the next one begins."""
+    out, last = [], 1
+    while last:  # a member that doesn't end with zero has an empty one behind it
+        pack = zlib.decompressobj(31)
+        while not pack.eof:
+            piece = data[at : at + 65_536]
+            if not piece:
+                raise Broken("an archive ends within a record")
+            out.append(pack.decompress(piece))
+            at += len(piece) - len(pack.unused_data)
+        last = data[at - 1]
+    return b"".join(out), at
+
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    first, *lines = head.decode().split("\r\n")
+    headers = dict(line.split(": ", 1) for line in lines)
+    if first != "WARC/1.0" or rest[int(headers["Content-Length"]) :] != END.encode():
+        raise Broken("a record doesn't begin or end where it should")
+    return headers, rest[: -len(END)]
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +175,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[list] = [[] for _ in names]
                 at = 0
                 while at < len(data):
-                    h, _, _, to = parse(data, at)
+                    record, to = unpack(data, at)
+                    h, _ = parse(record)
                     row = (h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), file, at, to - at)
                     for values, x in zip(rows, row, strict=True):
                         values.append(x)
@@ -253,8 +281,7 @@ def _records(slices: Iterator[memoryview], with_payload: bool) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for data in slices:
-        h, begin, stop, _ = parse(data, 0)
-        block = bytes(data[begin:stop])
+        h, block = parse(unpack(data, 0)[0])
         http, _, payload = block.partition(b"\r\n\r\n")
         length = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: ")).split(": ")[1])
         told = h["WARC-Payload-Digest"].removeprefix("sha1:")

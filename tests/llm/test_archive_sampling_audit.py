@@ -1,6 +1,7 @@
 """WARC index, importance resampling and filter audit against plain Python."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -67,8 +68,9 @@ def test_warc_round_trip(spark, tmp_path, least):
     for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").collect():
         at = 0
         while at < len(r.content):
-            at = warc.parse(memoryview(r.content), at)[3]
+            at = warc.unpack(memoryview(r.content), at)[1]
         assert at == len(r.content)
+        assert gzip.decompress(r.content).startswith(b"WARC/1.0\r\nWARC-Type: ") or not r.content
 
 
 def test_warc_lookup_finds_all_captures_and_no_others(spark, tmp_path, monkeypatch):
@@ -90,8 +92,23 @@ def test_warc_lookup_finds_all_captures_and_no_others(spark, tmp_path, monkeypat
 def test_warc_empty_and_broken(spark, tmp_path):
     pages, path, index = archive(spark, tmp_path, [])
     assert warc.read_records(warc.lookup(index, pages), path).count() == 0
+    for record in (b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n", b"HTTP/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"):
+        with pytest.raises(warc.Broken):
+            warc.parse(record)
     with pytest.raises(warc.Broken):
-        warc.parse(memoryview(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), 0)
+        warc.unpack(memoryview(warc.member(b"x" * 500)[:20]), 0)
+
+
+def test_members_end_with_a_zero():
+    """A record of 16 MB or more has an empty member behind it; several stand one after another."""
+    records = [b"short\r\n\r\n", b"x" * (1 << 24) + b"\r\n\r\n", b"y" * 100_000 + b"\r\n\r\n", b"\r\n\r\n"]
+    data = b"".join(warc.member(r) + b"\0" for r in records)
+    assert gzip.decompress(data) == b"".join(records)
+    at, back = 0, []
+    while at < len(data):
+        record, at = warc.unpack(memoryview(data), at)
+        back.append(record)
+    assert back == records and at == len(data)
 
 
 def test_url_keys(spark):
