@@ -103,14 +103,15 @@ def member(record: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", archive: int = ARCHIVE) -> None:
     """Write one WARC record per row of ``pages`` to ``path``/archives; see ``with_revisits`` for what becomes a revisit.
 
-    Records name their page by its id, ``<urn:page:7>``. Files hold about ``archive`` bytes of payload."""
+    Records name their page by its id, ``<urn:page:7>``. Files hold about ``archive`` bytes of payload, or less: there are
+    as many as shuffle partitions at least (with fewer, Spark would shuffle payloads again for the join with revisits)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer()) for r in batch.column(0)], pa.binary())], names=["value"])
 
     stored = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = with_revisits(pages, least, max(1, -(-stored // archive)))
+    rows = with_revisits(pages, least, max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // archive)))
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     again = F.col("refers_to").isNotNull()
