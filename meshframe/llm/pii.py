@@ -3,8 +3,9 @@
 * *Detection*: one regular expression of named kinds.
 * *Surrogates* come from SHA-256 of a secret key, the kind, the canonical value and an attempt number: phone and
   card numbers keep their length and punctuation (cards their first digit and a valid check digit), addresses
-  their number and class of characters under a reserved domain, IPv4 addresses move to the reserved class E,
-  secrets keep prefix and alphabet, names keep gender, script and letter case.
+  their number and class of characters under a reserved domain, IPv4 addresses move to the reserved class E, IPv6
+  addresses to the documentation prefix, account numbers (IBAN) keep country and shape with valid check digits, social
+  security numbers move to the area 9xx, which is never given out, secrets keep prefix and alphabet, names keep gender, script and letter case.
 * *Coreference*: canonical values (digits only, lower case, name part by name part) make all spellings of one
   entity get one surrogate, in every document.
 * *Distinctness*: surrogates are checked against each other and against the originals of the corpus; whoever
@@ -70,15 +71,20 @@ def _upper(words: list[str]) -> list[str]:
 
 #: Kinds in order of precedence, as Java patterns.
 KINDS = {
-    "email": "(?<![\\p{L}0-9])[\\p{L}0-9][\\p{L}0-9._%+-]{0,63}@[\\p{L}0-9-]{1,63}(?:\\.[\\p{L}0-9-]{1,63}){0,8}\\.\\p{L}{2,24}",
+    "email": "(?<![\\p{L}0-9._%+-])[._%+-]*+[\\p{L}0-9][\\p{L}0-9._%+-]*+@[\\p{L}0-9-][\\p{L}0-9.-]*\\.\\p{L}{2,}",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "hex": "(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
-    "secret": "(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64})(?![0-9A-Za-z])",
+    "ipv6": "(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
+    "hex": "(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
+    "secret": "(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}+)(?![0-9A-Za-z])",
+    "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,4})?)(?![0-9A-Za-z])",
+    "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": "(?<![0-9A-Za-z+])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9A-Za-z])",
-    "phone": "(?<![0-9A-Za-z])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
+    "phone": "(?<![0-9A-Za-z])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4}|[0-9]{3}\\.[0-9]{3}\\.[0-9]{4})(?![0-9A-Za-z])",
     "name": f"(?<!\\p{{L}})(?=\\p{{Lu}})(?:{_names(_ALL_GIVEN, TITLES, _CAPITAL)}|{_names(_upper(_ALL_GIVEN), _upper(TITLES), _CAPITALS)})(?!\\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Signs before an address, which aren't part of it, and the ending that a surname has in the feminine.
+LEADING, FEMININE = "^[._%+-]+", "(?<=(?:ов|ев|ёв|ин))а$"
 
 
 #: Signs that no text should hold (noncharacters): MARK stands at both ends of an entity; where a text does hold one,
@@ -122,9 +128,18 @@ def parts_of(entity: Column, kind: Column) -> Column:
         k = F.when(word.isin(TITLES + _upper(TITLES)), F.lit("title"))
         for (script, gender), names in GIVEN.items():
             k = k.when(word.isin(names + _upper(names)), F.lit(f"given:{script}:{gender}"))
-        return part(k.otherwise(F.concat(F.lit("surname:"), _script(word))), F.lower(word), word)
-
-    canon = F.when(kind.isin("phone", "card"), _digits(entity)).when(kind.isin("email", "hex"), F.lower(entity)).otherwise(entity)
+        is_given = word.isin(_ALL_GIVEN + _upper(_ALL_GIVEN) + TITLES + _upper(TITLES))
+        # both forms of a surname with gender are one
+        one = F.regexp_replace(F.regexp_replace(F.lower(word), FEMININE, ""), "ск(?:ая|ий)$", "ск")
+        return part(k.otherwise(F.concat(F.lit("surname:"), _script(word))), F.when(is_given, F.lower(word)).otherwise(one), word)
+
+    canon = (
+        F.when(kind.isin("phone", "card", "ssn"), _digits(entity))
+        .when(kind == "email", F.regexp_replace(F.lower(entity), LEADING, ""))
+        .when(kind.isin("hex", "ipv6"), F.lower(entity))
+        .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+        .otherwise(entity)
+    )
     return F.when(kind == "name", F.transform(F.split(entity, " "), name_part)).otherwise(F.array(part(kind, canon, entity)))
 
 
@@ -173,6 +188,15 @@ def _check_digit(number: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _iban(canon: Column, numbers: Column) -> Column:
+    """Another account of the same country and shape, with valid check digits."""
+    account = F.substring(_alike(canon, numbers), F.lit(5), F.length(canon))
+    country = F.substring(canon, 1, 2)
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    rest = F.aggregate(F.filter(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: c != ""), F.lit(0), lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical value."""
 
@@ -187,6 +211,9 @@ def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Colu
         out = (
             F.when(kind == "email", F.concat(_alike(local, r), F.lit("@"), _alike(F.regexp_replace(F.substring_index(canon, "@", -1), "\\.[^.]*$", ""), F.reverse(r)), label, F.lit(".example")))
             .when(kind == "ip", F.concat_ws(".", (240 + F.pmod(at(1), F.lit(16))).cast("string"), octet(2), octet(3), octet(4)))
+            .when(kind == "ipv6", F.concat(F.lit("2001:db8"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit(":"), F.lower(F.hex(F.element_at(r, i))))), "")))
+            .when(kind == "iban", let(_iban(canon, r), lambda x: x))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_alike(canon, r), F.lit(2), F.length(canon))))
             .when(kind == "hex", _alike(canon, r, True))
             .when(kind == "secret", F.concat(F.substring(canon, 1, 4), F.substring(_alike(canon, r, signs=attempt > 0), F.lit(5), F.length(canon))))
             .when(kind == "card", F.concat(card, _check_digit(card)))
@@ -196,10 +223,11 @@ def surrogate(secret: str, kind: Column, canon: Column, attempt: Column) -> Colu
             stand_in = dict(zip((n.lower() for n in names), _shuffled(STAND_INS[group], secret), strict=True))
             out = out.when(kind == "given:" + ":".join(group), F.create_map(*(F.lit(x) for pair in stand_in.items() for x in pair))[canon])
         for script, syllables in SYLLABLES.items():
-            out = out.when(kind == f"surname:{script}", _joined(syllables, F.slice(r, 1, 3 + F.least(attempt, F.lit(13)))))
+            end = "ов" if script == "cyrillic" else ""  # so that it has a feminine
+            out = out.when(kind == f"surname:{script}", F.concat(_joined(syllables, F.slice(r, 1, 3 + F.least(attempt, F.lit(13)))), F.lit(end)))
         return out.otherwise(canon)
 
-    return let(_stream(secret, kind, canon, attempt, F.length(canon) + 4 + attempt), made)
+    return let(_stream(secret, kind, canon, attempt, F.length(canon) + 8 + attempt), made)
 
 
 def render(kind: Column, text: Column, sur: Column) -> Column:
@@ -207,12 +235,15 @@ def render(kind: Column, text: Column, sur: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def put(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
+        digit = c.rlike("[0-9A-Z]")
         return F.struct(F.concat(acc["out"], F.when(digit, F.substring(sur, acc["k"], F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
 
     dialled = F.aggregate(F.split(text, ""), start, put, lambda acc: acc["out"])
-    letters = F.when(text == F.upper(text), F.upper(sur)).otherwise(F.initcap(sur))
-    return F.when(kind.isin("phone", "card"), dialled).when(kind == "title", text).when(kind.rlike("^(given|surname)"), letters).when(kind.isin("email", "hex") & (text == F.upper(text)) & (text != F.lower(text)), F.upper(sur)).otherwise(sur)
+    form = F.when((kind == "surname:cyrillic") & F.lower(text).rlike(FEMININE + "|ская$"), F.concat(sur, F.lit("а"))).otherwise(sur)
+    letters = F.when(text == F.upper(text), F.upper(form)).otherwise(F.initcap(form))
+    capitals = (text == F.upper(text)) & (text != F.lower(text))
+    address = F.concat(F.regexp_extract(text, LEADING, 0), F.when(capitals, F.upper(sur)).otherwise(sur))
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), dialled).when(kind == "email", address).when(kind == "title", text).when(kind.rlike("^(given|surname)"), letters).when(kind.isin("hex", "ipv6") & capitals, F.upper(sur)).otherwise(sur)
 
 
 def surrogates(atoms: DataFrame, secret: str, max_rounds: int = 40) -> DataFrame:
