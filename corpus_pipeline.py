@@ -32,11 +32,24 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
     return run_stage
 
 
+def _alone(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and one column with all others, so that none of their names is an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("__row"))
+
+
+def _back(changed: DataFrame, docs: DataFrame, counted: bool = True) -> DataFrame:
+    """The columns of ``docs`` again, in their order; ``n_chars`` is counted anew if the text may have changed."""
+    at = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("__row").getField(c).alias(c)
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if counted and "n_chars" in docs.columns else None
+    return changed.select(*[length if c == "n_chars" and length is not None else at(c) for c in docs.columns])
+
+
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, learned from ``labels``: documents that it rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return fit(docs, labels).score(docs).where("predicted = 1").select(*docs.columns)
+    return _back(fit(docs, labels).score(_alone(docs)).where("predicted = 1"), docs, counted=False)
 
 
 @stage
@@ -48,13 +61,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: windows of 50 words are removed from all documents but the first; emptied ones go."""
-    return _counted(remove_repeats(docs, width=50).where("n_removed < n_words or n_words = 0"), docs)
+    return _back(remove_repeats(_alone(docs), width=50).where("n_removed < n_words or n_words = 0"), docs)
 
 
 @stage
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: detected entities become surrogates."""
-    return _counted(replace_entities(docs, own.PII_SECRET), docs)
+    return _back(replace_entities(_alone(docs), own.PII_SECRET), docs)
 
 
 @stage
@@ -63,12 +76,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, own._vocabulary("word_bpe_49k.json"))
 
 
-def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
-    return changed.select(*docs.columns)
-
-
 STAGES = [
     ("quality_classifier", quality),
     ("ngram_jaccard_join", near_duplicates),
