@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir
+from .scratch import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,17 +13,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Each round is one large-star and one small-star step with ``min`` aggregates, which combine on the map
     side, so that a hub of any size is never gathered in one task. Rounds end when the edges no longer change
-    (their number is logarithmic in the nodes); each is cut off by ``checkpoint``. Should ``max_rounds`` not be enough,
+    (their number is logarithmic in the nodes); each is cut off by a written table (a checkpoint would keep the estimated size
+    of its plan, and in a loop of joins estimates multiply). Should ``max_rounds`` not be enough,
     that is an error, never a partial result. Loops and nulls in the input are ignored; no edges give no rows.
     """
-    shared_dir(edges.sparkSession)
-    pair = (
-        edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-        .where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
+    both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    pair = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     sums = None
     for _ in range(max_rounds):
         both = pair.union(pair.select("v", "u"))
@@ -31,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pair = small.checkpoint()
+        pair = written(small, "links")
         new = pair.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == sums:
             break
