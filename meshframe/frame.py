@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import KIND, SCHEMAS, TEMPLATES, UNKNOWN_DIM, UNKNOWN_ID
-from .working import shared_dir
+from .working import settled, shared_dir
 
 
 def number(df: DataFrame, name: str, major: str, *minor: str, start: int = 1, block: int = 65_536, group: str | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ class MeshFrame:
         """Tables that are derived (edges, faces, incidence by default) worked out once and read from the shared folder from
         then on: for operators that read them many times."""
         shared_dir(self.V.sparkSession)
-        return self.with_tables(**{n: self.tables[n].checkpoint() for n in names or ("E", "F", "FE", "RF")})
+        return self.with_tables(**{n: self.tables[n].transform(settled) for n in names or ("E", "F", "FE", "RF")})
 
     def persist(self) -> MeshFrame:
         for df in self.tables.values():

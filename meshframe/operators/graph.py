@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import number
-from ..working import shared_dir
+from ..working import settled, shared_dir
 
 
 def levels(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -24,18 +24,18 @@ def levels(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000) -> Dat
         seen = seen.union(front)
         if k % 8 == 0:
             seen = seen.checkpoint()
-    return seen
+    raise RuntimeError(f"levels aren't done after {max_rounds} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``node, component``: the smallest node reachable, by minima over neighbours and pointer jumping."""
     shared_dir(nodes.sparkSession)
-    label = nodes.select("node", F.col("node").alias("component")).distinct().checkpoint()
+    label = nodes.select("node", F.col("node").alias("component")).distinct().transform(settled)
     for _ in range(max_rounds):
         near = edges.join(label, edges["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
         step = label.join(near, label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("j"))
-        new = step.join(jump, "c").select("node", F.least("c", "j").alias("component")).checkpoint()
+        new = step.join(jump, "c").select("node", F.least("c", "j").alias("component")).transform(settled)
         same = new.join(label, ["node", "component"], "left_anti").isEmpty()
         label = new
         if same:
@@ -54,7 +54,7 @@ def renumber_by_levels(nodes: DataFrame, edges: DataFrame, start: DataFrame) ->
     largest nor the mean difference of neighbours' ids falls, or only one does, the old order is kept (dense)."""
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
     far = nodes.select("node").join(levels(edges, start), "node", "left").join(deg, F.col("node") == F.col("src"), "left")
-    made = number(far.select("node", F.coalesce("level", F.lit(1 << 30)).cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id").checkpoint()
+    made = number(far.select("node", F.coalesce("level", F.lit(1 << 30)).cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id").transform(settled)
     to = lambda c: made.select(F.col("node").alias(c), F.col("new_id").alias(f"n_{c}"))
     after = bandwidth(edges.join(to("src"), "src").join(to("dst"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"))).first()
     before = bandwidth(edges).first()
@@ -63,49 +63,86 @@ def renumber_by_levels(nodes: DataFrame, edges: DataFrame, start: DataFrame) ->
     return number(nodes.select("node"), "new_id", "node")
 
 
-def extremal(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Levels (``node``, ``level``) from both ends of a long shortest path (a pseudo-diameter) of a connected graph: from a
-    node of the least degree to the least of the last level, until that is no farther."""
-    deg = nodes.select("node").join(edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg")), "node", "left").fillna({"deg": 0})
-    start = deg.orderBy("deg", "node").limit(1).select("node")
-    here = levels(edges, start).checkpoint()
+def extremal(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Levels (``component``, ``node``, ``level``) from both ends of a long shortest path (a pseudo-diameter) of every
+    component at once: from a node of the least degree to the least of the last level, until that is no farther."""
+    shared_dir(nodes.sparkSession)
+    label = components(nodes, edges)
+    deg = label.join(edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg")), "node", "left").fillna({"deg": 0}).transform(settled)
+    least = lambda df: df.groupBy("component").agg(F.min(F.struct("deg", "node")).alias("m")).select(F.col("m.node").alias("node"))
+    reach = lambda start: levels(edges, start).join(label, "node").select("component", "node", "level").transform(settled)
+    depth = lambda df, name: df.groupBy("component").agg(F.max("level").alias(name))
+    here = reach(least(deg))
+    there = None  # the other ends of the components that are done
     for _ in range(max_rounds):
-        depth = here.agg(F.max("level")).first()[0]
-        last = here.where(F.col("level") == depth).join(deg, "node").orderBy("deg", "node").limit(1).select("node")
-        there = levels(edges, last).checkpoint()
-        if there.agg(F.max("level")).first()[0] <= depth:
+        open_ = here if there is None else here.join(there.select("component").distinct(), "component", "left_anti")
+        far = open_.join(depth(open_, "d"), "component").where("level = d").join(deg.select("node", "deg"), "node")
+        new = reach(least(far))
+        grown = depth(open_, "d").join(depth(new, "e"), "component").where("e > d").select("component").transform(settled)
+        done = new.join(grown, "component", "left_anti")
+        there = (done if there is None else there.union(done)).transform(settled)
+        if grown.isEmpty():
             return here, there
-        here = there
-    return here, there
+        here = here.join(grown, "component", "left_anti").union(new.join(grown, "component", "left_semi")).transform(settled)
+    raise RuntimeError(f"pseudo-diameters still grow after {max_rounds} rounds")
 
 
 def combined_levels(edges: DataFrame, here: DataFrame, there: DataFrame) -> DataFrame:
-    """``node, level``: two level structures of one graph, from opposite ends, made one of little width.
+    """``component, node, level``: two level structures of each component, from opposite ends, made one of little width.
 
     A node's candidates are its level and the other one counted from the far end. Where they agree, that is its level.
     What is left falls into connected pieces; each takes the candidates that keep the widest level narrower, judged
     against the settled nodes (all pieces at once, not one after another)."""
-    depth = here.agg(F.max("level").alias("d"))
-    both = here.join(there.withColumnRenamed("level", "other"), "node").crossJoin(F.broadcast(depth)).select("node", F.col("level").alias("a"), (F.col("d") - F.col("other")).alias("b")).checkpoint()  # one row
+    depth = here.groupBy("component").agg(F.max("level").alias("d"))
+    both = here.join(there.select("node", F.col("level").alias("other")), "node").join(depth, "component").select("component", "node", F.col("level").alias("a"), (F.col("d") - F.col("other")).alias("b")).transform(settled)
     fixed, open_ = both.where("a = b"), both.where("a <> b").select("node")
     inner = edges.join(open_.withColumnRenamed("node", "src"), "src", "left_semi").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    piece = components(open_, inner).join(both, "node")
-    settled = fixed.groupBy(F.col("a").alias("level")).agg(F.count("*").alias("w"))
-    choice = piece.select("component", F.explode(F.array(F.struct(F.lit("a").alias("by"), F.col("a").alias("level")), F.struct(F.lit("b").alias("by"), F.col("b").alias("level")))).alias("c")).select("component", "c.*")
-    width = choice.groupBy("component", "by", "level").agg(F.count("*").alias("n")).join(settled, "level", "left").groupBy("component", "by").agg(F.max(F.col("n") + F.coalesce("w", F.lit(0))).alias("width"))
-    best = width.groupBy("component").agg(F.min(F.struct("width", "by")).alias("m")).select("component", F.col("m.by").alias("by"))
-    chosen = piece.join(best, "component").select("node", F.when(F.col("by") == "a", F.col("a")).otherwise(F.col("b")).alias("level"))
-    return fixed.select("node", F.col("a").alias("level")).union(chosen)
+    piece = components(open_, inner).withColumnRenamed("component", "piece").join(both, "node").transform(settled)
+    taken = fixed.groupBy("component", F.col("a").alias("level")).agg(F.count("*").alias("w"))
+    choice = piece.select("component", "piece", F.explode(F.array(F.struct(F.lit("a").alias("by"), F.col("a").alias("level")), F.struct(F.lit("b").alias("by"), F.col("b").alias("level")))).alias("c")).select("component", "piece", "c.*")
+    width = choice.groupBy("component", "piece", "by", "level").agg(F.count("*").alias("n")).join(taken, ["component", "level"], "left").groupBy("piece", "by").agg(F.max(F.col("n") + F.coalesce("w", F.lit(0))).alias("width"))
+    best = width.groupBy("piece").agg(F.min(F.struct("width", "by")).alias("m")).select("piece", F.col("m.by").alias("by"))
+    chosen = piece.join(best, "piece").select("component", "node", F.when(F.col("by") == "a", F.col("a")).otherwise(F.col("b")).alias("level"))
+    return fixed.select("component", "node", F.col("a").alias("level")).union(chosen)
+
+
+def profiles(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``node, reach``: how far each node's id (``node``, ``id``) stands behind the least id among it and its neighbours;
+    their sum is the profile of the numbering."""
+    to = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
+    least = edges.join(to("dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("id_dst").alias("low"))
+    return ids.join(least, "node", "left").select("node", F.greatest(F.col("id") - F.coalesce("low", "id"), F.lit(0)).alias("reach"))
 
 
 def renumber_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, new_id`` of a connected graph: by combined levels from both ends of a pseudo-diameter, within a level by
-    degree and id (in the manner of Gibbs, Poole and Stockmeyer), so that neighbours' ids are near."""
+    """``node, new_id`` (from 1) of any graph: components one after another, the largest first; within one by combined levels
+    from both ends of a pseudo-diameter, within a level by degree and id (in the manner of Gibbs, Poole and Stockmeyer), so
+    that neighbours' ids are near. A component that this gives no smaller profile keeps its old order; so the whole
+    profile never grows."""
     shared_dir(nodes.sparkSession)
     here, there = extremal(nodes, edges)
     level = combined_levels(edges, here, there)
     deg = edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg"))
-    return number(level.join(deg, "node", "left").select("node", F.col("level").cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id")
+    rows = level.join(deg, "node", "left").select("component", "node", F.col("level").cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg"))
+    widths = rows.groupBy("component", "level").agg(F.count("*").alias("n"))
+    before = widths.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("component").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("component", "level").orderBy("deg", "node"))
+    made = rows.withColumn("own", own).join(before, ["component", "level"]).select("component", "node", (F.col("before") + F.col("own")).alias("id")).transform(settled)
+    old = number(made.select("component", "node"), "id", "node").transform(settled)
+    total = lambda ids, name: profiles(edges, ids.select("node", "id")).join(made.select("node", "component"), "node").groupBy("component").agg(F.sum("reach").alias(name))
+    worse = total(made, "new").join(total(old, "old"), "component").where("new >= old").select("component").transform(settled)
+    stay = number(old.join(worse, "component", "left_semi").select("component", "node"), "k", "node", group="component")
+    low = stay.groupBy("component").agg(F.min("k").alias("low"))
+    kept = stay.join(low, "component").select("component", "node", (F.col("k") - F.col("low") + 1).alias("id"))
+    inside = made.join(worse, "component", "left_anti").union(kept)
+    # components of one size stand together; so the place of one follows from its number among them
+    size = made.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = size.groupBy("size").agg(F.count("*").alias("m"))
+    base = sizes.select("size", F.coalesce(F.sum(F.col("size") * F.col("m")).over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ranked = number(size, "k", "component", group="size")
+    first = ranked.groupBy("size").agg(F.min("k").alias("first"))
+    start = ranked.join(first, "size").join(base, "size").select("component", (F.col("base") + (F.col("k") - F.col("first")) * F.col("size")).alias("start"))
+    return inside.join(start, "component").select("node", (F.col("start") + F.col("id")).alias("new_id"))
 
 
 def bisect(points: DataFrame, depth: int, axes=("x", "y"), bins: int = 1024, rounds: int = 6) -> DataFrame:
@@ -115,11 +152,11 @@ def bisect(points: DataFrame, depth: int, axes=("x", "y"), bins: int = 1024, rou
     an even number the mean of the middle two counts. Values below 1e-10 in size count as 0. Medians are found by
     histograms of ``bins`` cells, refined ``rounds`` times around the middle ranks, so that no part is ever gathered."""
     shared_dir(points.sparkSession)
-    now = points.select("id", *[F.when(F.abs(F.col(a)) < 1e-10, 0.0).otherwise(F.col(a)).alias(a) for a in axes], F.lit(0).alias("part")).checkpoint()
+    now = points.select("id", *[F.when(F.abs(F.col(a)) < 1e-10, 0.0).otherwise(F.col(a)).alias(a) for a in axes], F.lit(0).alias("part")).transform(settled)
     for d in range(depth):
         a = axes[d % len(axes)]
         cut = _medians(now.select("part", F.col(a).alias("v")), bins, rounds)
-        now = now.join(F.broadcast(cut), "part").select("id", *axes, (2 * F.col("part") + (F.col(a) > F.col("cut")).cast("int")).alias("part")).checkpoint()  # at most 2 ** depth rows
+        now = now.join(F.broadcast(cut), "part").select("id", *axes, (2 * F.col("part") + (F.col(a) > F.col("cut")).cast("int")).alias("part")).transform(settled)  # at most 2 ** depth rows
     return now.select("id", "part")
 
 

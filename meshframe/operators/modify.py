@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, half_edges, number
+from . import batch
 from .graph import components
 
 
@@ -52,8 +53,10 @@ def reverse_edge(fe: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def merge_vertices(v: DataFrame, fv: DataFrame, remap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``V`` and ``FV`` with vertices ``old`` merged into ``new``; repeated neighbours in a loop count once and loops of
-    under three vertices vanish. Derive edges anew with ``MeshFrame.from_faces``, which merges doubled ones."""
+    """``V`` and ``FV`` with vertices ``old`` merged into ``new``, to the end of a chain; repeated neighbours in a loop count once
+    and loops of under three vertices vanish. Derive edges anew with ``MeshFrame.from_faces``, which merges doubled ones;
+    ``batch.merge_points`` keeps all tables of a bundle instead."""
+    remap = batch.settled_pairs(remap)
     kept = v.join(remap.select(F.col("old").alias("vid")), "vid", "left_anti")
     loops = _mapped(fv, "vid", remap)
     w = Window.partitionBy("fid").orderBy("pos")
@@ -72,10 +75,11 @@ def merge_sets(sm: DataFrame, dim: int, remap: DataFrame) -> DataFrame:
 
 
 def mergeable(m: MeshFrame, dim: int, remap: DataFrame, topology: bool = True) -> DataFrame:
-    """The pairs of ``remap`` (``old``, ``new``) that may be merged: with ``topology``, entities of one model dimension must
+    """The pairs of ``remap`` (``old``, ``new``; chains are followed to their ends) that may be merged: with ``topology``, entities of one model dimension must
     be on one model entity, and the one that goes may not be on a model entity of lower dimension."""
+    remap = batch.settled_pairs(remap)
     if not topology:
-        return remap.select("old", "new")
+        return remap
     df, key = m.table(dim)
     a = df.select(F.col(key).alias("old"), F.col("gdim").alias("d0"), F.col("gent").alias("g0"))
     b = df.select(F.col(key).alias("new"), F.col("gdim").alias("d1"), F.col("gent").alias("g1"))
@@ -154,28 +158,15 @@ def fan_split(m: MeshFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def swap_edges(m: MeshFrame, edges: DataFrame) -> DataFrame:
-    """``FV`` with the common edge of two triangles replaced by the other diagonal, for edges (``eid``) whose triangles
-    no other edge in ``edges`` uses; the lower face gets the first end."""
-    tri = m.FV.withColumn("n", F.count("*").over(Window.partitionBy("fid"))).where("n = 3")
-    use = m.FE.join(edges, "eid", "left_semi").select("eid", "fid", "pos", "dir")
-    opp = use.join(tri.select("fid", F.pmod(F.col("pos") - 2, F.lit(3)).cast("int").alias("pos"), F.col("vid").alias("opp")), ["fid", "pos"])
-    two = opp.groupBy("eid").agg(F.count("*").alias("k"), F.min("fid").alias("fa"), F.max("fid").alias("fb"), F.max(F.when(F.col("dir") == 1, F.col("opp"))).alias("left"), F.max(F.when(F.col("dir") == 0, F.col("opp"))).alias("right")).where("k = 2 and left is not null and right is not null")
-    j = two.join(m.E.select("eid", "v0", "v1"), "eid")
-    new = j.select("eid", "fa", "fb", F.explode(F.array(F.struct(F.col("fa").alias("fid"), F.array("v0", "right", "left").alias("loop")), F.struct(F.col("fb").alias("fid"), F.array("v1", "left", "right").alias("loop")))).alias("t")).select("t.fid", F.posexplode("t.loop").alias("pos", "vid"))
-    return m.FV.join(new.select("fid").distinct(), "fid", "left_anti").union(new)
+    """``FV`` with the common edge of two triangles replaced by the other diagonal, for edges (``eid``), which may meet; those
+    that ``batch.swap`` refuses stay."""
+    return batch.swap(m, edges)[0]
 
 
 def join_faces(m: MeshFrame, edges: DataFrame) -> DataFrame:
-    """``FV`` with the two faces of each edge (``eid``) joined under the lower id: the loops rotated to end at the edge
-    and strung together without it. Edges of other than two faces, or used alike by both, are left."""
-    use = m.FE.join(edges, "eid", "left_semi")
-    two = use.groupBy("eid").agg(F.count("*").alias("k"), F.count_distinct("dir").alias("d"), F.min("fid").alias("fid")).where("k = 2 and d = 2").select("eid", F.col("fid").alias("keep"))
-    n = m.FV.groupBy("fid").agg(F.count("*").cast("int").alias("n"))
-    turned = use.join(two, "eid").join(n, "fid").select("keep", "fid", F.col("pos").alias("p0"), "n")
-    rows = turned.join(m.FV, "fid").withColumn("k", F.pmod(F.col("pos") - F.col("p0") - 1, F.col("n"))).where("k < n - 1")
-    w = Window.partitionBy("keep").orderBy(F.col("fid") != F.col("keep"), "k")
-    new = rows.select(F.col("keep").alias("fid"), (F.row_number().over(w) - 1).alias("pos"), "vid")
-    return m.FV.join(turned.select("fid").distinct(), "fid", "left_anti").union(new)
+    """``FV`` with the two faces of each edge (``eid``) joined under the lower id, in chains too; edges that ``batch.join``
+    refuses stay."""
+    return batch.join(m, edges)[0].FV
 
 
 def join_regions(m: MeshFrame, faces: DataFrame) -> DataFrame:

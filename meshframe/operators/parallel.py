@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..frame import number
 from ..schema import BOUNDARY, GHOST, INTERIOR, OVERLAP
+from ..working import settled, shared_dir
+from .graph import components
 
 
 def owners(incidence: DataFrame, element: str, member: str, parts: DataFrame) -> DataFrame:
@@ -142,19 +144,25 @@ def check(copies: DataFrame, same: list[str]) -> DataFrame:
 def match_points(points: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """``part, id, master_part, master_id``: points of one place on several parts, owned by the lowest (part, id).
 
-    Coordinates are cut into cells of ``tolerance``; a point looks into its own cell and its neighbours."""
+    Points within ``tolerance`` of each other along all axes are one, and so are those that a chain of such points joins.
+    Coordinates are cut into cells; a point looks into its own cell and, across a wall within the tolerance, the next."""
+    shared_dir(points.sparkSession)
     size = max(tolerance * 4, 1e-9)
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    # only neighbours across a cell wall that is within the tolerance are looked into
-    a = points.withColumns({f"c{c}": cell(c) for c in "xyz"})
+    known = number(points.select("part", "id", *"xyz"), "k", "id", group="part").transform(settled)
+    a = known.withColumns({f"c{c}": cell(c) for c in "xyz"})
     for c in "xyz":
         low, high = F.floor((F.col(c) - tolerance) / size).cast("long"), F.floor((F.col(c) + tolerance) / size).cast("long")
         a = a.withColumn(f"c{c}", F.explode(F.array_distinct(F.array(low, F.col(f"c{c}"), high))))
-    b = points.select(*[cell(c).alias(f"c{c}") for c in "xyz"], F.col("part").alias("mp"), F.col("id").alias("mi"), *[F.col(c).alias(f"m{c}") for c in "xyz"])
-    j = a.join(b, ["cx", "cy", "cz"])
+    b = known.select(*[cell(c).alias(f"c{c}") for c in "xyz"], F.col("k").alias("mk"), *[F.col(c).alias(f"m{c}") for c in "xyz"])
+    j = a.join(b, ["cx", "cy", "cz"]).where("k <> mk")
     for c in "xyz":
         j = j.where(F.abs(F.col(c) - F.col(f"m{c}")) <= tolerance)
-    return j.groupBy("part", "id").agg(F.min(F.struct("mp", "mi")).alias("m")).select("part", "id", F.col("m.mp").alias("master_part"), F.col("m.mi").alias("master_id"))
+    near = j.select(F.col("k").alias("src"), F.col("mk").alias("dst")).distinct().transform(settled)
+    label = components(near.select(F.col("src").alias("node")).distinct(), near)
+    home = known.select(F.col("k").alias("component"), F.col("part").alias("master_part"), F.col("id").alias("master_id"))
+    placed = known.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    return placed.join(home, "component").select("part", "id", "master_part", "master_id")
 
 
 def copy_values(values: DataFrame, copies: DataFrame) -> DataFrame:

@@ -67,8 +67,10 @@ def add(a: DataFrame, rows: DataFrame, unique: bool = False) -> DataFrame:
 
 
 def insert(a: DataFrame, rows: DataFrame, at: int) -> DataFrame:
-    """``rows`` (``dim``, ``id``) before position ``at``, in their order."""
-    k = number(rows.select(*MEMBER), "pos", "id", "dim", start=at).select("pos", *MEMBER)
+    """``rows`` (``dim``, ``id``, and an integer ``pos`` that orders them; without it they go in the order of their ids) before
+    position ``at``."""
+    order = ["pos", "id", "dim"] if "pos" in rows.columns else ["id", "dim"]
+    k = number(rows.withColumnRenamed("pos", "o"), "pos", *["o" if c == "pos" else c for c in order], start=at).select("pos", *MEMBER)
     n = rows.agg(F.count("*").alias("n"))
     moved = a.crossJoin(F.broadcast(n)).select(F.when(F.col("pos") >= at, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), *MEMBER)  # one row
     return moved.union(k)

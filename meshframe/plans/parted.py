@@ -133,8 +133,8 @@ def weave_parts(spark, d):
     return dis.labelled_counts(dis.weave(v, loops)).where("dim in (0, 2)")
 
 
-@query(QUAD + """c AS (SELECT fid AS id, avg(x) AS x, avg(y) AS y FROM FV JOIN V USING (vid) GROUP BY fid), a AS (SELECT id, y, (x > (SELECT quantile_cont(x, 0.5) FROM c))::INTEGER AS p FROM c),
-m AS (SELECT p, quantile_cont(y, 0.5) AS cut FROM a GROUP BY p) SELECT 2 * p + (y > cut)::INTEGER AS part, count(*) AS n FROM a JOIN m USING (p) GROUP BY ALL""")
+@query(QUAD + """c AS (SELECT fid AS id, avg(x) AS x, avg(y) AS y FROM FV JOIN V USING (vid) GROUP BY fid), a AS (SELECT id, y, (row_number() OVER (ORDER BY x, id) > (SELECT count(*) FROM c) // 2)::INTEGER AS p FROM c),
+m AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY y, id) > count(*) OVER (PARTITION BY p) // 2 AS up FROM a) SELECT 2 * p + up::INTEGER AS part, count(*) AS n FROM m GROUP BY ALL""")
 def read_distribute(spark, d):
     """A file read, bisected and dealt out; how many elements each part owns."""
     path = _file(spark, "grid")

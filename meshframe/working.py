@@ -1,10 +1,11 @@
-"""The folder for checkpoints that the cluster shares."""
+"""The folder for checkpoints that the cluster shares, and tables that are settled there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="meshframe-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and so do estimates. A checkpoint keeps the
+    estimated size of its plan; in a loop of joins these multiply until planning a round costs more than running it."""
+    path = f"{shared_dir(df.sparkSession)}/work/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from meshframe.plans import catalogue, edits, parted  # noqa: F401
+from meshframe.plans import batches, catalogue, edits, parted  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
