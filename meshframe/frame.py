@@ -50,11 +50,13 @@ class MeshFrame:
         return cls({k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()}, {"rep": rep})
 
     @classmethod
-    def from_faces(cls, v: DataFrame, fv: DataFrame, f: DataFrame | None = None) -> MeshFrame:
-        """A surface mesh from vertices and ordered loops; edges are derived and defined from low to high vertex."""
+    def from_faces(cls, v: DataFrame, fv: DataFrame, f: DataFrame | None = None, settle: bool = False) -> MeshFrame:
+        """A surface mesh from vertices and ordered loops; edges are derived and defined from low to high vertex. With
+        ``settle`` what several tables are derived from is worked out once, now, and read from the shared folder."""
         spark = v.sparkSession
-        sides = half_edges(fv).withColumns({"lo": F.least("v0", "v1"), "hi": F.greatest("v0", "v1")})
-        e = number(sides.select("lo", "hi").distinct(), "eid", "lo", "hi")
+        once = settled if settle else lambda df: df
+        sides = once(half_edges(fv).withColumns({"lo": F.least("v0", "v1"), "hi": F.greatest("v0", "v1")}))
+        e = once(number(sides.select("lo", "hi").distinct(), "eid", "lo", "hi"))
         edges = e.select("eid", F.col("lo").alias("v0"), F.col("hi").alias("v1"), "lo", "hi", F.lit(UNKNOWN_DIM).alias("gdim"), F.lit(UNKNOWN_ID).cast("long").alias("gent"))
         fe = sides.join(e, ["lo", "hi"]).select("fid", "pos", "eid", (F.col("v0") == F.col("lo")).cast("int").alias("dir"))
         faces = f if f is not None else fv.groupBy("fid").agg(F.count("*").cast("int").alias("n")).select("fid", "n", F.lit(2).alias("gdim"), F.lit(1).cast("long").alias("gent"))
@@ -62,24 +64,26 @@ class MeshFrame:
         return made.with_tables(V=v, E=edges, F=faces, FE=fe, FV=fv)
 
     @classmethod
-    def from_regions(cls, v: DataFrame, rv: DataFrame, rtype: str = "HEX", r: DataFrame | None = None) -> MeshFrame:
+    def from_regions(cls, v: DataFrame, rv: DataFrame, rtype: str = "HEX", r: DataFrame | None = None, settle: bool = False) -> MeshFrame:
         """A solid mesh of standard cells from ordered vertex lists; faces and edges are derived. Cells are of the type that
         ``r`` (``rid, rtype, gdim, gent``) says, or all of ``rtype``.
 
-        A face shared by two cells is defined by the cell of the smaller id (direction 1 there, 0 in the other)."""
+        A face shared by two cells is defined by the cell of the smaller id (direction 1 there, 0 in the other). ``settle`` as
+        in ``from_faces``."""
         spark = v.sparkSession
+        once = settled if settle else lambda df: df
         template = [(t, lf, k, lv) for t in TEMPLATES for lf, loop in enumerate(TEMPLATES[t]) for k, lv in enumerate(loop)]
         tpl = F.broadcast(spark.createDataFrame(template, "rtype string, lf int, k int, lv int"))  # 70 rows
         typed = rv.withColumn("rtype", F.lit(rtype)) if r is None else rv.join(r.select("rid", "rtype"), "rid")
         uses = typed.join(tpl, (typed["pos"] == tpl["lv"]) & (typed["rtype"] == tpl["rtype"])).groupBy("rid", "lf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "vid"))), lambda s: s["vid"]).alias("loop"))
-        keyed = uses.withColumn("key", F.array_sort("loop"))
+        keyed = once(uses.withColumn("key", F.array_sort("loop")))
         first = keyed.groupBy("key").agg(F.min(F.struct("rid", "lf", "loop")).alias("o"))
-        faces = number(first.select("key", "o.*"), "fid", "rid", "lf")
+        faces = once(number(first.select("key", "o.*"), "fid", "rid", "lf"))
         fv = faces.select("fid", F.posexplode("loop").alias("pos", "vid"))
         rf = keyed.join(faces.select("key", "fid", F.col("rid").alias("owner")), "key").select("rid", F.col("lf").alias("pos"), "fid", (F.col("rid") == F.col("owner")).cast("int").alias("dir"))
         f = faces.select("fid", F.size("loop").alias("n"), F.lit(UNKNOWN_DIM).alias("gdim"), F.lit(UNKNOWN_ID).cast("long").alias("gent"))
         regions = r if r is not None else rv.select("rid").distinct().select("rid", F.lit(rtype).alias("rtype"), F.lit(3).alias("gdim"), F.lit(1).cast("long").alias("gent"))
-        return cls.from_faces(v, fv, f).with_tables(R=regions, RF=rf, RV=rv)
+        return cls.from_faces(v, fv, f, settle).with_tables(R=regions, RF=rf, RV=rv)
 
     @classmethod
     def from_lists(cls, spark: SparkSession, points: list, faces: list[list[int]] | None = None, regions: list[list[int]] | None = None) -> MeshFrame:

@@ -49,7 +49,7 @@ def box(spark: SparkSession, sf_dir: str) -> MeshFrame:
     """Cells are of two materials: 2 where the id is a multiple of 3, else 1."""
     n = box_size(spark, sf_dir)
     v, rv = grid3d(spark, *n, (0.0, 0.0, 0.0), tuple(map(float, n)))
-    m = MeshFrame.from_regions(v, rv, "HEX")
+    m = MeshFrame.from_regions(v, rv, "HEX", settle=True)
     return m.with_tables(R=m.R.withColumn("gent", F.when(F.col("rid") % 3 == 0, 2).otherwise(1).cast("long")))
 
 
