@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
 from ..schema import UNKNOWN_DIM, UNKNOWN_ID
+from ..working import settled
 from .geometry import dihedral_cosines
 from .graph import components
 
@@ -72,11 +73,11 @@ def sharp_edges(m: MeshFrame, faces: DataFrame) -> DataFrame:
 def classify_edges(m: MeshFrame, faces: DataFrame | None = None, sharp: DataFrame | None = None) -> DataFrame:
     """``eid, gdim, gent`` from the classification of faces (``fid, gdim, gent``; by default that of the mesh). Edges in
     ``sharp`` (``eid``) lie on a curve even inside one surface."""
-    faces = m.F.select("fid", "gdim", "gent") if faces is None else faces
+    faces = m.F.select("fid", "gdim", "gent") if faces is None else settled(faces)
     j = m.FE.select("eid", "fid").join(faces, "fid")
     on = F.when(F.col("gdim") == 2, F.col("gent"))
     e = j.groupBy("eid").agg(F.count_if(F.col("gdim") == 2).alias("k"), F.array_join(F.array_sort(F.collect_set(on)), ",").alias("sig"), F.min(on).alias("one"), F.min(F.when(F.col("gdim") == 3, F.col("gent"))).alias("vol"))
-    e = m.E.select("eid").join(e, "eid", "left").fillna({"k": 0, "sig": ""})
+    e = settled(m.E.select("eid").join(e, "eid", "left").fillna({"k": 0, "sig": ""}))  # read for each kind of edge
     inside = e.where("k = 0 and vol is not null").select("eid", F.lit(3).alias("gdim"), F.col("vol").cast("long").alias("gent"))
     tagged = F.lit(False)
     if sharp is not None:
