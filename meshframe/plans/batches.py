@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
-from ..operators import batch, geometry, graph, modify, simplex
+from ..operators import batch, geometry, graph, modify, simplex, split
 from ..operators import distribute as dis
 from ..operators import partition as cut
 from ..working import settled
 from . import adapters as ad
-from .catalogue import _BOX, QUAD, TRI, _long, query
+from .catalogue import _BOX, QUAD, TRI, _long, _tets, query
 from .parted import _BOXP, _boxed
 
 # ---- batches of edits ------------------------------------------------------------------------------------------------
@@ -85,6 +85,87 @@ def split_every_region(spark, d):
     return simplex.split_regions(m, loops.select("rid", "pos", "eid"))[0].RF.select("rid", *_long("pos"), "fid", "dir")
 
 
+# ---- splits that keep all tables ------------------------------------------------------------------------------------
+
+_SIDES = _BOX + """nv AS (SELECT 36 * (nz + 1) AS nv FROM sz), nf AS (SELECT max(fid) AS nf FROM F1),
+L1 AS (SELECT fid, U.loop FROM F1 JOIN U ON F1.rid = U.rid AND F1.lf = U.lf),
+S AS (SELECT fid, k, loop[k + 1] AS v0, loop[(k + 1) % 4 + 1] AS v1 FROM L1, (SELECT unnest(range(0, 4)) AS k)),"""
+_BOX_TABLES = ("V", "E", "F", "FE", "FV", "R", "RF", "RV")
+
+
+def _with_ends(m: MeshFrame):
+    """``fid, pos, lo, hi, dir``: how faces use edges, which their vertices name; ``dir`` is 1 from the lower to the higher."""
+    j = m.FE.join(m.E.select("eid", "v0", "lo", "hi"), "eid")
+    return j.select("fid", *_long("pos"), "lo", "hi", F.when(F.col("v0") == F.col("lo"), F.col("dir")).otherwise(1 - F.col("dir")).alias("dir"))
+
+
+def _upright(spark, d):
+    m = ad.box(spark, d).settled(*_BOX_TABLES)
+    return split.split_edges(m, m.E.where("hi - lo = 36").select("eid", F.when(F.col("lo") % 2 == 0, 2).otherwise(1).alias("n")))
+
+
+_UPRIGHT = _SIDES + """X AS (SELECT lo, lo + 36 AS hi, CASE WHEN lo % 2 = 0 THEN 2 ELSE 1 END AS n FROM (SELECT unnest(range(1, (SELECT nv - 35 FROM nv))) AS lo)),
+N AS (SELECT lo, hi, n, k, nv + row_number() OVER (ORDER BY lo, k) AS vid FROM X, nv, (SELECT unnest([1, 2]) AS k) WHERE k <= n),
+P AS (SELECT fid, k, 0 AS s, v0 AS vid FROM S UNION ALL SELECT fid, S.k, CASE WHEN v0 = lo THEN N.k ELSE n + 1 - N.k END, vid FROM S JOIN N ON least(v0, v1) = lo AND greatest(v0, v1) = hi),
+FW AS (SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY k, s) - 1 AS pos, vid FROM P)"""
+
+
+@query(_UPRIGHT + " SELECT fid, pos, vid FROM FW")
+def split_upright_loops(spark, d):
+    """Loops of the box after one or two new vertices on every upright edge."""
+    return _upright(spark, d)[0].FV.select("fid", *_long("pos"), "vid")
+
+
+@query(_UPRIGHT + """, G AS (SELECT fid, pos, vid AS v0, coalesce(lead(vid) OVER w, first_value(vid) OVER w) AS v1 FROM FW WINDOW w AS (PARTITION BY fid ORDER BY pos))
+SELECT fid, pos, least(v0, v1) AS lo, greatest(v0, v1) AS hi, (v0 < v1)::INTEGER AS dir FROM G""")
+def split_upright_edges(spark, d):
+    """How the faces use the pieces."""
+    return _with_ends(_upright(spark, d)[0])
+
+
+@query(_UPRIGHT + """, C AS (SELECT DISTINCT rid, vid FROM RF JOIN FW USING (fid)) SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY vid) - 1 AS pos, vid, 'POLYHEDRON' AS rtype FROM C""")
+def split_upright_cells(spark, d):
+    """The vertices of the cells, which are polyhedra now."""
+    out = _upright(spark, d)[0]
+    return out.RV.join(out.R.select("rid", "rtype"), "rid").select("rid", *_long("pos"), "vid", "rtype")
+
+
+def _all_faces(spark, d):
+    m = ad.box(spark, d).settled(*_BOX_TABLES)
+    return split.split_faces(m, m.F)
+
+
+@query(_SIDES + "x AS (SELECT 1) SELECT rid, 4 * pos + k AS pos, nf + 4 * (fid - 1) + k + 1 AS fid, dir FROM RF, nf, (SELECT unnest(range(0, 4)) AS k)")
+def split_faces_cells(spark, d):
+    """How the cells of the box use the triangles, when every face is cut around its middle."""
+    return _all_faces(spark, d)[0].RF.select("rid", *_long("pos"), "fid", "dir")
+
+
+@query(_SIDES + """T3 AS (SELECT nf + 4 * (fid - 1) + k + 1 AS fid, v0, v1, nv + fid AS mid FROM S, nf, nv),
+H AS (SELECT fid, 0 AS pos, v0 AS lo, mid AS hi, 0 AS dir FROM T3 UNION ALL SELECT fid, 1, least(v0, v1), greatest(v0, v1), (v0 < v1)::INTEGER FROM T3 UNION ALL SELECT fid, 2, v1, mid, 1 FROM T3)
+SELECT fid, pos::BIGINT AS pos, lo, hi, dir FROM H""")
+def split_faces_edges(spark, d):
+    """How these triangles use edges."""
+    return _with_ends(_all_faces(spark, d)[0])
+
+
+_FIVE = "(VALUES (0,0,0),(0,1,1),(0,2,3),(0,3,4),(1,0,1),(1,1,2),(1,2,3),(1,3,6),(2,0,1),(2,1,4),(2,2,5),(2,3,6),(3,0,3),(3,1,4),(3,2,6),(3,3,7),(4,0,1),(4,1,3),(4,2,4),(4,3,6)) t(t, k, lv)"
+
+
+@query(_BOX + f"""C AS (SELECT 5 * (rid - 1) + t + 1 AS rid, k AS pos, vid FROM RV JOIN {_FIVE} ON RV.pos = lv),
+X AS (SELECT lo, 36 * (nz + 1) + row_number() OVER (ORDER BY lo) AS mid FROM sz, (SELECT unnest(range(1, (SELECT 36 * nz + 1 FROM sz))) AS lo) WHERE (lo - 1) % 6 % 2 = 0 AND (lo - 1) // 6 % 6 % 2 = 0),
+H AS (SELECT a.rid, lo, mid, (SELECT count(*) FROM R) * 5 + 2 * row_number() OVER (ORDER BY a.rid) AS new FROM C a JOIN X ON a.vid = lo JOIN C b ON b.rid = a.rid AND b.vid = lo + 36)
+SELECT rid, pos::BIGINT AS pos, vid FROM C WHERE rid NOT IN (SELECT rid FROM H)
+UNION ALL SELECT new - 1, pos::BIGINT, CASE WHEN vid = lo + 36 THEN mid ELSE vid END FROM C JOIN H USING (rid)
+UNION ALL SELECT new, pos::BIGINT, CASE WHEN vid = lo THEN mid ELSE vid END FROM C JOIN H USING (rid)""")
+def bisect_tetrahedra(spark, d):
+    """Every other upright edge of the box in both directions cut in the middle, with all tetrahedra at it."""
+    v, rv = _tets(spark, d)
+    m = MeshFrame.from_regions(v, rv, "TET", settle=True).settled(*_BOX_TABLES)
+    some = m.E.where("hi - lo = 36 and (lo - 1) % 6 % 2 = 0 and ((lo - 1) div 6) % 6 % 2 = 0")
+    return split.bisect_simplices(m, some.select("eid"))[0].RV.select("rid", *_long("pos"), "vid")
+
+
 # ---- parts -----------------------------------------------------------------------------------------------------------
 
 
