@@ -249,11 +249,13 @@ def face_replace_edges(spark, d):
 
 @query(LOOP + "b AS (SELECT fid, max(CASE WHEN pos = 0 THEN vid END) AS a, max(CASE WHEN pos = 2 THEN vid END) AS c, count(*) AS n FROM FV GROUP BY fid) SELECT FV.fid, count(*) AS n FROM FV JOIN b USING (fid) WHERE b.n < 4 OR pos <= 2 GROUP BY FV.fid UNION ALL SELECT -fid, n - 1 FROM b WHERE n >= 4")
 def face_split_along_edge(spark, d):
-    """Loops of four and more cut from their first to their third vertex."""
+    """Loops of four and more cut from their first to their third vertex. The rest of loop ``fid`` is ``-fid - 1`` while it is
+    cut (``-fid`` would be the id of both parts of loop 0), and shown as ``-fid``."""
     fv = ad.loop_fv(spark, d)
     at = lambda p: F.max(F.when(F.col("pos") == p, F.col("vid")))
-    asked = fv.groupBy("fid").agg(at(0).alias("a"), at(2).alias("b"), F.count("*").alias("n")).where("n >= 4").select("fid", "a", "b", (-F.col("fid")).alias("new"))
-    return mod.split_face(fv, asked).groupBy("fid").agg(F.count("*").alias("n"))
+    asked = fv.groupBy("fid").agg(at(0).alias("a"), at(2).alias("b"), F.count("*").alias("n")).where("n >= 4").select("fid", "a", "b", (-F.col("fid") - 1).alias("new"))
+    made = mod.split_face(fv, asked).groupBy("fid").agg(F.count("*").alias("n"))
+    return made.select(F.when(F.col("fid") < 0, F.col("fid") + 1).otherwise(F.col("fid")).alias("fid"), "n")
 
 
 @query(LOOP + "x AS (SELECT 1) SELECT fid, pos::BIGINT AS pos, eid, CASE WHEN pos = 0 THEN 1 - dir ELSE dir END AS dir FROM FE")
