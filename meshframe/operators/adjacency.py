@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
+from ..working import settled
 
 
 def vertex_neighbors(m: MeshFrame) -> DataFrame:
@@ -129,12 +130,33 @@ def same_edges(m: MeshFrame) -> DataFrame:
     return m.E.join(first, ["lo", "hi"]).select("eid", "same")
 
 
+#: Keys of up to this many members are met by pairs of their members.
+PAIRED = 64
+
+
 def containing(incidence: DataFrame, key: str, member: str, groups: DataFrame) -> DataFrame:
-    """Relational division: ``grp, key`` where ``key`` has every member of the group (``groups``: ``grp``, member)."""
-    wanted = groups.distinct()
-    size = wanted.groupBy("grp").agg(F.count("*").alias("want"))
-    got = wanted.join(incidence.select(key, member).distinct(), member).groupBy("grp", key).agg(F.count("*").alias("got"))
-    return got.join(size, "grp").where("got = want").select("grp", key)
+    """Relational division: ``grp, key`` where ``key`` has every member of the group (``groups``: ``grp``, member).
+
+    A group meets keys by its least and its greatest member at once, so that hardly a row meets in vain; what a group has
+    beside them is looked up afterwards. Keys of over ``PAIRED`` members would have too many pairs: they meet by single
+    members, which are counted."""
+    wanted = groups.select("grp", member).distinct()
+    size = settled(wanted.groupBy("grp").agg(F.count("*").alias("want"), F.min(member).alias("lo"), F.max(member).alias("hi")))
+    rows = settled(incidence.select(key, member).distinct().withColumn("n", F.count("*").over(Window.partitionBy(key))))
+    pair = "flatten(transform(ms, (a, i) -> transform(slice(ms, i + 2, size(ms)), b -> struct(a AS lo, b AS hi))))"
+    pairs = rows.where(F.col("n").between(2, PAIRED)).groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("ms")).select(key, F.explode(F.expr(pair)).alias("p")).select(key, "p.*")
+    out = size.where("want = 2").join(pairs, ["lo", "hi"]).select("grp", key)
+    small = rows.where(F.col("n") <= PAIRED)
+    if not (one := size.where("want = 1")).isEmpty():
+        out = out.union(one.join(small.withColumnRenamed(member, "lo"), "lo").select("grp", key))
+    if not (many := size.where("want > 2")).isEmpty():
+        met = many.join(pairs, ["lo", "hi"]).select("grp", key, "want", "lo", "hi")
+        rest = met.join(wanted, "grp").where((F.col(member) != F.col("lo")) & (F.col(member) != F.col("hi")))
+        out = out.union(rest.join(small, [key, member]).groupBy("grp", key, "want").agg(F.count("*").alias("got")).where("got = want - 2").select("grp", key))
+    if not (large := rows.where(F.col("n") > PAIRED)).isEmpty():
+        got = wanted.join(large, member).groupBy("grp", key).agg(F.count("*").alias("got"))
+        out = out.union(got.join(size, "grp").where("got = want").select("grp", key))
+    return out
 
 
 def same_faces(m: MeshFrame) -> DataFrame:

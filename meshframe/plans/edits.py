@@ -284,7 +284,7 @@ def face_neighbor_counts(spark, d):
 @query(LOOP + "g AS (SELECT fid AS grp, eid FROM FE WHERE pos < 2) SELECT grp, FE.fid FROM g JOIN FE USING (eid) GROUP BY grp, FE.fid HAVING count(DISTINCT eid) = 2")
 def edges_common_face(spark, d):
     """The faces that have both of the first two edges of a face."""
-    m = ad.loops(spark, d)
+    m = ad.loops(spark, d).settled("FE")
     return adj.containing(m.FE, "fid", "eid", m.FE.where("pos < 2").select(F.col("fid").alias("grp"), "eid"))
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from meshframe.operators import adjacency as adj
 from meshframe.plans import batches, catalogue, edits, parted  # noqa: F401
 
 
@@ -27,3 +28,27 @@ def same_as_sql(spark, folder, name):
 
 def test_split_of_loop_zero(spark, orders):
     same_as_sql(spark, orders, "face_split_along_edge")
+
+
+@pytest.mark.parametrize("name", ["common_face", "edges_common_face"])
+def test_common_face(spark, orders, name):
+    same_as_sql(spark, orders, name)
+
+
+def test_containing(spark):
+    """Groups of one, two and more members, in keys of few and of many members."""
+    keys = {1: {1, 2, 3}, 2: {2, 3, 4, 5}, 3: set(range(200)), 4: {7}, 5: {1, 3, 5, 7}}
+    groups = {10: {3}, 11: {2, 3}, 12: {1, 3, 5}, 13: {2, 199}, 14: set(range(100)), 15: {1, 2, 3, 4}, 16: {-1, 2}, 17: {2, 4, 5}}
+    inc = spark.createDataFrame([(k, m) for k, ms in keys.items() for m in ms] + [(1, 1)], "key long, m long")
+    asked = spark.createDataFrame([(g, m) for g, ms in groups.items() for m in ms] + [(11, 2)], "grp long, m long")
+    got = [tuple(r) for r in adj.containing(inc, "key", "m", asked).collect()]
+    assert sorted(got) == sorted((g, k) for g, a in groups.items() for k, b in keys.items() if a <= b)
+
+
+def test_containing_meets_pairs(spark):
+    """A member that all keys and groups have: rows that meet in vain would be its keys times its groups (here 9 million)."""
+    keys = spark.range(3000).select("id", F.explode(F.array(F.lit(0), F.col("id") + 1)).alias("m"))
+    out = adj.containing(keys, "id", "m", keys.withColumnRenamed("id", "grp"))
+    assert out.count() == 3000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lo#" in plan.split("Join")[1] and "hi#" in plan.split("Join")[1]
