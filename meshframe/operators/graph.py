@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +13,80 @@ from ..frame import number
 from ..working import settled, shared_dir
 
 
-def levels(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+#: Levels are found within blocks of about this many edges at once.
+BLOCK_EDGES = 1 << 20
+_CHUNK = 4096
+
+
+def _blocks(edges: DataFrame, size: int) -> DataFrame:
+    """``chunk, block``: runs of node ids (chunks of 4,096 values, one row each) that together have about ``size`` edges."""
+    count = edges.groupBy(F.floor(F.col("src") / _CHUNK).alias("chunk")).agg(F.greatest(F.count("*"), F.lit(_CHUNK)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return count.select("chunk", F.floor(before / size).alias("block"))
+
+
+def _relax(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """``block, node, level`` of nodes that a block's edges (``src``, ``dst``) bring nearer, from the rows of ``known`` (``node``,
+    ``level``, ``new``) that are new; those among them."""
+    nodes, at = np.unique(np.concatenate([known["node"].to_numpy(), edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+    n, src = len(known), at[len(known) : len(known) + len(edges)]
+    order = np.argsort(src, kind="stable")
+    first, far = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist(), at[n + len(edges) :][order].tolist()
+    level, old = np.full(len(nodes), 1 << 30, dtype=np.int64), known["new"].to_numpy(dtype=bool)
+    np.minimum.at(level, at[:n][~old], known["level"].to_numpy()[~old])
+    before, todo = level.copy(), {}
+    np.minimum.at(level, at[:n][old], known["level"].to_numpy()[old])
+    for i in np.flatnonzero(level < before).tolist():
+        todo.setdefault(int(level[i]), []).append(i)
+    now = level.tolist()
+    while todo:
+        k = min(todo)
+        while near := todo.pop(k, None):
+            up = []
+            for i in near:
+                if now[i] == k:
+                    for j in far[first[i] : first[i + 1]]:
+                        if now[j] > k + 1:
+                            now[j] = k + 1
+                            up.append(j)
+            k += 1
+            if up:
+                todo.setdefault(k, []).extend(up)
+    level = np.array(now, dtype=np.int64)
+    hit = np.flatnonzero(level < before)
+    return pd.DataFrame({"block": np.full(len(hit), known["block"].iloc[0] if n else 0, dtype=np.int64), "node": nodes[hit].astype(np.int64), "level": level[hit].astype(np.int32)})
+
+
+def levels(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000, size: int = BLOCK_EDGES) -> DataFrame:
     """``node, level``: breadth-first distance from ``start`` (``node``) over ``edges`` (``src``, ``dst``, both directions).
 
-    Each round joins the newest level only; rounds are cut off by ``checkpoint``."""
-    shared_dir(edges.sparkSession)
-    seen = start.select("node", F.lit(0).alias("level")).distinct().checkpoint()
-    front = seen
+    Nodes lie in blocks of neighbouring ids with about ``size`` edges. A round takes the blocks that were reached nearer than
+    before, finds the levels within each of them to the end, and sends them over the edges between blocks. So rounds are as
+    many as the blocks that a shortest path passes through, not as the levels; after k rounds all nodes are right whose
+    shortest path changes blocks less than k times."""
+    spark = edges.sparkSession
+    work = f"{shared_dir(spark)}/work/{uuid.uuid4().hex}"
+    blocks = settled(_blocks(edges, size))
+    in_block = lambda df, c, name: df.withColumn("chunk", F.floor(F.col(c) / _CHUNK)).join(F.broadcast(blocks.withColumnRenamed("block", name)), "chunk", "left").drop("chunk")  # noqa: E731  a row for each 4,096 ids
+    placed = in_block(in_block(edges.select("src", "dst").distinct(), "src", "block"), "dst", "to").where("src <> dst")
+    graph = settled(placed.repartitionByRange("block", "src").sortWithinPartitions("block"))
+    begin = in_block(start.select("node").distinct(), "node", "block").select("block", "node", F.lit(0).alias("level"))
+    begin.where("block is null").write.parquet(f"{work}/round=0")  # far from any edge
+    done = spark.read.schema("block long, node long, level int")
+    front = settled(begin.where("block is not null"))
     for k in range(1, max_rounds):
-        near = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = near.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(k)).checkpoint()
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
-        if k % 8 == 0:
-            seen = seen.checkpoint()
+        active = [r[0] for r in front.select("block").distinct().collect()]  # a number for each block
+        if not active:
+            return done.parquet(work).groupBy("node").agg(F.min("level").alias("level"))
+        here = F.col("block").isin(active)
+        known = done.parquet(work).where(here).groupBy("block", "node").agg(F.min("level").alias("level")).withColumn("new", F.lit(False)).union(front.withColumn("new", F.lit(True)))
+        inner = graph.where(here & (F.col("block") == F.col("to"))).select("block", "src", "dst")
+        path = f"{work}/round={k}"
+        inner.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_relax, "block long, node long, level int").write.parquet(path)
+        out = graph.where(here & (F.col("block") != F.col("to"))).join(done.parquet(path).select(F.col("node").alias("src"), "level"), "src")
+        near = out.groupBy(F.col("to").alias("block"), F.col("dst").alias("node")).agg((F.min("level") + 1).alias("level"))
+        held = done.parquet(work).select("node", F.col("level").alias("had")).groupBy("node").agg(F.min("had").alias("had"))
+        front = settled(near.join(held, "node", "left").where("had is null or level < had").select("block", "node", "level"))
     raise RuntimeError(f"levels aren't done after {max_rounds} rounds")
 
 

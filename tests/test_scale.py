@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshframe.operators import adjacency as adj
+from meshframe.operators import graph as gr
 from meshframe.plans import batches, catalogue, edits, parted  # noqa: F401
 
 
@@ -52,3 +53,30 @@ def test_containing_meets_pairs(spark):
     assert out.count() == 3000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "lo#" in plan.split("Join")[1] and "hi#" in plan.split("Join")[1]
+
+
+def test_levels(spark):
+    """A long strip, two components, a loop edge, a node without edges and random graphs, in blocks of few edges."""
+    import random
+    from collections import deque
+
+    rnd = random.Random(3)
+    strip = [(k, k + 1) for k in range(20_000)]
+    cases = [(strip, [0], 4096), (strip, [7, 15_000], 8192), ([(1, 2), (2, 3), (3, 3), (10, 11)], [1, 99], 1 << 20)]
+    cases.append(([(rnd.randrange(30_000), rnd.randrange(30_000)) for _ in range(40_000)], [5, 6], 20_000))
+    for pairs, start, size in cases:
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        want, todo = dict.fromkeys(start, 0), deque(start)
+        while todo:
+            a = todo.popleft()
+            for b in near.get(a, []):
+                if b not in want:
+                    want[b] = want[a] + 1
+                    todo.append(b)
+        e = spark.createDataFrame([(a, b) for a in near for b in near[a]], "src long, dst long")
+        got = gr.levels(e, spark.createDataFrame([(s,) for s in start], "node long"), max_rounds=50, size=size)
+        assert {r["node"]: r["level"] for r in got.collect()} == want
+        assert got.count() == len(want)
