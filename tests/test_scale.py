@@ -80,3 +80,17 @@ def test_levels(spark):
         got = gr.levels(e, spark.createDataFrame([(s,) for s in start], "node long"), max_rounds=50, size=size)
         assert {r["node"]: r["level"] for r in got.collect()} == want
         assert got.count() == len(want)
+
+
+def few_rounds(monkeypatch):
+    """Levels of a strip of 3,000 nodes in fewer rounds than it has levels."""
+    whole = gr.levels
+    monkeypatch.setattr(gr, "levels", lambda edges, start: whole(edges, start, max_rounds=20))
+    return [(k, k + 1) for k in range(1, 3000)]
+
+
+def test_renumber_by_levels_rounds(spark, monkeypatch):
+    pairs = few_rounds(monkeypatch)
+    e = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long")
+    got = gr.renumber_by_levels(spark.range(1, 3001).toDF("node"), e, spark.createDataFrame([(1,)], "node long"))
+    assert sorted((r["node"], r["new_id"]) for r in got.collect()) == [(k, k) for k in range(1, 3001)]
