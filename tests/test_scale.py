@@ -94,3 +94,11 @@ def test_renumber_by_levels_rounds(spark, monkeypatch):
     e = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long")
     got = gr.renumber_by_levels(spark.range(1, 3001).toDF("node"), e, spark.createDataFrame([(1,)], "node long"))
     assert sorted((r["node"], r["new_id"]) for r in got.collect()) == [(k, k) for k in range(1, 3001)]
+
+
+def test_renumber_profile_rounds(spark, monkeypatch):
+    pairs = few_rounds(monkeypatch)
+    e = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long")
+    got = sorted((r["node"], r["new_id"]) for r in gr.renumber_profile(spark.range(1, 3001).toDF("node"), e).collect())
+    assert [n for n, _ in got] == sorted(i for _, i in got) == list(range(1, 3001))
+    assert all(abs(a - b) == 1 for (_, a), (_, b) in zip(got, got[1:]))
