@@ -91,15 +91,18 @@ def levels(edges: DataFrame, start: DataFrame, max_rounds: int = 100_000, size:
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``node, component``: the smallest node reachable, by minima over neighbours and pointer jumping."""
+    """``node, component``: the smallest node reachable, by minima over neighbours and pointer jumping.
+
+    Edges are worked out once for all rounds, and no round sends a table to the driver for a broadcast."""
     shared_dir(nodes.sparkSession)
+    edges = edges.select("src", "dst").transform(settled)
     label = nodes.select("node", F.col("node").alias("component")).distinct().transform(settled)
     for _ in range(max_rounds):
-        near = edges.join(label, edges["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = label.join(near, label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
+        near = edges.join(label.hint("merge"), edges["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
+        step = label.join(near.hint("merge"), label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("j"))
-        new = step.join(jump, "c").select("node", F.least("c", "j").alias("component")).transform(settled)
-        same = new.join(label, ["node", "component"], "left_anti").isEmpty()
+        new = step.join(jump.hint("merge"), "c").select("node", F.least("c", "j").alias("component")).transform(settled)
+        same = new.join(label.hint("merge"), ["node", "component"], "left_anti").isEmpty()
         label = new
         if same:
             return label

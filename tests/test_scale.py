@@ -102,3 +102,19 @@ def test_renumber_profile_rounds(spark, monkeypatch):
     got = sorted((r["node"], r["new_id"]) for r in gr.renumber_profile(spark.range(1, 3001).toDF("node"), e).collect())
     assert [n for n, _ in got] == sorted(i for _, i in got) == list(range(1, 3001))
     assert all(abs(a - b) == 1 for (_, a), (_, b) in zip(got, got[1:]))
+
+
+def test_components_read_edges_once(spark):
+    """The rounds take edges as they were worked out first: each of the 400 edges passes the function once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    pairs = [(k, k + 1) for k in range(200)]
+    e = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long").mapInPandas(count, "src long, dst long")
+    got = gr.components(spark.range(201).toDF("node"), e)
+    assert {r["component"] for r in got.collect()} == {0}
+    assert seen.value == 400
