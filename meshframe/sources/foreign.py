@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, number
-from .records import read, record, to_mesh, write_lines
+from .records import read, record, to_mesh, words_of, write_lines
 
 #: Cell words of the GMV format.
 FACE_WORDS, CELL_WORDS = {"tri": 3, "quad": 4}, {"tet": "TET", "pyramid": "PYRAMID", "prism": "PRISM", "hex": "HEX"}
@@ -16,16 +17,17 @@ FACE_WORDS, CELL_WORDS = {"tri": 3, "quad": 4}, {"tet": "TET", "pyramid": "PYRAM
 
 def parse_gmv(text: str) -> Iterator[dict]:
     """Nodes, cells, materials and variables of an ASCII file; other sections end the reading."""
-    words = iter(text.split())
+    words = words_of(text)
     if next(words) != "gmvinput" or next(words) != "ascii":
         raise ValueError("not an ASCII GMV file")
     nv = nc = 0
-    cells: list[tuple[str, list[int]]] = []
-    material: list[int] = []
+    kinds: list[str] = []  # of cells, each word once in memory
+    corners, sizes, material = array("q"), array("q"), array("q")
+    known: dict[str, str] = {}
     for word in words:
         if word in ("nodes", "nodev"):
             nv = int(next(words))
-            values = [float(next(words)) for _ in range(3 * nv)]
+            values = array("d", (float(next(words)) for _ in range(3 * nv)))
             for i in range(nv):
                 x, y, z = values[3 * i : 3 * i + 3] if word == "nodev" else (values[i], values[nv + i], values[2 * nv + i])
                 yield record("V", id=i + 1, x=x, y=y, z=z, gdim=4, gent=0)
@@ -33,29 +35,33 @@ def parse_gmv(text: str) -> Iterator[dict]:
             nc = int(next(words))
             for _ in range(nc):
                 kind = next(words)
-                cells.append((kind, [int(next(words)) for _ in range(int(next(words)))]))
+                kinds.append(known.setdefault(kind, kind))
+                sizes.append(int(next(words)))
+                corners.extend(int(next(words)) for _ in range(sizes[-1]))
         elif word == "material":
             k, where = int(next(words)), int(next(words))
             for _ in range(k):
                 next(words)
-            material = [int(next(words)) for _ in range(nv if where else nc)]
-            material = [] if where else material
+            material = array("q", (int(next(words)) for _ in range(nv if where else nc)))
+            material = array("q") if where else material
         elif word == "variable":
             for name in words:
                 if name == "endvars":
                     break
                 where = int(next(words))
                 kind = "INT" if name in ("itetclr", "icr") else "DOUBLE"
-                dim = 0 if where == 1 else (3 if any(c in CELL_WORDS for c, _ in cells) else 2)
-                values = [float(next(words)) for _ in range(nv if where == 1 else nc)]
+                dim = 0 if where == 1 else (3 if any(c in CELL_WORDS for c in known) else 2)
+                values = array("d", (float(next(words)) for _ in range(nv if where == 1 else nc)))
                 if name == "itetclr" and not material:
-                    material = [int(x) for x in values]
+                    material = array("q", (int(x) for x in values))
                 yield record("AD", name=name, text=kind, pos=1, dir=dim)
                 for i, x in enumerate(values):
                     yield record("AV", name=name, text=kind, dir=dim, id=i + 1, vals=[x])
         else:
             break
-    for i, (kind, ids) in enumerate(cells, 1):
+    at = 0
+    for i, (kind, size) in enumerate(zip(kinds, sizes, strict=True), 1):
+        ids, at = corners[at : at + size], at + size
         t, u, d = ("F", "FV", 2) if kind in FACE_WORDS or kind == "general" else ("R", "RV", 3)
         for pos, x in enumerate(ids):
             yield record(u, id=i, pos=pos, ref=x)

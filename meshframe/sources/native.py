@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, number
-from .records import read, record, to_mesh, write_lines
+from .records import read, record, to_mesh, words_of, write_lines
 
 #: Attribute entity kinds of the format and their dimension codes.
 KINDS = {"MVERTEX": 0, "MEDGE": 1, "MFACE": 2, "MREGION": 3, "MALLTYPE": 5}
@@ -17,7 +17,7 @@ _BY_COUNT = {4: "TET", 5: "PYRAMID", 6: "PRISM", 8: "HEX"}
 
 def parse(text: str) -> Iterator[dict]:
     """Records of one file. The first word names the format and is taken as it is; vertices must come first."""
-    words = iter(text.split())
+    words = words_of(text)
     next(words)
     float(next(words))
     rep = next(words)

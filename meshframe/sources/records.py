@@ -5,6 +5,8 @@ Files of a partitioned mesh are read side by side; a row's ``part`` is its file'
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,17 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
+from ..working import settled
 
 RECORD = "part int, t string, id long, pos int, ref long, dir int, x double, y double, z double, gdim int, gent long, name string, text string, vals array<double>"
 FIELDS = ["t", "id", "pos", "ref", "dir", "x", "y", "z", "gdim", "gent", "name", "text", "vals"]
 
+_BLANK = dict.fromkeys(FIELDS)
+
 
 def record(t: str, **values) -> dict:
-    return dict.fromkeys(FIELDS) | {"t": t} | values
+    return _BLANK | {"t": t} | values
+
+
+def words_of(text: str) -> Iterator[str]:
+    """The words of ``text.split()``, one after another: a list of them takes many times the text's memory."""
+    return (m.group() for m in re.finditer(r"\S+", text))
 
 
 def read(spark: SparkSession, paths: str | list[str], parse: Callable[[str], Iterator[dict]]) -> DataFrame:
-    """Rows of every file. A path that is a folder holds one file's text in pieces, in name order."""
+    """Rows of every file. A path that is a folder holds one file's text in pieces, in name order. Files are parsed once, now:
+    many tables are read from the rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("piece"), "value")
     folders = {f"/{p.rstrip('/').rpartition('/')[2]}/" for p in paths}
@@ -36,16 +47,11 @@ def read(spark: SparkSession, paths: str | list[str], parse: Callable[[str], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, value in zip(batch["file"], batch["value"], strict=True):
-                held = []
-                for row in parse(value):
-                    held.append(row | {"part": names.index(file)})
-                    if len(held) == 20_000:
-                        yield pd.DataFrame(held, columns=["part", *FIELDS])
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["part", *FIELDS])
-
-    return files.mapInPandas(run, RECORD)
+                rows, part = parse(value), names.index(file)
+                while held := list(itertools.islice(rows, 20_000)):
+                    yield pd.DataFrame({"part": part} | {c: [row[c] for row in held] for c in FIELDS})
+
+    return settled(files.mapInPandas(run, RECORD))
 
 
 def to_mesh(rows: DataFrame, spark: SparkSession, part: int = 0) -> MeshFrame:
