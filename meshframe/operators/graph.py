@@ -184,8 +184,9 @@ def renumber_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, new_id`` (from 1) of any graph: components one after another, the largest first; within one by combined levels
     from both ends of a pseudo-diameter, within a level by degree and id (in the manner of Gibbs, Poole and Stockmeyer), so
     that neighbours' ids are near. A component that this gives no smaller profile keeps its old order; so the whole
-    profile never grows."""
+    profile never grows. Edges are worked out once."""
     shared_dir(nodes.sparkSession)
+    edges = edges.select("src", "dst").transform(settled)
     here, there = extremal(nodes, edges)
     level = combined_levels(edges, here, there)
     deg = edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("deg"))

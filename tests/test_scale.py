@@ -120,6 +120,24 @@ def test_components_read_edges_once(spark):
     assert seen.value == 400
 
 
+@pytest.mark.parametrize("renumber", ["levels", "profile"])
+def test_renumbering_reads_edges_once(spark, renumber):
+    """Each of the 400 edges passes the function once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    pairs = [(k, k + 1) for k in range(200)]
+    e = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src long, dst long").mapInPandas(count, "src long, dst long")
+    nodes = spark.range(201).toDF("node")
+    got = gr.renumber_profile(nodes, e) if renumber == "profile" else gr.renumber_by_levels(nodes, e, spark.createDataFrame([(0,)], "node long"))
+    assert sorted(r["new_id"] for r in got.collect()) == list(range(1, 202))
+    assert seen.value == 400
+
+
 def test_files_are_parsed_once(spark, tmp_path):
     """All tables of a mesh come from one parsing of its file."""
     from meshframe.frame import MeshFrame
