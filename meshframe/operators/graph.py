@@ -117,7 +117,9 @@ def bandwidth(edges: DataFrame) -> DataFrame:
 
 def renumber_by_levels(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node, new_id`` by (level from ``start``, degree, node); nodes out of reach follow in id order. If neither the
-    largest nor the mean difference of neighbours' ids falls, or only one does, the old order is kept (dense)."""
+    largest nor the mean difference of neighbours' ids falls, or only one does, the old order is kept (dense). Edges are
+    worked out once."""
+    edges = edges.select("src", "dst").transform(settled)
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
     far = nodes.select("node").join(levels(edges, start), "node", "left").join(deg, F.col("node") == F.col("src"), "left")
     made = number(far.select("node", F.coalesce("level", F.lit(1 << 30)).cast("long").alias("level"), F.coalesce("deg", F.lit(0)).alias("deg")), "new_id", "level", "deg", "node", block=1).select("node", "new_id").transform(settled)
