@@ -227,7 +227,7 @@ UNION ALL SELECT 'surface_vertex_without_face', (SELECT count(*) FROM V WHERE vi
 )
 def check_rings(spark, d):
     """Loops of parts close no surface: most rings are open."""
-    return cls.check(ad.loops(spark, d)).where(F.col("rule").isin("open_ring_at_surface_vertex", "ring_not_oriented_alike", "surface_vertex_without_face"))
+    return cls.check(ad.loops(spark, d, settle=True), ["open_ring_at_surface_vertex", "ring_not_oriented_alike", "surface_vertex_without_face"])
 
 
 def profile_numbering(spark, d):
