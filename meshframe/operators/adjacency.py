@@ -126,8 +126,8 @@ def opposite_vertex(m: MeshFrame, asked: DataFrame) -> DataFrame:
 
 def same_edges(m: MeshFrame) -> DataFrame:
     """``eid, same``: edges on equal end vertices (``same`` is the smallest such edge)."""
-    first = m.E.groupBy("lo", "hi").agg(F.min("eid").alias("same"), F.count("*").alias("c")).where("c > 1")
-    return m.E.join(first, ["lo", "hi"]).select("eid", "same")
+    w = Window.partitionBy("lo", "hi")
+    return m.E.select("eid", F.min("eid").over(w).alias("same"), F.count("*").over(w).alias("c")).where("c > 1").select("eid", "same")
 
 
 #: Keys of up to this many members are met by pairs of their members.
