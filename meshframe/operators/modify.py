@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, half_edges, number
+from ..working import settled, shared_dir
 from . import batch
 from .graph import components
 
@@ -143,16 +144,24 @@ def split_edges(m: MeshFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fan_split(m: MeshFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``V`` and ``FV`` with each face in ``faces`` (``fid``) cut into triangles around its vertex mean. The first
     triangle keeps the face's id, further ones follow the largest, in order of face and side."""
+    shared_dir(m.V.sparkSession)
     sides = m.FV.join(faces, "fid", "left_semi")
     w = Window.partitionBy("fid").orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sides = sides.select("fid", "pos", "vid", F.coalesce(F.lead("vid").over(w), F.first("vid").over(whole)).alias("nxt"))
+    upto = F.sum((F.col("pos") > 0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sides = sides.select("fid", "pos", "vid", F.coalesce(F.lead("vid").over(w), F.first("vid").over(whole)).alias("nxt"), upto.alias("more")).transform(settled)
     tops = m.V.agg(F.max("vid").alias("tv")).crossJoin(m.F.agg(F.max("fid").alias("tf")))  # one row each
-    cen = number(faces.select("fid").distinct(), "k", "fid").crossJoin(F.broadcast(tops)).select("fid", (F.col("tv") + F.col("k")).alias("cen"))
-    pts = m.FV.join(faces, "fid", "left_semi").join(m.V, "vid").groupBy("fid").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    # what the sides of the faces before have of further triangles: summed up by blocks of faces, a row for each in one task
+    size = faces.select("fid").distinct().join(sides.groupBy("fid").agg(F.max("more").alias("n")), "fid", "left").select("fid", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("fid") / 65_536).alias("b")).transform(settled)
+    earlier = lambda c, o: F.coalesce(F.sum(c).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = size.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    block = block.select("b", earlier("n", Window.orderBy("b")).alias("bn"), earlier("k", Window.orderBy("b")).alias("bk"))
+    own = Window.partitionBy("b").orderBy("fid")
+    cen = size.select("fid", "b", earlier("n", own).alias("n"), F.row_number().over(own).alias("k")).join(block, "b").crossJoin(F.broadcast(tops))
+    cen = cen.select("fid", (F.col("tv") + F.col("bk") + F.col("k")).alias("cen"), (F.col("tf") + F.col("bn") + F.col("n")).alias("nf")).transform(settled)
+    pts = sides.select("fid", "vid").join(m.V, "vid").groupBy("fid").agg(*[F.avg(c).alias(c) for c in "xyz"])
     v = pts.join(cen, "fid").join(m.F.select("fid", "gdim", "gent"), "fid").select(F.col("cen").alias("vid"), "x", "y", "z", "gdim", "gent")
-    more = number(sides.where("pos > 0").select("fid", "pos"), "k", "fid", "pos").crossJoin(F.broadcast(tops)).select("fid", "pos", (F.col("tf") + F.col("k")).alias("nf"))
-    tri = sides.join(cen, "fid").join(more, ["fid", "pos"], "left").select(F.coalesce("nf", "fid").alias("fid"), F.posexplode(F.array("cen", "vid", "nxt")).alias("pos", "vid"))
+    tri = sides.join(cen, "fid").select(F.when(F.col("pos") > 0, F.col("nf") + F.col("more")).otherwise(F.col("fid")).alias("fid"), F.posexplode(F.array("cen", "vid", "nxt")).alias("pos", "vid"))
     rest = m.FV.join(faces, "fid", "left_anti").select("fid", "pos", "vid")
     return m.V.select("vid", "x", "y", "z", "gdim", "gent").union(v), rest.union(tri)
 
