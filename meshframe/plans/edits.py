@@ -266,7 +266,7 @@ def face_reverse_edge(spark, d):
 
 @query(LOOP + "q AS (SELECT fid, min(eid) AS eid FROM FE GROUP BY fid) SELECT q.fid, q.eid, dir FROM q JOIN FE USING (fid, eid) UNION ALL SELECT fid, -1, -1 FROM q")
 def edge_directions(spark, d):
-    m = ad.loops(spark, d)
+    m = ad.loops(spark, d, settle=True).settled("FE")
     asked = m.FE.groupBy("fid").agg(F.min("eid").alias("eid"))
     return adj.edge_direction(m, asked.union(asked.select("fid", F.lit(-1).cast("long"))))
 
