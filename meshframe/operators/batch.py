@@ -9,6 +9,8 @@ order of the rounds, which is returned with every request.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .graph import components
 
 #: Rounds after which a batch that isn't done is an error.
 ROUNDS = 500
+#: Loops of at most this many sides are put in order within a task, many at once (tasks take about BLOCK_SIDES sides).
+SHORT, BLOCK_SIDES = 4096, 1 << 16
 
 
 def firsts(pending: DataFrame, touched: DataFrame, key: str = "eid") -> DataFrame:
@@ -148,6 +152,58 @@ def ranks(follows: DataFrame) -> DataFrame:
     raise ValueError("the successors form a ring")
 
 
+def _forest(links: DataFrame, piece: DataFrame) -> DataFrame:
+    """``id`` of the links that ``spanning`` takes, given what they join (``node``, ``component``). Where there is one link less
+    than nodes, no links close a ring, and all are taken; rounds are left to the pieces that have rings."""
+    of = links.join(piece.select(F.col("node").alias("a"), "component").hint("merge"), "a")
+    sizes = of.groupBy("component").agg(F.count("*").alias("links")).join(piece.groupBy("component").agg(F.count("*").alias("nodes")).hint("merge"), "component")
+    ringed = of.join(sizes.where("links >= nodes").select("component").hint("merge"), "component", "left_semi").select("id", "a", "b").transform(settled)
+    if ringed.isEmpty():
+        return links.select("id")
+    trees = links.join(ringed.select("id").hint("merge"), "id", "left_anti").select("id")
+    return trees.union(spanning(ringed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), ringed))
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """``fid, pos, keep, size, at`` of whole loops, whose sides (``keep, fid, pos``) name the next one (``nfid, npos``, -1 behind the
+    last): pointers double until all are at the end. ``at`` is negative where the end isn't reached."""
+    pos, after = rows["pos"].to_numpy(np.int64), rows["npos"].to_numpy(np.int64)
+    _, at = np.unique(np.concatenate([rows["fid"].to_numpy(), rows["nfid"].to_numpy()]), return_inverse=True)
+    n, wide = len(rows), max(int(pos.max(initial=0)), int(after.max(initial=0))) + 1
+    key, to = at[:n] * wide + pos, np.where(after < 0, -1, at[n:] * wide + after)
+    order = np.argsort(key, kind="stable")
+    place = np.minimum(np.searchsorted(key[order], to), n - 1)
+    nxt, rank = np.where((after >= 0) & (key[order][place] == to), order[place], -1), (after >= 0).astype(np.int64)
+    for _ in range(64):
+        on = np.flatnonzero(nxt >= 0)
+        if not len(on):
+            break
+        rank[on], nxt[on] = rank[on] + rank[nxt[on]], nxt[nxt[on]]
+    _, loop, sizes = np.unique(rows["keep"].to_numpy(), return_inverse=True, return_counts=True)
+    size = sizes[loop]
+    return pd.DataFrame({"fid": rows["fid"], "pos": rows["pos"], "keep": rows["keep"], "size": size.astype(np.int32), "at": np.where(nxt >= 0, -1, size - 1 - rank).astype(np.int32)})
+
+
+def _places(sides: DataFrame, short: int = SHORT) -> DataFrame:
+    """``fid, pos, keep, size, at``: where sides (``keep, node, next``; ``next`` is null behind the last of a loop) stand in the
+    loop ``keep``. Loops of at most ``short`` sides are put in order within tasks, longer ones by ``ranks``."""
+    sides = sides.transform(settled)
+    blocks = max(1, sides.count() // BLOCK_SIDES)
+    size = sides.groupBy("keep").agg(F.count("*").cast("int").alias("size"))
+    long = size.where(F.col("size") > short).transform(settled)
+    flat = sides.join(long.hint("merge"), "keep", "left_anti").select("keep", "node.fid", "node.pos", F.coalesce("next.fid", F.lit(-1)).alias("nfid"), F.coalesce("next.pos", F.lit(-1)).alias("npos"))
+    schema = "fid long, pos int, keep long, size int, at int"
+    out = flat.groupBy(F.pmod(F.xxhash64("keep"), F.lit(blocks)).alias("block")).applyInPandas(lambda rows: _ordered(rows), schema)
+    if not long.isEmpty():
+        of_long = sides.join(long.hint("merge"), "keep")
+        far = of_long.join(ranks(of_long.select("node", "next")).hint("merge"), "node")
+        out = out.union(far.select("node.fid", "node.pos", "keep", "size", (F.col("size") - 1 - F.col("rank")).cast("int").alias("at")))
+    out = out.transform(settled)
+    if not out.where("at < 0").isEmpty():
+        raise ValueError("the successors form a ring")
+    return out
+
+
 def join(m: MeshFrame, edges: DataFrame, topology: bool = False) -> tuple[MeshFrame, DataFrame]:
     """The bundle with the faces at each edge (``eid``) joined under the lowest id, in chains too, and what became of every
     request: ``eid, outcome``.
@@ -170,11 +226,11 @@ def join(m: MeshFrame, edges: DataFrame, topology: bool = False) -> tuple[MeshFr
         why = why.when(F.col("ents") != 1, "model entities")
     judged = asked.join(two, "eid", "left").withColumn("outcome", why).transform(settled)
     links = judged.where("outcome is null").select(F.col("eid").alias("id"), "a", "b")
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    taken = spanning(nodes, links).transform(settled)
+    arcs = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pieces = components(arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), arcs.union(arcs.select("dst", "src")))
+    taken = _forest(links, pieces).transform(settled)
+    piece = pieces.select(F.col("node").alias("fid"), F.col("component").alias("keep"))
     outcome = judged.join(taken.select(F.col("id").alias("eid"), F.lit("joined").alias("made")), "eid", "left").select("eid", F.coalesce("outcome", "made", F.lit("one face")).alias("outcome"))
-    arcs = links.join(taken, "id", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    piece = components(arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), arcs.union(arcs.select("dst", "src"))).select(F.col("node").alias("fid"), F.col("component").alias("keep")).transform(settled)
     # half edges by (fid, pos); each leads to the next of its face, those that are joined on to what follows their twin
     n = m.F.select("fid", "n")
     half = F.struct(F.col("fid"), F.col("pos"))
@@ -192,9 +248,8 @@ def join(m: MeshFrame, edges: DataFrame, topology: bool = False) -> tuple[MeshFr
     after = left.join(jumped, "nxt", "left").select("keep", F.col("h").alias("node"), F.coalesce("to", "nxt").alias("next"))
     start = gone.where("fid = keep").groupBy("keep").agg(F.min_by("nxt", "eid").alias("s"))
     start = start.join(jump.select(F.col("h").alias("s"), "to"), "s", "left").select("keep", F.coalesce("to", "s").alias("s"))
-    order = ranks(after.join(start, "keep").select("node", F.when(F.col("next") != F.col("s"), F.col("next")).alias("next")))
-    size = after.groupBy("keep").agg(F.count("*").cast("int").alias("size"))
-    place = after.join(order, "node").join(size, "keep").select("node.fid", "node.pos", "keep", "size", (F.col("size") - 1 - F.col("rank")).cast("int").alias("at")).transform(settled)
+    place = _places(after.join(start, "keep").select("keep", "node", F.when(F.col("next") != F.col("s"), F.col("next")).alias("next")))
+    size = place.where("at = 0").select("keep", "size")
 
     def moved(df: DataFrame) -> DataFrame:
         others = [c for c in df.columns if c not in ("fid", "pos")]

@@ -99,12 +99,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     label = nodes.select("node", F.col("node").alias("component")).distinct().transform(settled)
     for _ in range(max_rounds):
         near = edges.join(label.hint("merge"), edges["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = label.join(near.hint("merge"), label["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
+        step = label.join(near.hint("merge"), label["node"] == near["src"], "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("j"))
-        new = step.join(jump.hint("merge"), "c").select("node", F.least("c", "j").alias("component")).transform(settled)
-        same = new.join(label.hint("merge"), ["node", "component"], "left_anti").isEmpty()
-        label = new
-        if same:
+        new = step.join(jump.hint("merge"), "c").select("node", F.least("c", "j").alias("component"), "was").transform(settled)
+        label = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
             return label
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 

@@ -131,6 +131,36 @@ def test_three_quads_in_a_row(spark):
     assert loops_of(modify.join_faces(q, inner)) == loops_of(out.FV)
 
 
+def test_chains_need_no_rounds(spark, monkeypatch):
+    """Chains close no ring and their loops are short, so neither rounds of links nor doubling pointers over tables are run."""
+
+    def never(*_):
+        raise AssertionError("rounds over tables")
+
+    monkeypatch.setattr(batch, "spanning", never)
+    monkeypatch.setattr(batch, "ranks", never)
+    q = generate.structured2d(spark, 12, 1).settled("V", "E", "F", "FE", "FV")
+    inner = q.FE.groupBy("eid").count().where("count = 2").select("eid")
+    out, log = batch.join(q, inner)
+    fe = [(r.fid, r.pos, r.eid, r.dir) for r in q.FE.collect()]
+    want, outcome = joined(loops_of(q.FV), fe, [r.eid for r in inner.collect()])
+    assert loops_of(out.FV).keys() == want.keys() and {r.eid: r.outcome for r in log.collect()} == outcome
+    assert turned(loops_of(out.FV)[1]) == turned(want[1])
+
+
+def test_long_and_short_loops(spark):
+    """Sides of loops stand where walking the loop meets them, whichever way loops of their length go."""
+    lists = {7: 1, 9: 5, 4: 6}
+    rows = [(k, (k * 10 + i % 2, i), (k * 10 + (i + 1) % 2, i + 1) if i + 1 < n else None) for k, n in lists.items() for i in range(n)]
+    sides = spark.createDataFrame(rows, "keep long, node struct<fid:long,pos:int>, next struct<fid:long,pos:int>")
+    want = sorted((k * 10 + i % 2, i, k, n, i) for k, n in lists.items() for i in range(n))
+    for short in (0, 5, 100):
+        assert sorted(map(tuple, batch._places(sides, short).collect())) == want
+    ring = spark.createDataFrame([(1, (1, 0), (1, 1)), (1, (1, 1), (1, 0))], sides.schema)
+    with pytest.raises(ValueError, match="ring"):
+        batch._places(ring)
+
+
 def test_join_in_solids(spark):
     m = generate.structured3d(spark, 2, 1, 1).settled()
     outer = m.RF.groupBy("fid").count().where("count = 1").select("fid")
