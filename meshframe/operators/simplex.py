@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, number
-from ..working import settled, shared_dir
+from ..working import shared_dir, shuffled
 from . import graph
 
 
@@ -78,7 +78,8 @@ def split_regions(m: MeshFrame, loops: DataFrame) -> tuple[MeshFrame, DataFrame]
     are classified like the cell. A request is refused whose edges aren't all the cell's (``edges``), form no closed loop
     (``open``) or don't separate its faces in two (``no cut``)."""
     shared_dir(m.V.sparkSession)
-    asked = loops.select("rid", "pos", "eid").transform(settled)
+    m = m.shuffled()
+    asked = loops.select("rid", "pos", "eid").transform(shuffled)
     w = Window.partitionBy("rid").orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = asked.join(m.E.select("eid", "v0", "v1"), "eid", "left")
@@ -86,26 +87,26 @@ def split_regions(m: MeshFrame, loops: DataFrame) -> tuple[MeshFrame, DataFrame]
     walk = ends.withColumns({"p0": p0, "p1": p1})
     # an edge begins where the one before it ends
     begin = F.when(F.col("v0").isin(F.col("p0"), F.col("p1")), F.col("v0")).when(F.col("v1").isin(F.col("p0"), F.col("p1")), F.col("v1"))
-    walk = walk.withColumn("vid", begin).select("rid", F.row_number().over(w).alias("k"), "eid", "vid", (F.col("vid") == F.col("v0")).cast("int").alias("dir"), F.when(F.col("vid") == F.col("v0"), F.col("v1")).otherwise(F.col("v0")).alias("to")).transform(settled)
+    walk = walk.withColumn("vid", begin).select("rid", F.row_number().over(w).alias("k"), "eid", "vid", (F.col("vid") == F.col("v0")).cast("int").alias("dir"), F.when(F.col("vid") == F.col("v0"), F.col("v1")).otherwise(F.col("v0")).alias("to")).transform(shuffled)
     after = F.coalesce(F.lead("vid").over(Window.partitionBy("rid").orderBy("k")), F.first("vid").over(Window.partitionBy("rid").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     closed = walk.withColumn("next", after).groupBy("rid").agg(F.count("*").alias("n"), F.min((F.col("to") == F.col("next")).cast("int")).alias("shut"), F.count("vid").alias("known"), F.count_distinct("vid").alias("points"))
-    mine = m.RF.join(asked.select("rid").distinct(), "rid").transform(settled)
-    use = mine.select("rid", "fid", F.col("dir").alias("out")).join(m.FE.select("fid", "eid", "dir"), "fid").transform(settled)
+    mine = m.RF.join(asked.select("rid").distinct(), "rid").transform(shuffled)
+    use = mine.select("rid", "fid", F.col("dir").alias("out")).join(m.FE.select("fid", "eid", "dir"), "fid").transform(shuffled)
     at_loop = use.join(asked.select("rid", "eid"), ["rid", "eid"], "left_semi")
     own = at_loop.groupBy("rid").agg(F.count_distinct("eid").alias("own"))
-    nodes = number(mine.select("rid", "fid").distinct(), "node", "rid", "fid").transform(settled)
+    nodes = number(mine.select("rid", "fid").distinct(), "node", "rid", "fid").transform(shuffled)
     at = use.join(asked.select("rid", "eid"), ["rid", "eid"], "left_anti").join(nodes, ["rid", "fid"]).select("rid", "eid", "node")
     low = at.groupBy("rid", "eid").agg(F.min("node").alias("low"))  # an edge joins all faces of the cell that have it
     pairs = at.join(low, ["rid", "eid"]).where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
     label = graph.components(nodes.select("node"), pairs.union(pairs.select("dst", "src")))
-    pieces = nodes.join(label, "node").select("rid", "fid", "component").transform(settled)
+    pieces = nodes.join(label, "node").select("rid", "fid", "component").transform(shuffled)
     many = pieces.groupBy("rid").agg(F.count_distinct("component").alias("pieces"), F.min("component").alias("keep"))
     judged = asked.select("rid").distinct().join(closed, "rid", "left").join(own, "rid", "left").join(many, "rid", "left")
     zero = F.lit(0)
     why = F.when(F.coalesce("own", zero) != F.col("n"), "edges").when((F.col("n") < 3) | (F.col("known") < F.col("n")) | (F.col("points") < F.col("n")) | (F.col("shut") == 0), "open").when(F.coalesce("pieces", zero) != 2, "no cut").otherwise("cut")
-    judged = judged.withColumn("outcome", why).transform(settled)
+    judged = judged.withColumn("outcome", why).transform(shuffled)
     tops = m.F.agg(F.coalesce(F.max("fid"), F.lit(0)).alias("tf")).crossJoin(m.R.agg(F.coalesce(F.max("rid"), F.lit(0)).alias("tr")))  # one row
-    made = number(judged.where("outcome = 'cut'").select("rid", "keep", "n"), "j", "rid").crossJoin(F.broadcast(tops)).select("rid", "keep", "n", (F.col("tf") + F.col("j")).alias("new_fid"), (F.col("tr") + F.col("j")).alias("new_rid")).transform(settled)
+    made = number(judged.where("outcome = 'cut'").select("rid", "keep", "n"), "j", "rid").crossJoin(F.broadcast(tops)).select("rid", "keep", "n", (F.col("tf") + F.col("j")).alias("new_fid"), (F.col("tr") + F.col("j")).alias("new_rid")).transform(shuffled)
     outcome = judged.select("rid", "outcome").join(made.select("rid", "new_fid", "new_rid"), "rid", "left")
     cut = made.join(walk, "rid")
     fe = cut.select(F.col("new_fid").alias("fid"), (F.col("k") - 1).cast("int").alias("pos"), "eid", "dir")
@@ -117,7 +118,7 @@ def split_regions(m: MeshFrame, loops: DataFrame) -> tuple[MeshFrame, DataFrame]
     ends_ = side.select(F.explode(F.array(F.struct(F.col("rid"), F.col("dir")), F.struct(F.col("new_rid").alias("rid"), (1 - F.col("dir")).alias("dir")))).alias("u"), "new_fid")
     cap = ends_.select("u.rid", F.lit(1 << 30).alias("pos"), F.col("new_fid").alias("fid"), "u.dir")
     moved = mine.join(made.select("rid", "keep", "new_rid"), "rid").join(pieces, ["rid", "fid"]).select(F.when(F.col("component") == F.col("keep"), F.col("rid")).otherwise(F.col("new_rid")).alias("rid"), "pos", "fid", "dir")
-    both = moved.unionByName(cap).withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("pos", "fid")) - 1).transform(settled)
+    both = moved.unionByName(cap).withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("pos", "fid")) - 1).transform(shuffled)
     gone = made.select("rid")
     ent = m.R.join(made, "rid")
     tables = {

@@ -77,7 +77,7 @@ c AS (SELECT CASE WHEN a::INTEGER = ka THEN rid ELSE mr + rid END AS rid, pos AS
 SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY o) - 1 AS pos, fid, dir::INTEGER AS dir FROM c""")
 def split_every_region(spark, d):
     """Every cell of the box cut along the six edges that avoid two opposite corners."""
-    m = ad.box(spark, d).settled("V", "E", "F", "FE", "FV", "R", "RF", "RV")
+    m = ad.box(spark, d).settled("V", "E", "F", "FE", "FV", "R", "RF", "RV").shuffled()
     ring = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(((1, 2), (2, 3), (3, 7), (7, 4), (4, 5), (5, 1)))], "k int, a int, b int")
     end = lambda c: m.RV.select("rid", F.col("pos").alias(c), F.col("vid").alias(f"v{c}"))
     sides = end("a").join(F.broadcast(ring), "a").join(end("b"), ["rid", "b"])  # six rows
@@ -190,9 +190,9 @@ EE AS (SELECT part, fid, pos, least(v0, v1) AS lo, greatest(v0, v1) AS hi, (v0 <
 def weave_solid_edges(spark, d):
     """The same for edges: between which vertices (by place) they run and how faces use them."""
     t = _woven(spark, d).tables
-    at = lambda c: t["V"].select("part", F.col("vid").alias(c), (F.col("z") * 36 + F.col("y") * 6 + F.col("x") + 1).cast("long").alias(f"n{c}"))
+    at = lambda c: t["V"].select("part", F.col("vid").alias(c), (F.col("z") * 36 + F.col("y") * 6 + F.col("x") + 1).cast("long").alias(f"n{c}")).hint("merge")
     ends = t["E"].select("part", "eid", "v0", "v1").join(at("v0"), ["part", "v0"]).join(at("v1"), ["part", "v1"]).select("part", "eid", F.col("nv0").alias("lo"), F.col("nv1").alias("hi"))
-    return t["FE"].join(ends, ["part", "eid"]).select("part", "fid", *_long("pos"), "lo", "hi", "dir")
+    return t["FE"].join(ends.hint("merge"), ["part", "eid"]).select("part", "fid", *_long("pos"), "lo", "hi", "dir")
 
 
 @query(_BOXP + """own AS (SELECT 3 AS dim, L.part, L.rid AS id, P.part AS mp FROM L JOIN P ON P.id = L.rid UNION ALL SELECT 0, DV.part, DV.gid, MV.mp FROM DV JOIN MV USING (gid))

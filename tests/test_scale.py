@@ -206,3 +206,16 @@ def test_words_take_no_list():
         assert sum(1 for _ in parse(words)) == rows
         assert tracemalloc.get_traced_memory()[1] < 3 * len(words)
         tracemalloc.stop()
+
+
+def _broadcasts(tables):
+    return [n for n, t in tables.items() if "BroadcastHashJoin" in t._jdf.queryExecution().toString()]
+
+
+def test_cut_cells_are_joined_by_shuffles(spark):
+    """No table that grows with the mesh is sent through the driver, however small its files are."""
+    from meshframe.operators import generate, simplex
+
+    m = generate.structured3d(spark, 2, 1, 1).settled("V", "E", "F", "FE", "FV", "R", "RF", "RV")
+    out, _ = simplex.split_regions(m, m.RF.where("pos = 0").join(m.FE.select("fid", "eid"), "fid").select("rid", "pos", "eid"))
+    assert not _broadcasts({n: out.tables[n] for n in ("F", "FE", "FV", "R", "RF", "RV")})
