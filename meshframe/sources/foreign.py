@@ -5,10 +5,11 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, number
+from ..working import settled, shuffled
 from .records import read, record, to_mesh, words_of, write_lines
 
 #: Cell words of the GMV format.
@@ -105,37 +106,59 @@ def write_gmv(m: MeshFrame, path: str, single: bool = False) -> None:
     write_lines(gmv_lines(m), path, single)
 
 
-def parse_x3d(text: str) -> Iterator[dict]:
-    """Nodes, faces by node and cells by face. A face that two cells list apart is one face."""
-    lines = [line.split() for line in text.splitlines() if line.strip()]
-    sizes = {line[0]: int(line[-1]) for line in lines if line[0] in ("nodes", "faces", "elements", "numdim") and len(line) == 2}
-    at = {line[0]: i for i, line in enumerate(lines) if len(line) == 1}
-    for line in lines[at["nodes"] + 1 : at["nodes"] + 1 + sizes["nodes"]]:
-        yield record("V", id=int(line[0]), x=float(line[1]), y=float(line[2]), z=float(line[3]), gdim=4, gent=0)
-    seen: dict[tuple, tuple[int, list[int]]] = {}
-    use: dict[int, tuple[int, int]] = {}
-    for line in lines[at["faces"] + 1 : at["faces"] + 1 + sizes["faces"]]:
-        i, n = int(line[0]), int(line[1])
-        loop = [int(x) for x in line[2 : 2 + n]]
-        key = tuple(sorted(loop))
-        if key not in seen:
-            seen[key] = (len(seen) + 1, loop)
-            for pos, x in enumerate(loop):
-                yield record("FV", id=seen[key][0], pos=pos, ref=x)
-            yield record("F", id=seen[key][0], pos=n, gdim=4, gent=0)
-        fid, first = seen[key]
-        k = first.index(loop[0])
-        use[i] = (fid, int(n > 1 and first[(k + 1) % n] == loop[1]))
-    for line in lines[at["cells"] + 1 : at["cells"] + 1 + sizes["elements"]]:
-        i, n = int(line[0]), int(line[1])
-        for pos, x in enumerate(line[2 : 2 + n]):
-            fid, way = use[int(x)]
-            yield record("RF", id=i, pos=pos, ref=fid, dir=way)
-        yield record("R", id=i, gdim=3, gent=1)
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``k, words`` of the lines of a file, or of a folder with its pieces in name order, that aren't blank; ``k`` grows along the
+    text. Lines come in the order of the text within a split of a file."""
+    split = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(*[F.col(c).alias(n) for c, n in zip(split, ("file", "start"), strict=True)], F.monotonically_increasing_id().alias("m"), "value").transform(settled)
+    sizes = lines.groupBy("file", "start").agg(F.min("m").alias("low"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", "start", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))  # one row a split
+    words = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    return lines.join(F.broadcast(sizes), ["file", "start"]).select((F.col("o") + F.col("m") - F.col("low")).alias("k"), words.alias("words")).where("words[0] <> ''").transform(shuffled)
 
 
 def read_x3d(spark: SparkSession, path: str) -> MeshFrame:
-    return to_mesh(read(spark, path, parse_x3d), spark)
+    """Nodes, faces by node and cells by face, line by line, so that no task has a whole file. A face that two cells list apart is
+    one face; ids of faces follow the first listing."""
+    lines = _numbered(spark, path)
+    sizes, at, marks = {}, {}, []
+    told = F.col("words")[0].isin("nodes", "faces", "elements", "numdim")
+    for k, words in lines.where((F.size("words") == 1) | (told & (F.size("words") == 2))).orderBy("k").collect():  # headings
+        if len(words) == 1:
+            at[words[0]] = k
+            marks.append(k)
+        else:
+            sizes[words[0]] = int(words[1])
+
+    def section(name: str, n: int) -> DataFrame:
+        end = min((k for k in marks if k > at[name]), default=None)
+        df = lines.where((F.col("k") > at[name]) & (F.lit(True) if end is None else F.col("k") < end))
+        got = df.count()
+        if got < n:
+            raise ValueError(f"{path} has {got} of {n} lines of {name}")
+        if got == n:
+            return df
+        return number(df, "__n", "k").where(F.col("__n") <= n).drop("__n")  # what follows is no part of it
+
+    whole = lambda a: F.transform(a, lambda x: x.cast("long"))
+    word = lambda i: F.col("words")[i]
+    listed = F.slice("words", F.lit(3), word(1).cast("int"))
+    v = section("nodes", sizes["nodes"]).select(word(0).cast("long").alias("vid"), *[word(i).cast("double").alias(c) for i, c in enumerate("xyz", 1)], F.lit(4).alias("gdim"), F.lit(0).cast("long").alias("gent")).transform(shuffled)
+    sides = section("faces", sizes["faces"]).select("k", word(0).cast("long").alias("i"), whole(listed).alias("loop")).withColumn("key", F.array_sort("loop")).transform(shuffled)
+    first = sides.groupBy("key").agg(F.min(F.struct("k", "loop")).alias("o")).select("key", "o.*")
+    faces = number(first, "fid", "k").select("key", "fid", "loop").transform(shuffled)
+    n = F.size("loop")
+    own = sides.join(faces.select("key", "fid", F.col("loop").alias("first")), "key")
+    after = F.element_at("first", (F.array_position("first", F.col("loop")[0]) % n + 1).cast("int"))
+    use = own.select("i", "fid", ((n > 1) & (after == F.col("loop")[1])).cast("int").alias("dir")).transform(shuffled)
+    cells = section("cells", sizes["elements"]).select(word(0).cast("long").alias("rid"), whole(listed).alias("l")).transform(shuffled)
+    rf = cells.select("rid", F.posexplode("l").alias("pos", "i")).join(use, "i", "left")
+    lost = F.raise_error(F.concat(F.lit("no face "), F.col("i").cast("string"))).cast("long")
+    rf = rf.select("rid", "pos", F.when(F.col("fid").isNull(), lost).otherwise(F.col("fid")).alias("fid"), "dir").transform(shuffled)
+    f = faces.select("fid", n.alias("n"), F.lit(4).alias("gdim"), F.lit(0).cast("long").alias("gent"))
+    r = cells.select("rid", F.lit("POLYHED").alias("rtype"), F.lit(3).alias("gdim"), F.lit(1).cast("long").alias("gent"))
+    return MeshFrame.from_faces(v, faces.select("fid", F.posexplode("loop").alias("pos", "vid")), f).with_tables(R=r, RF=rf)
 
 
 #: Importers by format name.

@@ -219,3 +219,27 @@ def test_cut_cells_are_joined_by_shuffles(spark):
     m = generate.structured3d(spark, 2, 1, 1).settled("V", "E", "F", "FE", "FV", "R", "RF", "RV")
     out, _ = simplex.split_regions(m, m.RF.where("pos = 0").join(m.FE.select("fid", "eid"), "fid").select("rid", "pos", "eid"))
     assert not _broadcasts({n: out.tables[n] for n in ("F", "FE", "FV", "R", "RF", "RV")})
+
+
+def test_x3d_is_read_line_by_line(spark, tmp_path):
+    """No Python task has the whole text, and pieces of a file have the ids and directions that their order says."""
+    from meshframe.operators import generate
+    from meshframe.sources import foreign, formats
+
+    formats.write(generate.structured3d(spark, 3, 2, 2), f"file://{tmp_path}/box.x3d")
+    back = foreign.read_x3d(spark, f"file://{tmp_path}/box.x3d")
+    plan = back.RF._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and not hasattr(foreign, "parse_x3d")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "box.x3d").glob("part-*")))
+    lines = [x.split() for x in text.splitlines()]
+    at = {x[0]: i for i, x in enumerate(lines) if len(x) == 1}
+    seen, use = {}, {}
+    for x in lines[at["faces"] + 1 : at["end_faces"]]:
+        loop = x[2 : 2 + int(x[1])]
+        fid, first = seen.setdefault(tuple(sorted(loop)), (len(seen) + 1, loop))
+        use[x[0]] = fid, int(first[(first.index(loop[0]) + 1) % len(loop)] == loop[1])
+    want = sorted((int(x[0]), pos, *use[i]) for x in lines[at["cells"] + 1 : at["end_cells"]] for pos, i in enumerate(x[2 : 2 + int(x[1])]))
+    assert sorted(map(tuple, back.RF.select("rid", "pos", "fid", "dir").collect())) == want
+    assert sorted(map(tuple, back.FV.collect())) == sorted((fid, pos, int(x)) for fid, loop in seen.values() for pos, x in enumerate(loop))
+    (tmp_path / "short.x3d").write_text(text.replace("end_nodes", "").replace("\nfaces\n", "\n\nfaces \n"))
+    assert foreign.read_x3d(spark, f"file://{tmp_path}/short.x3d").V.count() == back.V.count() == 48 - 12
