@@ -54,24 +54,27 @@ def x3d_round_trip(spark, d):
     return formats.read(spark, path).RF.groupBy("rid").agg(F.count("*").alias("n_faces"), F.sum("dir").cast("long").alias("outward"))
 
 
+#: Cells of an Exodus file: one task writes a file, and one reads it.
+CELLS = 1 << 14
+
+
+def _box_files(spark, d):
+    """Files of the box in parts of ``CELLS`` cells, however many these are."""
+    m = ad.box(spark, d)
+    folder = _file(spark, "box.exo").rpartition("/")[0]
+    done = exodus.write_exodus(m, folder, "box", m.R.select(F.col("rid").alias("id"), F.expr(f"(rid - 1) div {CELLS}").cast("int").alias("part")))
+    return [f"file://{r[0]}" if folder.startswith("file://") else r[0] for r in done.select("path").collect()]  # one row a file
+
+
 @query(_BOX + "x AS (SELECT 1) SELECT rid, pos, vid FROM RV")
 def exodus_round_trip(spark, d):
-    """Cells are numbered block by block (material by material) in the file; its map has the ids."""
-    path = _file(spark, "box.exo")
-    formats.write(ad.box(spark, d), path)
-    m = formats.read(spark, path)
-    ids = m.G.where("dim = 3").select(F.col("id").alias("rid"), "gid")
-    return m.RV.join(ids, "rid").select(F.col("gid").alias("rid"), F.col("pos").cast("long").alias("pos"), "vid")
+    """Cells are numbered block by block (material by material) in a file; its map has the ids."""
+    return exodus.read_parts(spark, _box_files(spark, d)).RV.select("rid", F.col("pos").cast("long").alias("pos"), "vid")
 
 
 @query(_BOX + "x AS (SELECT 1) SELECT a.rid AS src, b.rid AS dst FROM RF a JOIN RF b USING (fid) WHERE a.rid <> b.rid")
 def exodus_element_graph(spark, d):
-    path = _file(spark, "box.exo")
-    m = ad.box(spark, d)
-    formats.write(m, path)
-    ids = formats.read(spark, path).G.where("dim = 3").select("id", "gid")
-    to = lambda c: ids.select(F.col("id").alias(c), F.col("gid").alias(f"g_{c}"))
-    return exodus.element_graph(spark, path)[0].join(to("src"), "src").join(to("dst"), "dst").select(F.col("g_src").alias("src"), F.col("g_dst").alias("dst"))
+    return exodus.element_graph(spark, _box_files(spark, d))[0]
 
 
 # ---- global ids and distribution -----------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MeshFrame
 from ..operators import adjacency
+from ..working import settled
 from .netcdf import Reader, build
 from .records import FIELDS, RECORD, record, to_mesh
 
@@ -167,10 +168,21 @@ def _mesh(rows: DataFrame, spark: SparkSession) -> MeshFrame:
     return to_mesh(rows.where("t in ('V', 'F', 'FV', 'R', 'RV', 'AD', 'AV')"), spark)
 
 
-def element_graph(spark: SparkSession, path: str, coordinates: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """``src, dst`` of elements that share a side, straight from a file, and their centroids (``id, x, y, z``) if asked."""
-    rows = records(spark, path).persist()
-    m = _mesh(rows, spark)
+def read_parts(spark: SparkSession, paths: list[str]) -> MeshFrame:
+    """Vertices and elements of a mesh that came in several files, under the ids of the files' maps; a vertex of several files
+    is there once. Each file is one task's work, so tasks don't grow with the mesh if its files don't."""
+    rows = records(spark, paths).transform(settled)
+    points = rows.where("t = 'V'").select("part", F.col("id").alias("ref"), F.col("ref").alias("vid"))
+    cells = rows.where("t in ('F', 'R')").select("part", "id", F.col("ref").alias("gid"))
+    uses = rows.where("t in ('FV', 'RV')").join(points.hint("merge"), ["part", "ref"]).join(cells.hint("merge"), ["part", "id"]).withColumns({"id": F.col("gid"), "ref": F.col("vid")})
+    named = rows.where("t in ('F', 'R')").unionByName(rows.where("t = 'V'").dropDuplicates(["ref"])).withColumn("id", F.col("ref"))
+    return _mesh(named.unionByName(uses.select(*rows.columns)).withColumn("part", F.lit(0)).transform(settled), spark)
+
+
+def element_graph(spark: SparkSession, path: str | list[str], coordinates: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """``src, dst`` of elements that share a side, straight from a file, and their centroids (``id, x, y, z``) if asked. Of a list
+    of files, those of a mesh in parts, ids are those of the maps, and sides may lie between files."""
+    m = _mesh(records(spark, path).persist(), spark) if isinstance(path, str) else read_parts(spark, path)
     solid = not m.R.isEmpty()
     centres = None
     if coordinates:

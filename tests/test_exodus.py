@@ -82,6 +82,29 @@ def test_parts_and_partial(spark, tmp_path):
     assert exodus.read_exodus(spark, done[1].path).R.count() == 8
 
 
+def test_mesh_of_several_files(spark, tmp_path):
+    m = generate.structured3d(spark, 4, 2, 2)
+    parts = m.R.select((F.col("rid")).alias("id"), (F.col("rid") % 3).cast("int").alias("part"))
+    paths = [r.path for r in exodus.write_exodus(m, str(tmp_path), "cut", parts).collect()]
+    graph, centres = exodus.element_graph(spark, paths, coordinates=True)
+    assert len(paths) == 3 and rows(graph, "src", "dst") == rows(adjacency.element_graph(m, True), "src", "dst")
+    assert rows(centres, "id") == rows(m.R, "rid")
+    back = exodus.read_parts(spark, paths)
+    assert rows(back.RV, "rid", "pos", "vid") == rows(m.RV, "rid", "pos", "vid")
+    assert rows(back.V, "vid", "x", "y", "z") == rows(m.V, "vid", "x", "y", "z") and back.F.count() == m.F.count()
+
+
+def test_box_files_hold_so_many_cells(spark, tmp_path, monkeypatch):
+    from meshframe.plans import parted
+
+    spark.range(20).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(parted, "CELLS", 20)
+    paths = parted._box_files(spark, str(tmp_path))
+    assert [exodus.records(spark, p).where("t = 'R'").count() for p in sorted(paths)] == [20, 20, 10]
+    graph = parted.exodus_element_graph(spark, str(tmp_path))
+    assert rows(graph, "src", "dst") == rows(adjacency.element_graph(parted.ad.box(spark, str(tmp_path)), True), "src", "dst")
+
+
 def test_netcdf_records():
     data = netcdf.build({"t": 0, "n": 3, "s": 5}, {"title": "x"}, {"a": (["t", "n"], np.arange(6.0).reshape(2, 3), {"unit": "m"}), "b": (["n"], np.array([1, 2, 3], "i4"), {}), "c": (["t"], np.array([7.0, 8.0]), {}), "w": (["n", "s"], np.array([list(x.ljust(5, b"\0")) for x in (b"ab", b"", b"xyz")], "u1").view("S1"), {})})
     f = netcdf.Reader(data)
