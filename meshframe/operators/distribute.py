@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import MeshFrame, half_edges, number
 from ..schema import GHOST, KIND, OVERLAP
-from ..working import settled, shared_dir
+from ..working import settled, shared_dir, shuffled
 from . import geometry, parallel
 from .partition import cut_into
 
@@ -123,22 +123,23 @@ def distribute(m: MeshFrame, parts: DataFrame, layers: int = 1) -> PartedMesh:
     elements reach them. Attribute values, set members and global ids go to every copy of their entity; definitions of
     attributes and sets are the same for all parts."""
     shared_dir(m.V.sparkSession)
+    m = m.shuffled()
     solid = not m.R.isEmpty()
     inc, key = (m.RV, "rid") if solid else (m.FV, "fid")
     if solid and m.RV.isEmpty():  # cells that are given by their faces
         inc = m.RF.join(m.FV, "fid").select("rid", "vid").distinct()
-    cells = parallel.label_cells(parts, parallel.ghost_cells(inc, parts, layers, key)).transform(settled)
+    cells = parallel.label_cells(parts, parallel.ghost_cells(inc, parts, layers, key)).transform(shuffled)
     tables = {}
     if solid:
         tables["R"] = _held(m.R, "rid", cells)
         on = cells.select("part", F.col("gid").alias("rid"))
         tables |= {t: on.join(m.tables[t], "rid").select("part", *m.tables[t].columns) for t in ("RF", "RV")}
-        faces = parallel.label_members(m.RF, "rid", "fid", cells).transform(settled)
-        edges = parallel.label_members(m.RF.join(m.FE, "fid").select("rid", "eid").distinct(), "rid", "eid", cells).transform(settled)
+        faces = parallel.label_members(m.RF, "rid", "fid", cells).transform(shuffled)
+        edges = parallel.label_members(m.RF.join(m.FE, "fid").select("rid", "eid").distinct(), "rid", "eid", cells).transform(shuffled)
     else:
         faces = cells
-        edges = parallel.label_members(m.FE, "fid", "eid", cells).transform(settled)
-    points = parallel.label_members(inc, key, "vid", cells).transform(settled)
+        edges = parallel.label_members(m.FE, "fid", "eid", cells).transform(shuffled)
+    points = parallel.label_members(inc, key, "vid", cells).transform(shuffled)
     tables["F"], tables["E"], tables["V"] = _held(m.F, "fid", faces), _held(m.E, "eid", edges), _held(m.V, "vid", points)
     on = faces.select("part", F.col("gid").alias("fid"))
     tables |= {t: on.join(m.tables[t], "fid").select("part", *m.tables[t].columns) for t in ("FE", "FV")}
@@ -232,7 +233,7 @@ def apart(m: MeshFrame, parts: DataFrame) -> dict[str, DataFrame]:
     ids of its own."""
     shared_dir(m.V.sparkSession)
     p = distribute(m, parts, layers=0)
-    maps = {key: number(p.tables[name].select("part", key), "own", key, group="part").transform(settled) for name, key in KIND.values() if name in p.tables}
+    maps = {key: number(p.tables[name].select("part", key), "own", key, group="part").transform(shuffled) for name, key in KIND.values() if name in p.tables}
 
     def renamed(df: DataFrame, column: str, key: str) -> DataFrame:
         names = df.columns
@@ -275,7 +276,7 @@ def weave_meshes(tables: dict[str, DataFrame], layers: int = 1, tolerance: float
         same = parallel.match_points(tables["V"].select("part", F.col("vid").alias("id"), "x", "y", "z"), tolerance)
         own = number(same.select("master_part", "master_id").distinct(), "gid", "master_id", group="master_part")
         gids = same.join(own, ["master_part", "master_id"]).select("part", F.col("id").alias("vid"), "gid")
-    vmap = gids.select("part", "vid", "gid").transform(settled)
+    vmap = gids.select("part", "vid", "gid").transform(shuffled)
 
     def at(df: DataFrame, column: str, key: str, by: DataFrame) -> DataFrame:
         """A column of ids of a part become global ones."""
@@ -284,23 +285,23 @@ def weave_meshes(tables: dict[str, DataFrame], layers: int = 1, tolerance: float
     def known(df: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
         """Which copies are one (``part``, ``key``, ``gid``), and of each the one that defines it (``gid``, ``part``, ``key``)."""
         first = df.groupBy(*by).agg(F.min(F.struct("part", key)).alias("o"))
-        ids = number(first.select(*by, F.col("o.part").alias("mp"), F.col(f"o.{key}").alias("mk")), "gid", "mk", group="mp").transform(settled)
-        return df.join(ids, by).select("part", key, "gid").transform(settled), ids.select("gid", F.col("mp").alias("part"), F.col("mk").alias(key))
+        ids = number(first.select(*by, F.col("o.part").alias("mp"), F.col(f"o.{key}").alias("mk")), "gid", "mk", group="mp").transform(shuffled)
+        return df.join(ids, by).select("part", key, "gid").transform(shuffled), ids.select("gid", F.col("mp").alias("part"), F.col("mk").alias(key))
 
     first = vmap.groupBy("gid").agg(F.min(F.struct("part", "vid")).alias("o")).select("gid", "o.*")
     v = tables["V"].join(first, ["part", "vid"]).withColumn("vid", F.col("gid")).select(*MeshFrame.empty(spark).V.columns)
-    e0 = at(at(tables["E"], "v0", "vid", vmap), "v1", "vid", vmap).withColumns({"lo": F.least("v0", "v1"), "hi": F.greatest("v0", "v1")}).transform(settled)
+    e0 = at(at(tables["E"], "v0", "vid", vmap), "v1", "vid", vmap).withColumns({"lo": F.least("v0", "v1"), "hi": F.greatest("v0", "v1")}).transform(shuffled)
     emap, edefs = known(e0, "eid", ["lo", "hi"])
-    e = e0.join(edefs, ["part", "eid"]).withColumn("eid", F.col("gid")).select(*MeshFrame.empty(spark).E.columns).transform(settled)
+    e = e0.join(edefs, ["part", "eid"]).withColumn("eid", F.col("gid")).select(*MeshFrame.empty(spark).E.columns).transform(shuffled)
     turned = emap.join(e0.select("part", "eid", "v0"), ["part", "eid"]).join(e.select(F.col("eid").alias("gid"), F.col("v0").alias("from")), "gid").select("part", "eid", "gid", (F.col("v0") != F.col("from")).alias("turn"))
-    fv0 = at(tables["FV"], "vid", "vid", vmap).transform(settled)
+    fv0 = at(tables["FV"], "vid", "vid", vmap).transform(shuffled)
     keys = fv0.groupBy("part", "fid").agg(F.array_sort(F.collect_list("vid")).alias("key"))
     fmap, fdefs = known(keys, "fid", ["key"])
     mine = lambda df: df.join(fdefs, ["part", "fid"]).withColumn("fid", F.col("gid")).drop("gid")
     f = mine(tables["F"]).select(*MeshFrame.empty(spark).F.columns)
-    fv = mine(fv0).select("fid", "pos", "vid").transform(settled)
+    fv = mine(fv0).select("fid", "pos", "vid").transform(shuffled)
     fe = mine(tables["FE"]).join(turned, ["part", "eid"]).select("fid", "pos", F.col("gid").alias("eid"), F.when(F.col("turn"), 1 - F.col("dir")).otherwise(F.col("dir")).alias("dir"))
-    made = {"V": v, "E": e, "F": f, "FE": fe.transform(settled), "FV": fv}
+    made = {"V": v, "E": e, "F": f, "FE": fe.transform(shuffled), "FV": fv}
     maps = {0: vmap.withColumnRenamed("vid", "id"), 1: emap.withColumnRenamed("eid", "id"), 2: fmap.withColumnRenamed("fid", "id")}
     top = fmap.join(fdefs.select("gid", "part", "fid"), ["gid", "part", "fid"]).select(F.col("gid").alias("id"), "part")
     if solid:
@@ -311,7 +312,7 @@ def weave_meshes(tables: dict[str, DataFrame], layers: int = 1, tolerance: float
         alike = first_side.join(fmap, ["part", "fid"]).join(sides, ["gid", "v0", "v1"], "left_semi").select("part", "fid", F.lit(True).alias("alike"))
         uses = tables["RF"].join(fmap, ["part", "fid"]).join(alike, ["part", "fid"], "left")
         rf = uses.select("part", "rid", "pos", F.col("gid").alias("fid"), F.when(F.col("alike"), F.col("dir")).otherwise(1 - F.col("dir")).alias("dir"))
-        made["RF"] = at(rf, "rid", "rid", rmap).select("rid", "pos", "fid", "dir").transform(settled)
+        made["RF"] = at(rf, "rid", "rid", rmap).select("rid", "pos", "fid", "dir").transform(shuffled)
         made["R"] = at(tables["R"], "rid", "rid", rmap).select("rid", "rtype", "gdim", "gent")
         if "RV" in tables:
             made["RV"] = at(at(tables["RV"], "vid", "vid", vmap), "rid", "rid", rmap).select("rid", "pos", "vid")
@@ -329,7 +330,7 @@ def weave_meshes(tables: dict[str, DataFrame], layers: int = 1, tolerance: float
         low = placed.groupBy("set").agg(F.min("k").alias("low"))
         made["SM"] = placed.join(low, "set").select("set", (F.col("k") - F.col("low")).cast("int").alias("pos"), "dim", "id")
     made |= {t: tables[t] for t in SHARED if t in tables}
-    return distribute(MeshFrame.empty(spark).with_tables(**made), top.transform(settled), layers)
+    return distribute(MeshFrame.empty(spark).with_tables(**made), top.transform(shuffled), layers)
 
 
 def labelled_counts(p: PartedMesh) -> DataFrame:

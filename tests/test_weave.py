@@ -166,3 +166,10 @@ def test_faces_that_are_turned(spark):
     for r in p.tables["FE"].where("part = 0").collect():
         x, y = loops[r.fid][r.pos], loops[r.fid][(r.pos + 1) % 3]
         assert ends[r.eid] == ((x, y) if r.dir else (y, x))
+
+
+def test_woven_tables_are_joined_by_shuffles(box, parts):
+    """No table that grows with the mesh is sent through the driver, however small its files are."""
+    for tables in (dis.distribute(box, parts).tables, dis.apart(box, parts)):
+        for name in ("R", "RF", "RV", "F", "FE", "FV", "E", "V"):
+            assert "BroadcastHashJoin" not in tables[name]._jdf.queryExecution().toString(), name
